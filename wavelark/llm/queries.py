@@ -38,6 +38,15 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = quality.fit(docs, _table(spark, sf_dir, "labels").where(~held))
+    return quality.score_quality(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets
 
@@ -60,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": op2_decontaminate,
         "op3_balanced_shards": op3_balanced_shards,
         "op6_byte_level_bpe": op6_byte_level_bpe,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_secret_scan": op8_secret_scan,
         "op10_url_filter": op10_url_filter,
     }
