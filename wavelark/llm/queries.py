@@ -30,6 +30,18 @@ def op3_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(_table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest_neighbours
+
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,6 +69,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents")).select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans(base).cast("binary"), 256).alias("base_sha256"), spans(found).alias("spans"))
 
 
+def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .compact_windows import near_passages
+
+    return near_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge_urls
 
@@ -68,9 +86,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_decontaminate": op2_decontaminate,
         "op3_balanced_shards": op3_balanced_shards,
+        "op4_nearest_neighbours": op4_nearest_neighbours,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_byte_level_bpe": op6_byte_level_bpe,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_secret_scan": op8_secret_scan,
+        "op9_compact_windows": op9_compact_windows,
         "op10_url_filter": op10_url_filter,
     }
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Key tables of at most this many rows (8 MB of longs) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch sent to a Python worker.
+BATCH_BYTES = 16 << 20
 
 _own: dict[str, str] = {}
 
@@ -31,6 +33,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        # Batches for Python end by bytes too, so that very long texts don't add up in one.
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
