@@ -121,7 +121,7 @@ _on_signal("robust_minmax", lambda s: signal.robust_range(s, 0.1, 15).withColumn
 _on_signal("db_transform", lambda s: s.withColumn("value", r6(scalar.decibel(F.col("value")))), SIG + "select subject, channel, t_idx, time, round(10 * log10(value + 1e-10), 6) as value from sig")
 _on_signal("threshold_mask", lambda s: s.withColumn("value", F.when(F.col("value") >= 50, F.col("value"))), SIG + "select subject, channel, t_idx, time, case when value >= 50 then value end as value from sig")
 _on_signal("clip_floor", lambda s: s.withColumn("value", F.round(scalar.clip_low(F.col("value") - 40), 4)), SIG + "select subject, channel, t_idx, time, round(case when value - 40 < 0 then 0 else value - 40 end, 4) as value from sig")
-_on_signal("moving_mean", lambda s: signal.smooth(s, 50).withColumn("value", F.round("value", 5)), SIG + "select subject, channel, t_idx, time, round(avg(value) over (partition by subject, channel order by t_idx rows between 25 preceding and 24 following), 5) as value from sig")
+_on_signal("moving_mean", lambda s: signal.smooth(s, 25).withColumn("value", F.round("value", 8)), SIG + "select subject, channel, t_idx, time, round(avg(value) over (partition by subject, channel order by t_idx rows between 12 preceding and 12 following), 8) as value from sig")
 _on_signal("sr_estimate", lambda s: signal.sampling_rate(s).withColumn("sr", r6("sr")), SIG + "select subject, channel, round(1 / median(dt), 6) as sr from (select *, time - lag(time) over (partition by subject, channel order by t_idx) as dt from sig) group by subject, channel")
 _on_signal("export_labels", signal.export_labels, SIG + "select time as TIME, value as VALUE, subject || '-ch' || lpad(cast(dense_rank() over (partition by subject order by channel) as varchar), 2, '0') as LABEL from sig")
 _on_signal("global_pair_corr", lambda s: correlation.global_pairs(s, _series()).withColumn("r", r6("r")), PAIR + "select a, b, round(coalesce(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 0), 6) as r from pr group by a, b")
