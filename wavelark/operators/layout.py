@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ALL = Window.partitionBy()
+
+def _all():
+    """The whole table: a layout is one small table."""
+    return Window.partitionBy()
 
 
 def _spread(c: str, low: float, high: float) -> Column:
-    v, a, b = F.col(c), F.min(c).over(ALL), F.max(c).over(ALL)
+    v, a, b = F.col(c), F.min(c).over(_all()), F.max(c).over(_all())
     return low + (v - a) / F.nullif(b - a, F.lit(0.0)) * (high - low)
 
 
@@ -23,7 +26,7 @@ def normalize_positions(pos: DataFrame, width: float, height: float, x_range=(0.
 
 def reverse_xy(pos: DataFrame) -> DataFrame:
     """max + min - v on both axes."""
-    return pos.withColumns({c: F.max(c).over(ALL) + F.min(c).over(ALL) - F.col(c) for c in ("x", "y")})
+    return pos.withColumns({c: F.max(c).over(_all()) + F.min(c).over(_all()) - F.col(c) for c in ("x", "y")})
 
 
 def y_axis_order(pos: DataFrame, tolerance: float = 1e-6) -> DataFrame:
@@ -36,12 +39,12 @@ def y_axis_order(pos: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     part = F.when(F.col("side") == "left", 0).when(F.col("side") == "midline", 1).otherwise(2)
     one = F.when(part == 0, F.col("y")).when(part == 1, F.col("x")).otherwise(-F.col("y"))
     two = F.when(part == 1, F.lit(0.0)).otherwise(-F.col("x"))
-    return pos.withColumn("y_order", F.row_number().over(ALL.orderBy(part, one, two, "channel")) - 1).drop("m")
+    return pos.withColumn("y_order", F.row_number().over(_all().orderBy(part, one, two, "channel")) - 1).drop("m")
 
 
 def region_colours(regions: DataFrame, palette: int = 20) -> DataFrame:
     """(region, colour): distinct regions by name, numbered over the palette."""
-    return regions.select("region").distinct().withColumn("colour", ((F.dense_rank().over(ALL.orderBy("region")) - 1) % palette).cast("int"))
+    return regions.select("region").distinct().withColumn("colour", ((F.dense_rank().over(_all().orderBy("region")) - 1) % palette).cast("int"))
 
 
 def top_regions(atlas: DataFrame, n: int = 3, least_percent: float = 0.0) -> DataFrame:
