@@ -66,10 +66,10 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     idle = 0
     for step in range(1, rounds + 1):
-        exchange = step % 4 == 0
         counts = state.groupBy("g", "shard").agg(F.count("*").alias("c"))
         load = {r.shard: r.n for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row a shard
         room = {j: target[j] - load.get(j, 0) for j in range(shards)}
+        exchange = step % 2 == 0 or max(room.values()) <= 0
         score = F.struct(F.col("c"), F.xxhash64("g", "shard").alias("h"), F.col("shard").alias("to"))
         goals = counts if exchange else counts.where(F.col("shard").isin([j for j in room if room[j] > 0]))
         best = goals.groupBy("g").agg(F.max(score).alias("best"))
