@@ -246,7 +246,7 @@ _on_signal("conn_wide", lambda s: _wide_matrix(s), MATRIX + ", k as (select subj
 def _must_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner join in which every left row must find a partner: a missing one raises when the row is read."""
     found = right.withColumn("_there", F.lit(True))
-    joined = left.join(F.broadcast(found) if key == "n_regionkey" else found, key, "left")
+    joined = left.join(found, key, "left")
     return joined.where(F.when(F.col("_there"), True).otherwise(F.raise_error(F.concat(F.lit("no partner for "), F.col(key).cast("string"))).cast("boolean"))).drop("_there")
 
 

@@ -58,7 +58,7 @@ def peak_frequency(spec: DataFrame, starts: DataFrame, db_floor: float | None =
     mean = spec.groupBy("subject", "t", "f").agg(F.avg("power").alias("p")).withColumn("db", decibel(F.col("p")))
     kept = F.when(F.col("db") >= db_floor, F.col("db")) if db_floor is not None else F.col("db")
     top = F.max(F.when(kept.isNotNull(), F.struct(kept.alias("db"), (-F.col("f")).alias("f"))))
-    return mean.groupBy("subject", "t").agg(top.alias("top")).join(F.broadcast(starts), "subject").select("subject", (F.col("t") + F.col("start")).alias("time"), (-F.col("top.f")).alias("freq"))
+    return mean.groupBy("subject", "t").agg(top.alias("top")).join(starts, "subject").select("subject", (F.col("t") + F.col("start")).alias("time"), (-F.col("top.f")).alias("freq"))
 
 
 def optical_density(sig: DataFrame, keys=SERIES) -> DataFrame:

@@ -72,4 +72,4 @@ def display_names(bad: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Channels marked bad under their display names CH<idx>; an unknown channel raises when its row is read."""
     d = dictionary.select("channel", F.col("channel_idx").cast("string").alias("_i"))
     missing = F.raise_error(F.concat(F.lit("unknown channel "), F.col("channel"))).cast("string")
-    return bad.join(F.broadcast(d), "channel", "left").withColumn("display", F.when(F.col("_i").isNotNull(), F.concat(F.lit("CH"), F.col("_i"))).otherwise(missing)).drop("_i")
+    return bad.join(d, "channel", "left").withColumn("display", F.when(F.col("_i").isNotNull(), F.concat(F.lit("CH"), F.col("_i"))).otherwise(missing)).drop("_i")
