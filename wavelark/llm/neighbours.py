@@ -23,7 +23,7 @@ from .store import Scratch
 #: Edges of a vertex; cells a vertex belongs to; vertices a cell has on average, and at most before it is dealt into parts.
 DEGREE, CELLS, CELL_ROWS, CELL_MOST = 32, 4, 4_000, 12_000
 #: Pivots at most (2 MB for 64 dimensions); rounds of NN-descent; members of a block; kept and opened in a search.
-PIVOTS, ROUNDS, BLOCK, EF, OPEN = 8_192, 2, 48, 160, 24
+PIVOTS, ROUNDS, BLOCK, EF, OPEN = 8_192, 2, 48, 128, 64
 _EDGES = "v long, w long, d float"
 
 
