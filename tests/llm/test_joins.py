@@ -106,3 +106,37 @@ def test_extra_columns_and_ids(documents):
     clash = documents.withColumn("n", F.lit("x")).withColumn("id", F.lit(1)).withColumn("token", F.lit(2))
     assert ngram_join.ngram_jaccard_join(clash).count() == documents.count()
     suffix_dedup.repeated_passages(clash).count()
+
+
+def test_compact_windows_go_on_behind_an_edit(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    texts = {}
+    for parts in ((1000, 20, 154), (154, 20, 1000), (600, 12, 90), (400, 30, 60), (700, 1, 8, 1, 70)):  # shared and edited by turns
+        x, y = [], []
+        for k, n in enumerate(parts):
+            w = word(n)
+            x, y = x + w, y + (word(n) if k % 2 else w)
+        texts |= {len(texts): x, len(texts) + 1: y}
+    i, a, z = len(texts), word(200), word(200)
+    texts |= {i: a + z, i + 1: a + word(150) + z}  # words put in on one side only
+    texts = {k: " ".join(w) for k, w in texts.items()}
+    got = covered(compact_windows.near_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
+    want = repeated(texts, 50)
+    missed = {k: len(want[k] - got[k]) for k in texts if want[k] - got[k]}
+    assert not missed, f"{sum(missed.values())} of {sum(map(len, want.values()))} words: {missed}"
+    assert got[i] == set(range(400)) and got[i + 1] == {*range(200), *range(350, 550)}
+
+
+def test_stretches_are_all_maximal_ones():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        hit = np.repeat(rng.random(12) < 0.5, rng.integers(1, 30, 12))
+
+        def best(low, high, hit=hit):  # the highest sum, the shortest of equal ones, and then both sides of it
+            score = np.concatenate([[0], np.cumsum(np.where(hit[low:high], 1.0, -2.0))])
+            top = max(((score[j] - score[i], i - j, i, j) for i in range(len(score)) for j in range(i + 1, len(score))), default=(0,))
+            return [] if top[0] <= 0 else [*best(low, low + top[2]), (low + top[2], low + top[3]), *best(low + top[3], high)]
+
+        got = compact_windows._stretches(hit, 2.0)
+        assert got == best(0, len(hit)) and all(any(a <= k < b for a, b in got) for k in np.flatnonzero(hit))
