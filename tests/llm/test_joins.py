@@ -140,3 +140,24 @@ def test_stretches_are_all_maximal_ones():
 
         got = compact_windows._stretches(hit, 2.0)
         assert got == best(0, len(hit)) and all(any(a <= k < b for a, b in got) for k in np.flatnonzero(hit))
+
+
+def test_suffix_dedup_is_whole(spark):
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    line, left, texts = word(36), [word(30) for _ in range(6)], {}
+    for k in range(60):  # one hot line, before which some have words in common and behind which others have
+        texts[k] = word(int(rng.integers(0, 40))) + (left[k % 6] if k % 2 else []) + line + (left[(k // 6) % 6] if k % 3 else []) + word(int(rng.integers(0, 40)))
+    texts |= {60: ["ha"] * 300, 61: word(20) + ["ha"] * 70 + word(20), 62: line * 3, 63: word(49), 64: word(50)}
+    texts |= {65: texts[64] + word(1), 66: texts[63] + word(1)}
+    texts = {k: " ".join(w) for k, w in texts.items()}
+    got = covered(suffix_dedup.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
+    want = repeated(texts, 50)
+    missed, wrong = (sum(len(a[k] - b[k]) for k in texts) for a, b in ((want, got), (got, want)))
+    assert (missed, wrong) == (0, 0), f"{missed} of {sum(map(len, want.values()))} words missed, {wrong} wrong"
+
+
+def test_suffix_dedup_equals_brute_force(documents, corpus):
+    twins = [i for i in corpus if corpus[i] is not None and list(corpus.values()).count(corpus[i]) > 1]
+    got, want = covered(suffix_dedup.repeated_passages(documents).collect(), corpus), repeated(corpus, 50)
+    assert {i: got[i] for i in corpus if i not in twins} == {i: want[i] for i in corpus if i not in twins}

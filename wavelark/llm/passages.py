@@ -56,6 +56,11 @@ def merged(found: DataFrame, texts: DataFrame, copies: DataFrame, least: int) ->
     """(doc_id, start_word, end_word): the passages of each document, those that overlap or touch as one. Every
     document that has a copy, of `least` words or more, is a passage as a whole."""
     both = found.select(F.col("x").alias("id"), F.col("x0").alias("a"), F.col("x1").alias("b")).union(found.select("y", "y0", "y1")).distinct()
+    return joined(both, texts, copies, least)
+
+
+def joined(both: DataFrame, texts: DataFrame, copies: DataFrame, least: int) -> DataFrame:
+    """merged, from the spans (id, a, b) of either side."""
     # Copies: count the words where the text is; only ids and places are shuffled.
     twin = small(copies.select("id").union(copies.select("first")).distinct())
 

@@ -1,14 +1,14 @@
-"""Repeated passages by a sparse suffix array over words.
+"""Repeated passages by ranks of suffixes over words, sparse first and then whole.
 
-Of each text only the suffixes at minimisers are kept: word places whose GRAM-word hash is least in some window of
-WINDOW such places, chosen by content alone, so equal passages keep equal suffixes. Every run of at
-least `least` equal words holds one of them with REACH words or more to its right. Suffixes are ordered by the fingerprints
-of their first REACH and 2 REACH words (ranks at doubling lengths, as in prefix doubling), which puts those
-with long common beginnings side by side. Neighbours of different documents are matched and extended word by word to the left and
-to the right, in the whole texts; runs of `least` words or more are passages.
+Of each text the suffixes at minimisers are taken first: word places whose GRAM-word hash is least in some window of
+WINDOW such places, chosen by content alone, so equal passages keep equal suffixes. Every run of `least` equal words has
+the least place of its first WINDOW places with REACH words or more to its right. Only runs whose place there begins with REACH
+words that another document has at a minimiser too can be repeated; all of those are then ranked by the fingerprint
+of their first `least` words (96 bits), and those of one rank with more than one document are passages. The union of
+repeated runs of `least` words is the union of all longer ones, so no order of suffixes and no neighbours are needed,
+and a group's size doesn't matter.
 
-Equal texts count once and are passages as a whole. A group of suffixes with one beginning is dealt into parts of
-about GROUP (only that large a group loses some neighbours to other parts; it still has GROUP of them).
+Equal texts count once and are passages as a whole.
 
 Nulls and edge cases: null, empty and short texts have no passages; a null id takes no part; rows with equal ids
 count as one document; passages that only one document repeats are not reported; other columns are ignored; an
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from . import passages, tokens
 from .store import Scratch
 
-GRAM, WINDOW, REACH, GROUP = 8, 24, 24, 20_000
+GRAM, WINDOW, REACH = 8, 24, 24
 #: REACH + WINDOW - 1 <= least must hold.
 LEAST = 50
+_HIGH = np.uint64((1 << 64) - 1)
 
 
 def _runs(h: np.ndarray, size: int) -> np.ndarray:
@@ -48,22 +49,31 @@ def _runs(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _slide(x: np.ndarray, window: int, pick: np.ufunc, fill: np.uint64) -> np.ndarray:
+    """The least or greatest of each window of that length, by block-wise running extremes."""
+    m = -len(x) % window
+    x = np.concatenate([x, np.full(m, fill, x.dtype)]).reshape(-1, window)
+    left, right = pick.accumulate(x, 1).ravel(), pick.accumulate(x[:, ::-1], 1)[:, ::-1].ravel()
+    return pick(right[: len(left) - window + 1], left[window - 1 :])
+
+
 def least_places(value: np.ndarray, window: int) -> np.ndarray:
-    """Which places are the least of some window of that length (ties: all), by block-wise running minima."""
+    """Which places are the least of some window of that length (ties: all)."""
     n = len(value)
     if n < window:
         return np.zeros(n, bool)
+    low = _slide(value, window, np.minimum, _HIGH)[: n - window + 1]
+    pad = np.zeros(window - 1, np.uint64)
+    return _slide(np.concatenate([pad, low, pad]), window, np.maximum, np.uint64(0))[:n] == value
 
-    def slide(x, pick, fill):
-        m = -len(x) % window
-        x = np.concatenate([x, np.full(m, fill, x.dtype)]).reshape(-1, window)
-        left, right = pick.accumulate(x, 1).ravel(), pick.accumulate(x[:, ::-1], 1)[:, ::-1].ravel()
-        return pick(right[: len(left) - window + 1], left[window - 1 :])
 
-    high = np.uint64((1 << 64) - 1)
-    low = slide(value, np.minimum, high)[: n - window + 1]
-    pad = np.zeros(window - 1, np.uint64)
-    return slide(np.concatenate([pad, low, pad]), np.maximum, np.uint64(0))[:n] == value
+def _grams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of GRAM words at each place, the place's text, and the words from there to the text's end."""
+    gram = _runs(h, GRAM)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    left = first[1:][doc] - np.arange(len(h))
+    gram[left < GRAM] = _HIGH
+    return gram, doc, left
 
 
 def _suffixes(batches):
@@ -71,39 +81,62 @@ def _suffixes(batches):
         out = []
         for low, _, data, offsets in tokens.slices(batch.column(1)):
             h, first, _, _ = tokens.words(data, offsets)
-            n = len(h)
-            if n < REACH:
+            if len(h) < REACH:
                 continue
-            gram = _runs(h, GRAM)
-            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            left = first[1:][doc] - np.arange(n)  # words from here to the text's end
-            gram[left < GRAM] = np.uint64((1 << 64) - 1)
+            gram, doc, left = _grams(h, first)
             pick = np.flatnonzero(least_places(gram, WINDOW) & (left >= REACH))
-            near, far = _runs(h, REACH)[pick], _runs(h, 2 * REACH)[pick]
-            far[left[pick] < 2 * REACH] = 0
-            out.append((near, far, low + doc[pick], pick - first[:-1][doc[pick]]))
-        near, far, row, at = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            out.append((_runs(h, REACH)[pick], low + doc[pick], pick - first[:-1][doc[pick]]))
+        near, row, at = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         ids = batch.column(0).cast(pa.int64()).to_numpy()
-        yield pa.record_batch([pa.array(near.view(np.int64)), pa.array(far.view(np.int64)), pa.array(ids[row]), pa.array(at.astype(np.int32))], names=["near", "far", "id", "at"])
+        yield pa.record_batch([pa.array(near.view(np.int64)), pa.array(ids[row]), pa.array(at.astype(np.int32))], names=["near", "id", "at"])
+
+
+def _ranked(least: int):
+    """(key, more, id, at) of each different run of `least` words whose least place is shared; at are all its places."""
+
+    def run(batches):
+        for batch in batches:
+            ids, out = batch.column(0).cast(pa.int64()).to_numpy(), []
+            for low, _, data, offsets in tokens.slices(batch.column(1)):
+                h, first, _, _ = tokens.words(data, offsets)
+                if len(h) < least:
+                    continue
+                gram, doc, left = _grams(h, first)
+                size, lists = np.diff(first), batch.column(2)[low : low + len(first) - 1]
+                text = np.repeat(np.arange(len(size)), lists.value_lengths().to_numpy())
+                at = lists.flatten().to_numpy()
+                inside = at < size[text]
+                alone = np.ones(len(h), np.uint64)
+                alone[first[:-1][text[inside]] + at[inside]] = 0
+                # The last bit of the least hash says whether its place is shared.
+                ahead = _slide(gram & ~np.uint64(1) | alone, WINDOW, np.minimum, _HIGH)[: len(h) - WINDOW + 1]
+                pick = np.flatnonzero((ahead & np.uint64(1) == 0) & (left[: len(ahead)] >= least))
+                out.append((_runs(h, least)[pick], _runs(tokens.mix(h ^ np.uint64(0xA0761D6478BD642F)), least)[pick] >> np.uint64(32), low + doc[pick], pick - first[:-1][doc[pick]]))
+            if not out:
+                continue
+            key, more, row, at = (np.concatenate(c) for c in zip(*out, strict=True))
+            order = np.lexsort((at, more, key, row))
+            key, more, row, at = key[order], more[order], row[order], at[order].astype(np.int32)
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (more[1:] != more[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, np.int64)
+            places = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer((np.append(new, len(at)) * 4).astype(np.int32).tobytes()), pa.py_buffer(at.tobytes())])
+            yield pa.record_batch([pa.array(key[new].view(np.int64)), pa.array(more[new].astype(np.uint32).view(np.int32)), pa.array(ids[row[new]]), places], names=["key", "more", "id", "at"])
+
+    return run
+
 
+def _spans(least: int):
+    """(id, a, b): each document's runs of `least` words, those that overlap or touch as one."""
 
-def _extend(least: int):
-    def check(a, b, anchors):
-        done = {}
-        for i, j in anchors.tolist():
-            if done.get(i - j, -1) > i:
-                continue  # inside a run found from an earlier place of the same alignment
-            n = min(len(a) - i, len(b) - j)
-            unlike = np.flatnonzero(a[i : i + n] != b[j : j + n])
-            right = int(unlike[0]) if len(unlike) else n
-            m = min(i, j)
-            unlike = np.flatnonzero(a[i - m : i] != b[j - m : j])
-            left = m - 1 - int(unlike[-1]) if len(unlike) else m
-            done[i - j] = i + right
-            if left + right >= least:
-                yield i - left, i + right, j - left, j + right
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, lists in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                at = np.unique(np.frombuffer(b"".join(lists.as_py()), np.int32))
+                cut = np.flatnonzero(np.diff(at) > least)
+                out += [(doc, a, b + least) for a, b in zip(at[np.append(0, cut + 1)].tolist(), at[np.append(cut, len(at) - 1)].tolist(), strict=True)]
+            yield pa.record_batch([pa.array(c, pa.int32() if k else pa.int64()) for k, c in enumerate(zip(*out, strict=True) if out else [[]] * 3)], names=["id", "a", "b"])
 
-    return check
+    return run
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
@@ -113,15 +146,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(docs.sparkSession, "suffix_dedup")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     single, copies = passages.one_of_each_text(scratch, texts)
-    rows = scratch.table(single.mapInArrow(_suffixes, "near long, far long, id long, at int"), "suffixes")
-    groups = rows.groupBy("near").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("near", F.ceil(F.col("n") / GROUP).alias("parts"))
-    same = scratch.table(rows.join(groups, "near").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts"), "same")
+    rows = scratch.table(single.mapInArrow(_suffixes, "near long, id long, at int"), "suffixes")
+    groups = rows.groupBy("near").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("near")
+    shared = scratch.table(rows.join(groups, "near").groupBy("id").agg(F.collect_list("at").alias("at")), "shared")
     scratch.drop("suffixes")
-    order = Window.partitionBy("near", "part").orderBy("far", "id", "at")
-    beside = same.select(F.col("id").alias("x"), F.col("at").alias("i"), F.lag("id").over(order).alias("y"), F.lag("at").over(order).alias("j")).where("x <> y")
-    x, y = F.least("x", "y"), F.greatest("x", "y")
-    turned = beside.select(x.alias("x"), y.alias("y"), F.when(F.col("x") < F.col("y"), F.struct("i", "j")).otherwise(F.struct(F.col("j").alias("i"), F.col("i").alias("j"))).alias("at"))
-    # One pair's places are at most as many as its texts' minimisers.
-    pairs = scratch.table(turned.groupBy("x", "y").agg(F.sort_array(F.collect_set("at")).alias("anchors")), "pairs")
-    found = scratch.table(passages.verified(single, pairs, _extend(least)), "found")
-    return passages.merged(found, texts, copies, least)
+    # A text has a row for each different run, so a group has no more rows than documents.
+    ranks = single.join(shared, "id").select("id", "text", "at").mapInArrow(_ranked(least), "key long, more int, id long, at binary")
+    one = Window.partitionBy("key", "more")
+    repeated = ranks.withColumns({"lo": F.min("id").over(one), "hi": F.max("id").over(one)}).where("lo <> hi")
+    spans = scratch.table(repeated.groupBy("id").agg(F.collect_list("at").alias("at")).mapInArrow(_spans(least), "id long, a int, b int"), "spans")
+    return passages.joined(spans, texts, copies, least)
