@@ -30,3 +30,12 @@ def test_query(spark, sql, name):
     assert sorted(got.columns) == columns
     a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (want, got))
     assert len(a) == len(b) and all(((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all() for c in columns)
+
+
+def test_whole_counts(spark):
+    run = lambda name: catalog.queries()[name](spark, SF)
+    whole = run("wilcoxon_w_all").collect()
+    assert {r.subject for r in whole} == {0, 1, 2} and sum(r.n for r in whole) > 2 * sum(r.n for r in run("wilcoxon_w").collect())
+    p = [r.p_value * 1001 for r in run("peak_perm_test_1000").collect()]
+    assert p and all(abs(x - round(x)) < 1e-6 for x in p)
+    assert run("onset_perm_100000").first().n_valid > 10_000

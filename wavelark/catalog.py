@@ -198,9 +198,13 @@ _on_signal("event_epochs", lambda s: _epochs(s).select("event", "label", "offset
 _on_signal("pre_post_means", lambda s: segments.pre_post(_epochs(s), 5, 5).select("event", "label", r6("pre_mean").alias("pre_mean"), r6("post_mean").alias("post_mean")), IBC + "select event, label, round(pre_mean, 6) as pre_mean, round(post_mean, 6) as post_mean from pp2")
 _on_signal("paired_t", lambda s: statistics.paired_t(segments.pre_post(_epochs(s), 5, 5), F.col("post_mean"), F.col("pre_mean")).select("n", r6("mean_diff").alias("mean_diff"), r6("t").alias("t")), IBC + "select count(*) as n, round(avg(post_mean - pre_mean), 6) as mean_diff, round(avg(post_mean - pre_mean) / (stddev_samp(post_mean - pre_mean) / sqrt(count(*))), 6) as t from pp2")
 _on_signal("wilcoxon_w", lambda s: statistics.wilcoxon(signal.pick(s, [0]).where("t_idx % 2 = 0").join(s.select("subject", "channel", (F.col("t_idx") - 1).alias("t_idx"), F.col("value").alias("post")), ["subject", "channel", "t_idx"]), F.col("post"), F.col("value"), ("channel",)), SIG + ", d as (select a.channel, b.value - a.value as d from sig a join sig b on a.subject = b.subject and a.channel = b.channel and b.t_idx = a.t_idx + 1 where a.subject = 0 and a.t_idx % 2 = 0 and b.value <> a.value), r as (select channel, d, rank() over (partition by channel order by abs(d)) + (count(*) over (partition by channel, abs(d)) - 1) / 2 as r from d) select channel, count(*) as n, least(coalesce(sum(case when d > 0 then r end), 0), coalesce(sum(case when d < 0 then r end), 0)) as w from r group by channel")
+_on_signal("wilcoxon_w_all", lambda s: statistics.wilcoxon(s.join(s.select("subject", "channel", (F.col("t_idx") - 1).alias("t_idx"), F.col("value").alias("post")), ["subject", "channel", "t_idx"]), F.col("post"), F.col("value"), ("subject", "channel")), SIG + ", d as (select a.subject, a.channel, b.value - a.value as d from sig a join sig b on a.subject = b.subject and a.channel = b.channel and b.t_idx = a.t_idx + 1 where b.value <> a.value), r as (select subject, channel, d, rank() over (partition by subject, channel order by abs(d)) + (count(*) over (partition by subject, channel, abs(d)) - 1) / 2 as r from d) select subject, channel, count(*) as n, least(coalesce(sum(case when d > 0 then r end), 0), coalesce(sum(case when d < 0 then r end), 0)) as w from r group by subject, channel")
+# The permutation tests with the counts of a real analysis; without SQL, which is stated at the counts above.
+_on_signal("peak_perm_test_1000", lambda s: statistics.participation_test(_status(s)))
 _on_signal("test_p_values", lambda s: statistics.paired_t(segments.pre_post(_epochs(s), 5, 5), F.col("post_mean"), F.col("pre_mean")).withColumn("p", statistics.t_p_value("t", "n")))
 _on_signal("onset_perm", lambda s: statistics.onset_null(_mean_series(s), 3, 6, 6, 12, 40).withColumn("diff", r6("diff")), IBC + "select perm, round(diff, 6) as diff from onull")
 _on_signal("onset_perm_summary", lambda s: statistics.two_sided(statistics.onset_null(_mean_series(s), 3, 6, 6, 12, 40), 5.0).select("n_valid", r6("null_mean").alias("null_mean"), r6("null_std").alias("null_std"), r6("p_value").alias("p_value")), IBC + "select count(*) as n_valid, round(avg(diff), 6) as null_mean, round(stddev_pop(diff), 6) as null_std, round((sum(case when abs(diff) >= 5 then 1 else 0 end) + 1) / (count(*) + 1), 6) as p_value from onull")
+_on_signal("onset_perm_100000", lambda s: statistics.two_sided(statistics.onset_null(_mean_series(s), 3, 6, 6, 12, 100_000), 5.0))
 _query("null_histogram", lambda spark, d: statistics.histogram(_table("events")(spark, d), "value"), "select cast(least(floor((value - lo) / (hi - lo) * 30), 29) as int) as bin, count(*) as n from events, (select min(value) as lo, max(value) as hi from events) group by 1")
 _on_signal("dft_bins", lambda s: spectral.dft_power(s, [1, 2, 3, 4], 120).withColumn("power", F.round("power", 2)), SIG + "select subject, channel, k, round(pow(sum(value * cos(2 * pi() * k * t_idx / 120)), 2) + pow(sum(value * sin(2 * pi() * k * t_idx / 120)), 2), 2) as power from sig, (select cast(unnest(range(1, 5)) as int) as k) group by subject, channel, k")
 _on_signal("spectrogram_peak", lambda s: spectral.peak_frequency(spectral.spectrogram(s, 1.0, 40, 4, 512, (0.02, 0.45)), s.groupBy("subject").agg(F.min("time").alias("start"))))
