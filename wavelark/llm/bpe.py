@@ -6,7 +6,8 @@ three leaves (the pair itself, its live neighbour to the left, and the part that
 root. Short pieces run through one array of trees, a row each; a longer piece has a tree of its own.
 
 The pattern's matches never cross a space that a non-space follows, so texts are cut there first, and each
-distinct cut is matched and merged once a worker (the memory of them is bounded).
+distinct cut of a slice is matched and merged once. A worker remembers short cuts from slice to slice; the memory is
+bounded in entries and bytes, and only the vocabulary outlives a task.
 
 Nulls and edge cases: a null text counts as empty and has no ids; whole texts are encoded, however long; ids may
 be null or repeated; other columns are ignored; an empty table gives an empty result.
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from . import tokens
 
-#: Distinct cuts that a worker remembers before it starts anew.
-REMEMBER = 400_000
+#: Distinct cuts that a worker remembers, of at most so many characters (some 70 MB in all); when there are more, those of the present slice stay.
+REMEMBER, SHORT = 200_000, 48
 _NONE = np.int64(1 << 60)
 _LONGEST = 64
 
@@ -55,6 +56,9 @@ class Encoder:
         self.pairs = pairs
         self.pair_key = np.array(sorted(pairs), np.int64)
         self.pair_rank = np.array([pairs[k] for k in self.pair_key.tolist()], np.int64)
+        self.forget()
+
+    def forget(self) -> None:
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.piece: dict[str, bytes] = {}
@@ -172,23 +176,30 @@ class Encoder:
                     out[k] = ids
         return out
 
-    def _learn(self, memory: dict[str, bytes], cuts: set[str], lead: str) -> None:
-        new = [(c, self.pattern.findall(lead + c)) for c in cuts]
-        fresh = list({p for _, found in new for p in found} - self.piece.keys())
-        self.piece.update(zip(fresh, self.encode_pieces([p.encode() for p in fresh]), strict=True))
-        get = self.piece.__getitem__
-        for c, found in new:
-            memory[c] = b"".join(map(get, found))
+    def _known(self, memory: dict[str, bytes], cuts: set[str], lead: str) -> dict[str, bytes]:
+        """The ids of each of these cuts, with `lead` before it."""
+        here = {c: memory[c] for c in cuts & memory.keys()}
+        new = [(c, self.pattern.findall(lead + c)) for c in cuts - here.keys()]
+        pieces = {p for _, found in new for p in found}
+        ids = {p: self.piece[p] for p in pieces & self.piece.keys()}
+        fresh = list(pieces - ids.keys())
+        fresh_ids = dict(zip(fresh, self.encode_pieces([p.encode() for p in fresh]), strict=True))
+        ids |= fresh_ids
+        if len(self.piece) + len(fresh) > REMEMBER:
+            self.piece.clear()
+        self.piece.update((p, x) for p, x in fresh_ids.items() if len(p) <= SHORT)
+        get = ids.__getitem__
+        learnt = {c: b"".join(map(get, found)) for c, found in new}
+        if len(memory) + len(learnt) > REMEMBER:
+            memory.clear()
+            memory.update((c, x) for c, x in here.items() if len(c) <= SHORT)
+        memory.update((c, x) for c, x in learnt.items() if len(c) <= SHORT)
+        return here | learnt
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [t.split(" ") if _SPACE_BEFORE_SPACE.search(t) is None else _CUT.split(t) for t in texts]
-        if len(self.spaced) + len(self.first) > REMEMBER:
-            self.spaced, self.first = {}, {}
-        if len(self.piece) > REMEMBER:
-            self.piece = {}
-        self._learn(self.first, {p[0] for p in parts} - self.first.keys(), "")
-        self._learn(self.spaced, {c for p in parts for c in p[1:]} - self.spaced.keys(), " ")
-        first, spaced = self.first, self.spaced.__getitem__
+        first = self._known(self.first, {p[0] for p in parts}, "")
+        spaced = self._known(self.spaced, {c for p in parts for c in p[1:]}, " ").__getitem__
         return [np.frombuffer(first[p[0]] + b"".join(map(spaced, p[1:])), np.int32) for p in parts]
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -226,6 +237,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                 ids = coder.encode([raw[a:b].decode() for a, b in zip(ends[:-1], ends[1:], strict=True)])
                 decoded = [coder.decode(x) for x in ids]
                 yield pa.record_batch([batch.column(0)[low:high], tokens.lists(ids, pa.int32()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+        coder.forget()
+        tokens.give_back()
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, ids array<int>, decoded binary")
