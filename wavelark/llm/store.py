@@ -8,39 +8,53 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Key tables of at most this many rows (8 MB of longs) are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Tables of at most so many bytes (1,000,000 rows of one long) are broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 8_000_000
 #: Bytes of an Arrow batch sent to a Python worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one of our own only where none is set."""
+    """The folder named in spark.checkpoint.dir. Where none is set, a local session gets a temporary one; a cluster's executors
+    would not see each other's files there, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="wavelark-")
     return _own[app]
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Batches for Python end by bytes too, so that very long texts don't add up in one. A lower limit of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, None)
+    if held is None or not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 class Scratch:
     """Intermediate tables of one operator call. Each cuts the lineage: later stages, and stages that are
     run again after an executor was lost, start from the files."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        # Batches for Python end by bytes too, so that very long texts don't add up in one.
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        limit_batches(spark)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def small(self, df: DataFrame, name: str) -> DataFrame:
+        """The written table, with a broadcast hint if it is small."""
+        return small(self.table(df, name))
+
     def drop(self, *names: str) -> None:
         """Removes tables of this call that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
@@ -49,27 +63,39 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows (counted up to the limit); otherwise as it is, for a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df (a written table) with a broadcast hint if its rows hold at most `limit` bytes, by one aggregate with partial sums;
+    otherwise as it is, for a shuffle."""
+    size = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + 8 + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith("array"):
+            size = size + 8 + 8 * F.greatest(F.size(name), F.lit(0))
+        else:
+            size = size + 8
+    return F.broadcast(df) if (df.agg(F.sum(size)).head()[0] or 0) <= limit else df
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(node, root) of every node in links (a, b): root is the smallest node that can be reached.
 
     Labels flow along links and then jump to the label of their label, so chains shorten by half a round.
-    All steps are joins and aggregates with partial sums; nothing is gathered in one place.
+    All steps are joins and aggregates with partial sums; nothing is gathered in one place. The table that is joined on
+    hot labels is written before, so that adaptive execution can split a giant component's share.
     """
     both = scratch.table(links.select("a", "b").where("a <> b").union(links.select("b", "a").where("a <> b")).distinct(), "both")
     labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels0")
     step = 0
     while True:
         step += 1
-        seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
+        seen = both.join(small(labels), both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
         near = labels.join(seen, labels.node == seen.a).select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
+        near = scratch.table(near, f"near{step}")
         jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        new = scratch.table(near.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("root")), f"labels{step}")
-        scratch.drop(f"labels{step - 1}")
+        new = scratch.table(near.join(small(jump), "mid").select("node", "old", F.least("mid", "far").alias("root")), f"labels{step}")
+        scratch.drop(f"labels{step - 1}", f"near{step}")
         labels = new.select("node", "root")
         if new.where("root <> old").limit(1).count() == 0:
+            scratch.drop("both")
             return labels
