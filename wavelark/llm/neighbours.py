@@ -1,14 +1,19 @@
 """Approximate nearest neighbours: a graph built by NN-descent, and greedy search on it.
 
-Equal vectors are one vertex. A first graph comes from overlapping cells: each vertex goes to the cells of its
-nearest pivots (a bounded sample), and within a cell all are compared. Then NN-descent: in each round every
-vertex introduces its neighbours, in both directions, to each other, by Spark joins; pairs that are nearer than
-what a vertex had replace it. A hub's list is dealt into blocks, so no vertex gathers an unbounded list. Searches
-keep the nearest EF vertices of each query and open unopened ones by joins with the graph until none is left.
+Equal vectors are one vertex. The graph starts thin and random: each vertex knows the few others that share one of its
+hash groups. In each round of NN-descent every vertex introduces its neighbours, in both directions, to each other, by Spark
+joins; a pair is measured if one of its two edges is new, and replaces what was farther. Rounds go on until
+fewer than SETTLED of all edges are new. A hub's list is dealt into blocks, so no vertex gathers an unbounded list.
+A search starts at the query's own vertex; each step opens all unopened vertices among the nearest EF found so far and measures
+their neighbours, until none is left to open. The EF nearest are measured again on the original vectors in double precision.
+
+Graph and search are steered by 32-bit copies, centred on the dimensions' medians and divided by the median extent, so neither the
+scale of the data, nor a shift, nor single outliers matter. Within a list, distances are taken from the list's own mean.
 
 Nulls and edge cases: a vector that is null, zero, or has a null or non-finite part takes no part; an id that is
-null neither; rows of equal vectors are all candidates; repeated ids count once; other columns are ignored; an empty table gives an
-empty result; with fewer candidates than asked for, all are returned.
+null neither; of vectors of different lengths those of the commonest length take part (of equally common ones the longest); of rows with equal ids
+the vector whose bytes come first counts, once; rows of equal vectors are all candidates; other columns are ignored; an empty table
+gives an empty result; with fewer candidates than asked for, all that are reached are returned.
 """
 
 from __future__ import annotations
@@ -18,26 +23,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from . import tokens
+from .store import Scratch, size_of, small
 
-#: Edges of a vertex; cells a vertex belongs to; vertices a cell has on average, and at most before it is dealt into parts.
-DEGREE, CELLS, CELL_ROWS, CELL_MOST = 32, 4, 4_000, 12_000
-#: Pivots at most (2 MB for 64 dimensions); rounds of NN-descent; members of a block; kept and opened in a search.
-PIVOTS, ROUNDS, BLOCK, EF, OPEN = 8_192, 2, 48, 128, 64
-_EDGES = "v long, w long, d float"
+#: Edges of a vertex; hash groups that give the first of them; share of new edges at which descent ends, and rounds at most.
+DEGREE, GROUPS, SETTLED, ROUNDS = 24, 4, 0.01, 40
+#: Members of a block of a list; pairs a list tells each member at most (nearer ones first; others come up in later rounds).
+BLOCK, TOLD = 48, 6
+#: Vertices that a search keeps.
+EF = 256
+#: Vectors are broadcast up to so many bytes, and otherwise written in buckets by vertex, so that joins don't shuffle them again.
+BROADCAST_BYTES, BUCKET_BYTES = 32 << 20, 64 << 20
+_EDGES = "v long, w long, d float, fresh boolean"
 
 
-def _matrix(column, kind=np.float32) -> np.ndarray:
-    flat = np.frombuffer(b"".join(x.as_py() for x in column), kind)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+def _matrix(column: pa.Array, kind=np.float32) -> np.ndarray:
+    """The rows of a binary column without nulls, all of one length."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = len(column)
+    if not n:
+        return np.zeros((0, 1), kind)
+    ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + n + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(n, -1)
 
 
-def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(-1)[..., :, None] + (y * y).sum(-1)[..., None, :] - 2 * x @ np.swapaxes(y, -1, -2), 0)
+def _packed(x: np.ndarray) -> pa.Array:
+    x = np.ascontiguousarray(x)
+    ends = np.arange(len(x) + 1, dtype=np.int32) * (x.strides[0] if len(x) else 0)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(x.tobytes())])
 
 
-def _edge_batch(v, w, d):
-    return pa.record_batch([pa.array(v, pa.int64()), pa.array(w, pa.int64()), pa.array(d, pa.float32())], names=["v", "w", "d"])
+def _squares(x: np.ndarray) -> np.ndarray:
+    """Squared distances of a list's members, taken from its mean."""
+    x = x - x.mean(0)
+    own = (x * x).sum(1)
+    return np.maximum(own[:, None] + own - 2 * (x @ x.T), 0)
 
 
 def usable(vector: Column) -> Column:
@@ -47,157 +68,159 @@ def usable(vector: Column) -> Column:
 
 
 def vertices(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(v, vec as 32-bit floats) of each distinct vector, v being its smallest id; and (id, v) of each row."""
+    """(v, exact, near) of each distinct vector, v being its smallest id: the vector, and its copy for steering; and (id, v) of each
+    id. rows: (id, vec)."""
+    lengths = rows.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).head()
+    size = lengths.n if lengths else 0
 
     def pack(batches):
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([np.array(x.as_py(), np.float64).tobytes() for x in batch.column(1)], pa.binary())], names=["id", "exact"])
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+            yield pa.record_batch([batch.column(0), _packed(flat + 0.0)], names=["id", "exact"])  # -0.0 becomes 0.0
 
-    packed = scratch.table(rows.mapInArrow(pack, "id long, exact binary").distinct(), "packed")
-    first = scratch.table(packed.groupBy("exact").agg(F.min("id").alias("v")), "vertices")
-    return first, packed.join(first, "exact").select("id", "v")
+    one = rows.where(F.size("vec") == size).mapInArrow(pack, "id long, exact binary") if size else rows.select("id", F.lit(b"").alias("exact")).limit(0)
+    packed = scratch.table(one.groupBy("id").agg(F.min("exact").alias("exact")), "packed")
+    first = scratch.table(packed.groupBy("exact").agg(F.min("id").alias("v")), "first")
+    part = lambda k: F.element_at("vec", k + 1).cast("double")
+    centre = np.array(rows.where(F.size("vec") == size).agg(*(F.percentile_approx(part(k), 0.5, 1000) for k in range(size))).head(), float) if size else np.zeros(0)
 
+    def extent(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array(np.abs(_matrix(batch.column(0), np.float64) - centre).max(1))], names=["x"])
 
-def _cells(scratch: Scratch, first: DataFrame, n: int) -> DataFrame:
-    """A first graph: the nearest DEGREE of those in the same cells."""
-    k = min(PIVOTS, max(1, -(-n * CELLS // CELL_ROWS)))
-    pivots = [r.exact for r in first.orderBy(F.xxhash64("v"), "v").limit(k).select("exact").collect()]
-    shared = first.sparkSession.sparkContext.broadcast(np.array([np.frombuffer(p) for p in pivots], np.float32))
-    parts = max(1, -(-n * CELLS // (k * CELL_MOST)))
+    scale = (first.select("exact").mapInArrow(extent, "x double").agg(F.percentile_approx("x", 0.5, 1000)).head()[0] if size else 1.0) or 1.0
 
-    def assign(batches):
-        for batch in batches:
-            x = _matrix(batch.column(1), np.float64).astype(np.float32)
-            if not len(x):
-                continue
-            own = np.argsort(_squares(x, shared.value), 1)[:, : min(CELLS, k)]
-            v = batch.column(0).to_numpy()
-            cells = own * parts + (v % parts)[:, None]
-            m = own.shape[1]
-            yield pa.record_batch([pa.array(cells.ravel().astype(np.int32)), pa.array(np.repeat(v, m)), pa.array([r.tobytes() for r in np.repeat(x, m, 0)], pa.binary())], names=["cell", "v", "vec"])
-
-    def within(key, table):
-        v, x = table["v"].to_numpy(), _matrix(table["vec"])
-        out = []
-        for a in range(0, len(v), 1024):
-            d = _squares(x[a : a + 1024], x)
-            d[np.arange(len(d)), a + np.arange(len(d))] = np.inf
-            m = min(DEGREE, len(v) - 1)
-            if m:
-                near = np.argpartition(d, m - 1, 1)[:, :m]
-                out.append(_edge_batch(np.repeat(v[a : a + 1024], m), v[near].ravel(), np.take_along_axis(d, near, 1).ravel()))
-        return pa.Table.from_batches(out) if out else pa.Table.from_batches([_edge_batch([], [], [])])
-
-    dealt = first.select("v", "exact").mapInArrow(assign, "cell int, v long, vec binary")
-    # Cells that turn out larger than CELL_MOST are dealt into parts by their counted size.
-    dealt = scratch.table(dealt, "cells")
-    sizes = dealt.groupBy("cell").agg(F.count("*").alias("n"))
-    dealt = dealt.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / CELL_MOST)))
-    return dealt.select("cell", "part", "v", "vec").groupBy("cell", "part").applyInArrow(within, _EDGES)
-
-
-def _nearest(edges: DataFrame, k: int) -> DataFrame:
-    ranked = edges.groupBy("v", "w").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("d", "w")))
-    return ranked.where(F.col("r") <= k)
-
-
-def _descend(graph: DataFrame, half: DataFrame) -> DataFrame:
-    """Edges between neighbours of a common vertex that are nearer than the ends' farthest edge."""
-    far = graph.groupBy("v").agg(F.max("d").alias("far"))
-    there = graph.select(F.col("v").alias("u"), F.col("w").alias("m"))
-    back = graph.select(F.col("w").alias("u"), F.col("v").alias("m"))
-    member = half.join(far, "v").select(F.col("v").alias("m"), "far", "half")
-    lists = there.union(back).distinct()
-    # A hub's long list is dealt into blocks of about BLOCK members; counts are summed before they are shuffled.
-    sizes = back.groupBy("u").agg((F.count("*") + DEGREE).alias("n"))
-    lists = lists.join(sizes, "u", "left").withColumn("block", F.pmod(F.xxhash64("u", "m"), F.greatest(F.lit(1), F.round(F.coalesce("n", F.lit(1)) / BLOCK).cast("int"))))
-    told = lists.join(member, "m").groupBy("u", "block").agg(F.collect_list(F.struct("m", "far", "half")).alias("all"))
-
-    def introduce(batches):
-        for batch in batches:
-            every = batch.column(0)
-            flat, ends = every.flatten(), every.value_lengths().to_numpy()
-            m, far_, x = flat.field(0).to_numpy(), flat.field(1).to_numpy(), _matrix(flat.field(2), np.float16).astype(np.float32)
-            at, out = 0, []
-            for n in ends.tolist():
-                s = slice(at, at + n)
-                d = _squares(x[s], x[s])
-                a, b = np.nonzero(d < far_[s][:, None])
-                keep = a != b
-                a, b = a[keep], b[keep]
-                out.append((m[s][a], m[s][b], d[a, b]))
-                at += n
-            if out:
-                v, w, d = (np.concatenate(c) for c in zip(*out, strict=True))
-                # A pair that several vertices introduce is told once a batch.
-                order = np.lexsort((w, v))
-                v, w, d = v[order], w[order], d[order]
-                one = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]) if len(v) else np.zeros(0, bool)
-                yield _edge_batch(v[one], w[one], d[one])
-
-    return told.select("all").mapInArrow(introduce, _EDGES)
-
-
-def build_graph(scratch: Scratch, first: DataFrame, rounds: int = ROUNDS, degree: int = DEGREE) -> DataFrame:
-    """(v, w, d): each vertex's nearest others found, d being the squared distance."""
-
-    def halve(batches):
+    def steer(batches):
         for batch in batches:
             x = _matrix(batch.column(1), np.float64)
-            top = np.abs(x).max() if x.size else 1
-            yield pa.record_batch([batch.column(0), pa.array([r.tobytes() for r in (x if top < 6e4 else x / top).astype(np.float16)], pa.binary())], names=["v", "half"])
-
-    half = scratch.table(first.select("v", "exact").mapInArrow(halve, "v long, half binary"), "half")
-    graph = scratch.table(_nearest(_cells(scratch, first, first.count()), degree).select("v", "w", "d"), "graph0")
+            near = np.clip(x / scale - centre / scale, -1e15, 1e15) if len(x) else x
+            yield pa.record_batch([batch.column(0), batch.column(1), _packed(near.astype(np.float32))], names=["v", "exact", "near"])
+
+    full = first.select("v", "exact").mapInArrow(steer, "v long, exact binary, near binary")
+    return scratch.table(full, "vectors"), packed.join(first, "exact").select("id", "v")
+
+
+def _introduce(batches):
+    """Edges between members of a list (all array<struct<m, fresh, far, near>>) that are nearer than the ends' farthest edge."""
+    for batch in batches:
+        every = batch.column(0)
+        flat, ends = every.flatten(), np.concatenate([[0], np.cumsum(every.value_lengths().to_numpy())])
+        m, fresh, far = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        x, out = _matrix(flat.field(3)), []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            order = a + np.lexsort((~fresh[a:b], m[a:b]))  # of a member told twice, the row that is new
+            order = order[np.concatenate([[True], m[order][1:] != m[order][:-1]])]
+            new, id_ = fresh[order], m[order]
+            if len(order) < 2 or not new.any():
+                continue
+            d = _squares(x[order])
+            d[~(new[:, None] | new) | (d >= far[order][:, None])] = np.inf
+            np.fill_diagonal(d, np.inf)
+            if len(order) > TOLD + 1:
+                k = np.argpartition(d, TOLD, 1)[:, :TOLD]
+                d = np.take_along_axis(d, k, 1)
+                i, j = np.nonzero(d < np.inf)
+                out.append((id_[i], id_[k[i, j]], d[i, j]))
+            else:
+                i, j = np.nonzero(d < np.inf)
+                out.append((id_[i], id_[j], d[i, j]))
+        v, w, d = (np.concatenate(c) for c in zip(*out, strict=True)) if out else ([], [], [])
+        yield pa.record_batch([pa.array(v, pa.int64()), pa.array(w, pa.int64()), pa.array(d, pa.float32()), pa.array(np.ones(len(v), bool))], names=["v", "w", "d", "fresh"])
+    tokens.give_back()
+
+
+def _nearest(edges: DataFrame, degree: int) -> DataFrame:
+    """(v, far, all array<struct<d, w, fresh>>) of the edges (v, w, d, fresh): the nearest ones. One shuffle, by vertex."""
+    once = edges.repartition("v").groupBy("v", "w").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct("d", "w", "fresh"))), 1, degree)
+    whole = once.groupBy("v").agg(best.alias("all"))
+    return whole.select("v", F.when(F.size("all") < degree, float("inf")).otherwise(F.element_at("all.d", -1)).cast("float").alias("far"), "all")
+
+
+def build_graph(scratch: Scratch, vectors: DataFrame, rounds: int = ROUNDS, degree: int = DEGREE, settled: float = SETTLED) -> DataFrame:
+    """(v, far, all array<struct<d, w, fresh>>): each vertex's nearest others found, d being the squared distance of the copies."""
+    near = small(vectors.select(F.col("v").alias("m"), "near"), BROADCAST_BYTES)
+    few = max(1, round(vectors.count() / (degree // GROUPS + 1)))
+    seeds = vectors.select(F.col("v").alias("m"), "near", F.explode(F.sequence(F.lit(1), F.lit(GROUPS))).alias("s")).withColumn("g", F.pmod(F.xxhash64("s", "m"), F.lit(few)))
+    member = F.struct("m", F.lit(True).alias("fresh"), F.lit(float("inf")).cast("float").alias("far"), "near")
+    begun = seeds.groupBy("s", "g").agg(F.collect_list(member).alias("all")).select("all").mapInArrow(_introduce, _EDGES)
+    graph = scratch.table(_nearest(begun, degree), "graph0")
     for step in range(1, rounds + 1):
-        graph = scratch.table(_nearest(graph.union(_descend(graph, half)), degree).select("v", "w", "d"), f"graph{step}")
-        scratch.drop(f"graph{step - 1}")
+        edges = graph.select("v", F.inline("all"))
+        lists = edges.select(F.col("v").alias("u"), F.col("w").alias("m"), "fresh").union(edges.select(F.col("w").alias("u"), F.col("v").alias("m"), "fresh"))
+        # A hub's list is dealt into blocks of about BLOCK members by their hash.
+        hubs = edges.groupBy(F.col("w").alias("u")).agg(F.round((F.count("*") + degree) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+        dealt = lists.join(scratch.small(hubs, f"hubs{step}"), "u", "left").withColumn("block", F.pmod(F.xxhash64("u", "m"), F.coalesce("blocks", F.lit(1))))
+        known = dealt.join(near, "m").join(small(graph.select(F.col("v").alias("m"), "far")), "m")
+        told = known.groupBy("u", "block").agg(F.collect_list(F.struct("m", "fresh", "far", "near")).alias("all")).where(F.exists("all", lambda x: x["fresh"])).select("all")
+        held = edges.select("v", "w", "d", F.lit(False).alias("fresh"))
+        graph = scratch.table(_nearest(told.mapInArrow(_introduce, _EDGES).union(held), degree), f"graph{step}")
+        scratch.drop(f"graph{step - 1}", f"hubs{step}")
+        new = graph.agg(F.sum(F.size(F.filter("all", lambda e: e["fresh"]))).alias("new"), F.sum(F.size("all")).alias("n")).head()
+        if (new.new or 0) <= settled * (new.n or 0):
+            break
     return graph
 
 
+def _advance(ef: int):
+    """A search's next state from what its opened vertices lead to. State: (of, near, w, d, opened, seen)."""
+
+    def run(key, found, state):
+        row = state.slice(0, 1).to_pydict()
+        w, d, seen = np.array(row["w"][0], np.int64), np.array(row["d"][0], np.float32), np.array(row["seen"][0], np.int64)
+        fresh = np.flatnonzero(~np.isin(found["w"].to_numpy(), seen)) if found.num_rows else np.zeros(0, np.int64)
+        opened = np.ones(len(w), bool)
+        if len(fresh):
+            x = _matrix(found["near"])[fresh] - np.frombuffer(row["near"][0], np.float32)
+            more = found["w"].to_numpy()[fresh]
+            w, d, opened, seen = np.concatenate([w, more]), np.concatenate([d, (x * x).sum(1)]), np.concatenate([opened, np.zeros(len(more), bool)]), np.concatenate([seen, more])
+            order = np.lexsort((w, d))[:ef]
+            w, d, opened = w[order], d[order], opened[order]
+        return pa.table({"q": state["of"].slice(0, 1), "near": state["near"].slice(0, 1), "w": pa.array([w.tolist()], pa.list_(pa.int64())), "d": pa.array([d.tolist()], pa.list_(pa.float32())), "opened": pa.array([opened.tolist()], pa.list_(pa.bool_())), "seen": pa.array([seen.tolist()], pa.list_(pa.int64()))})
+
+    return run
+
+
+def search(scratch: Scratch, graph: DataFrame, vectors: DataFrame, starts: DataFrame, ef: int = EF) -> DataFrame:
+    """(q, w): the ef vertices nearest to each vertex q of starts (q) that greedy search finds, itself included."""
+    near = vectors.select(F.col("v").alias("w"), "near")
+    near = F.broadcast(near) if size_of(near) <= BROADCAST_BYTES else scratch.bucketed(near, "near", "w", BUCKET_BYTES)
+    next_ = scratch.table(graph.select(F.col("v").alias("at"), F.col("all.w").alias("next")), "next")
+    kept = small(next_, BROADCAST_BYTES)
+    empty = "q long, near binary, w array<long>, d array<float>, opened array<boolean>, seen array<long>"
+    begin = starts.join(near.select(F.col("w").alias("q"), "near"), "q")
+    state = begin.select("q", "near", F.array("q").alias("w"), F.array(F.lit(0.0).cast("float")).alias("d"), F.array(F.lit(False)).alias("opened"), F.array("q").alias("seen"))
+    state, step = scratch.table(state, "state0"), 0
+    while state.where(F.exists("opened", lambda x: ~x)).limit(1).count():
+        step += 1
+        opening = state.select("q", F.explode(F.filter("w", lambda x, i: ~F.get("opened", i))).alias("at"))
+        found = opening.join(kept, "at").select("q", F.explode("next").alias("w")).repartition("q").distinct().join(near, "w").select("q", "w", "near")
+        state = scratch.table(found.groupBy("q").cogroup(state.withColumnRenamed("q", "of").groupBy("of")).applyInArrow(_advance(ef), empty), f"state{step}")
+        scratch.drop(f"state{step - 1}")
+    return state.select("q", F.explode("w").alias("w"))
+
+
 def nearest_neighbours(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", ef: int = EF, rounds: int = ROUNDS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that `queries` (a condition on the column id) marks, its k nearest others found,
     by Euclidean distance in double precision; ties go to the smaller id."""
-    spark = rows.sparkSession
-    scratch = Scratch(spark, "neighbours")
+    scratch = Scratch(rows.sparkSession, "neighbours")
     good = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
-    first, member = vertices(scratch, good)
+    vectors, member = vertices(scratch, good)
     member = scratch.table(member, "member")
-    graph = build_graph(scratch, first, rounds)
     asked = scratch.table(member.where(queries).select("id", F.col("v").alias("q")), "asked")
-    start = asked.select("q").distinct()
-    exact = first.select(F.col("v").alias("w"), "exact")
-    vector = first.select(F.col("v").alias("q"), F.col("exact").alias("asked"))
+    graph = build_graph(scratch, vectors, rounds)
+    beam = search(scratch, graph, vectors, asked.select("q").distinct(), max(ef, k + 1))
 
     def measure(batches):
         for batch in batches:
             x, y = _matrix(batch.column(2), np.float64), _matrix(batch.column(3), np.float64)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.sqrt(((x - y) ** 2).sum(1)))], names=["q", "w", "d"])
 
-    def measured(pairs: DataFrame) -> DataFrame:
-        return pairs.join(exact, "w").join(vector, "q").select("q", "w", "exact", "asked").mapInArrow(measure, "q long, w long, d double")
-
-    edges = graph.select(F.col("v").alias("w"), F.col("w").alias("next"))
-    best = Window.partitionBy("q").orderBy("d", "w")
-    # A query's vertex is in the graph; the pivots' hash order gives further entries far from it.
-    entry = [r.v for r in first.orderBy(F.xxhash64("v"), "v").limit(16).select("v").collect()]
-    seeds = start.select("q", F.explode(F.concat(F.array("q"), F.array(*(F.lit(v).cast("long") for v in entry)))).alias("w")).distinct() if entry else start.select("q", F.col("q").alias("w"))
-    beam = scratch.table(measured(seeds).select("q", "w", "d", F.lit(False).alias("opened")), "beam0")
-    step = 0
-    while beam.where("not opened").limit(1).count():
-        step += 1
-        turn = F.row_number().over(Window.partitionBy("q", "opened").orderBy("d", "w"))
-        now = beam.withColumn("turn", turn)
-        opening = now.where((~F.col("opened")) & (F.col("turn") <= OPEN)).select("q", "w")
-        seen = beam.select("q", "w")
-        new = opening.join(edges, "w").select("q", F.col("next").alias("w")).distinct().join(seen, ["q", "w"], "left_anti")
-        kept = now.select("q", "w", "d", (F.col("opened") | (F.col("turn") <= OPEN)).alias("opened"))
-        merged = kept.union(measured(new).select("q", "w", "d", F.lit(False).alias("opened")))
-        beam = scratch.table(merged.withColumn("r", F.row_number().over(best)).where(F.col("r") <= ef).drop("r"), f"beam{step}")
-        scratch.drop(f"beam{step - 1}")
-
+    exact = small(vectors.select(F.col("v").alias("w"), "exact"), BROADCAST_BYTES)
+    pairs = beam.join(exact, "w").join(asked.select("q").distinct().join(vectors.select(F.col("v").alias("q"), F.col("exact").alias("own")), "q"), "q")
+    measured = scratch.table(pairs.select("q", "w", "exact", "own").mapInArrow(measure, "q long, w long, d double"), "measured")
     # Of each vertex's rows the k + 1 smallest ids are enough for any query, its own row included.
     some = member.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("v").alias("w"), F.col("id").alias("vec_id"))
-    found = asked.join(beam.select("q", "w", "d"), "q").join(some, "w").where("vec_id <> id")
+    found = asked.join(measured, "q").join(some, "w").where("vec_id <> id")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select(F.col("id").alias("query_id"), "rank", "vec_id", F.col("d").alias("score"))

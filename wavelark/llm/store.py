@@ -55,6 +55,13 @@ class Scratch:
         """The written table, with a broadcast hint if it is small."""
         return small(self.table(df, name))
 
+    def bucketed(self, df: DataFrame, name: str, key: str, bucket_bytes: int) -> DataFrame:
+        """The written table in buckets of about so many bytes by `key`: joins on it don't shuffle it again."""
+        n = max(1, -(-size_of(df) // bucket_bytes))
+        table = f"{self.root.rsplit('/', 1)[1]}_{name}".replace("-", "_")
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{self.root}/{name}").mode("overwrite").saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         """Removes tables of this call that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
@@ -63,9 +70,8 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df (a written table) with a broadcast hint if its rows hold at most `limit` bytes, by one aggregate with partial sums;
-    otherwise as it is, for a shuffle."""
+def size_of(df: DataFrame) -> int:
+    """About how many bytes the rows hold, by one aggregate with partial sums."""
     size = F.lit(0).cast("long")
     for name, kind in df.dtypes:
         if kind in ("string", "binary"):
@@ -74,7 +80,12 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
             size = size + 8 + 8 * F.greatest(F.size(name), F.lit(0))
         else:
             size = size + 8
-    return F.broadcast(df) if (df.agg(F.sum(size)).head()[0] or 0) <= limit else df
+    return df.agg(F.sum(size)).head()[0] or 0
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df (a written table) with a broadcast hint if its rows hold at most `limit` bytes; otherwise as it is, for a shuffle."""
+    return F.broadcast(df) if size_of(df) <= limit else df
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
