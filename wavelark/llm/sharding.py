@@ -10,7 +10,7 @@ All steps are joins and aggregates on DataFrame functions. Quotas are cut on a h
 size is fixed (shards x levels x buckets), so no step ranks a whole shard in one task.
 
 Nulls and edge cases: a null text has size 16, CRC 0 and no links; equal empty texts are linked; ids may be
-null or repeated (each row is placed by itself); other columns are ignored; an empty table gives an empty result.
+null or repeated (each row is placed by itself, and rows that are equal whole may change places); other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,34 +18,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, small
 
-#: Rows are ranked within so many buckets, whose offsets come from their counts.
-BUCKETS = 256
+#: Rows are ranked within buckets of about so many rows, 256 at least, whose offsets come from their counts.
+BUCKET_ROWS = 200_000
 
 
-def _bucket(n: int = BUCKETS) -> Column:
+def _bucket(n: int) -> Column:
     return F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")
 
 
-def _ranked(scratch: Scratch, rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """rows with `rank`, gapless from 0 within each value of `by`; no sort of more than a bucket's rows."""
-    rows = rows.withColumn("bucket", _bucket())
+def _ranked(scratch: Scratch, rows: DataFrame, by: list[str], name: str, total: int) -> DataFrame:
+    """rows with `rank`, gapless from 0 within each value of `by`; no sort of more than a bucket's rows. total: rows of the whole table."""
+    rows = rows.withColumn("bucket", _bucket(max(256, -(-total // BUCKET_ROWS))))
     counts = rows.groupBy(*by, "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy(*by, F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = scratch.table(counts.select(*by, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), name)
     within = F.row_number().over(Window.partitionBy(*by, "bucket").orderBy("uid")) - 1
-    return rows.withColumn("within", within).join(F.broadcast(offsets), [*by, "bucket"]).withColumn("rank", (F.col("within") + F.col("offset")).cast("long")).drop("within", "offset", "bucket")
+    return rows.withColumn("within", within).join(small(offsets), [*by, "bucket"]).withColumn("rank", (F.col("within") + F.col("offset")).cast("long")).drop("within", "offset", "bucket")
 
 
-def _granted(scratch: Scratch, wishes: DataFrame, quota: DataFrame, on: list[str]) -> DataFrame:
-    """The wishes (uid, g, c, from, to) that fit the quota (on, q): larger groups first, then by bucket."""
+def _granted(scratch: Scratch, wishes: DataFrame, quota: DataFrame, on: str, total: int) -> DataFrame:
+    """The wishes (uid, g, c, from, to) that fit the quota (on, q) of a shard: larger groups first, then by bucket. Of the
+    cell of the histogram that crosses the quota, so many rows as there is room for."""
     cell = {"level": -F.floor(F.log2("c")).cast("int"), "part": F.pmod(F.xxhash64("g"), F.lit(32)).cast("int"), "piece": _bucket(16)}
-    asked = wishes.withColumns(cell)
-    keys = [*on, *cell]
-    upto = Window.partitionBy(*on).orderBy(*cell).rowsBetween(Window.unboundedPreceding, 0)
-    cells = asked.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("sum", F.sum("n").over(upto)).join(F.broadcast(quota), on).where("sum <= q")
-    return asked.join(scratch.small(cells.select(keys), "cells"), keys, "left_semi").select("uid", "to")
+    asked = scratch.table(wishes.withColumns(cell), "asked")
+    keys = [on, *cell]
+    upto = Window.partitionBy(on).orderBy(*cell).rowsBetween(Window.unboundedPreceding, 0)
+    cells = asked.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("sum", F.sum("n").over(upto)).join(F.broadcast(quota), on).where("sum - n < q")
+    cells = asked.join(scratch.small(cells.select(*keys, (F.col("q") - F.col("sum") + F.col("n")).alias("room"), "n"), "cells"), keys)
+    part = _ranked(scratch, cells.where("room < n"), [on], "crossing", total).where("rank < room")
+    return cells.where("room >= n").select("uid", "to").union(part.select("uid", "to"))
 
 
 def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = 8) -> DataFrame:
@@ -53,16 +56,19 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
     text = F.col("text")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(
-        F.monotonically_increasing_id().alias("uid"), "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("crc"), F.when(text.isNotNull(), F.xxhash64(text)).alias("key")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(
+        "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("crc"), F.when(text.isNotNull(), F.xxhash64(text)).alias("key")
     )
-    base = scratch.table(base, "base")
+    # A row's key comes from its content, so the result doesn't depend on how the table is dealt; equal rows are numbered.
+    every = rows.groupBy("doc_id", "size", "crc", "key").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), "n")))
+    whole = ["doc_id", "size", "crc", "key", "copy"]
+    base = scratch.table(every.select(F.struct(F.xxhash64(*whole).alias("h"), F.xxhash64(F.lit(1), *whole).alias("k")).alias("uid"), "doc_id", "size", "crc", "key"), "base")
     total = base.count()
     target = {j: total // shards + (j < total % shards) for j in range(shards)}
     same = ["key", "crc", "size"]
-    groups = base.where("key is not null").groupBy(same).agg(F.min("uid").alias("g"), F.count("*").alias("c")).where("c > 1").drop("c")
+    groups = base.where("key is not null").groupBy(same).agg(F.count("*").alias("c")).where("c > 1").select(*same, F.xxhash64(*same).alias("g"))
     linked = scratch.table(base.join(scratch.small(groups, "groups"), same).select("uid", "g"), "linked")
-    state = scratch.table(_ranked(scratch, linked, [], "offsets").select("uid", "g", F.pmod("rank", F.lit(shards)).cast("int").alias("shard")), "state0")
+    state = scratch.table(_ranked(scratch, linked, [], "offsets", total).select("uid", "g", F.pmod("rank", F.lit(shards)).cast("int").alias("shard")), "state0")
 
     idle = 0
     for step in range(1, rounds + 1):
@@ -80,11 +86,11 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             back = asked.select(F.col("to").alias("from"), F.col("from").alias("to"), F.col("n").alias("m"))
             # A pair's two directions must grant the same number, so whole wishes are ranked within the pair.
             q = scratch.table(asked.join(back, ["from", "to"]).select("from", "to", F.least("n", "m").alias("q")), "quota")
-            ranked = _ranked(scratch, wishes, ["from", "to"], "swaps").join(F.broadcast(q), ["from", "to"]).where("rank < q")
+            ranked = _ranked(scratch, wishes, ["from", "to"], "swaps", total).join(F.broadcast(q), ["from", "to"]).where("rank < q")
             moves = ranked.select("uid", "to")
         else:
             quota = spark.sql(" union all ".join(f"select {j} as to, {room[j]}L as q" for j in range(shards)))
-            moves = _granted(scratch, wishes, quota, ["to"])
+            moves = _granted(scratch, wishes, quota, "to", total)
         moves = scratch.table(moves, f"moves{step}")
         moved = moves.count()
         idle = 0 if moved else idle + 1
@@ -103,7 +109,7 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ends.append(end)
     single = base.select("uid").join(state, "uid", "left_anti")
     place = sum(((F.col("rank") >= F.lit(e)).cast("int") for e in ends), F.lit(0))
-    single = _ranked(scratch, single, [], "single_offsets").select("uid", F.lit(None).cast("long").alias("g"), place.alias("shard"))
+    single = _ranked(scratch, single, [], "single_offsets", total).select("uid", F.lit(None).cast("long").alias("g"), place.alias("shard"))
     placed = scratch.table(state.select("uid", "g", "shard").union(single), "placed")
-    slots = _ranked(scratch, placed, ["shard"], "slot_offsets").withColumnRenamed("rank", "slot")
+    slots = _ranked(scratch, placed, ["shard"], "slot_offsets", total).withColumnRenamed("rank", "slot")
     return base.join(slots, "uid").select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("g").alias("group"))
