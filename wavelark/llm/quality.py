@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .store import Scratch
+from .store import Scratch, limit_batches
 
 #: Labelled rows used for the fit at most (the texts' hashes choose them), random features, and ridge.
 FIT_ROWS, FEATURES, RIDGE = 200_000, 256, 1e-2
@@ -123,10 +123,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def measure(batches):
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([r.tobytes() for r in _columns(batch.column(1))], pa.binary())], names=["id", "stats"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in _columns(batch.column(1))], pa.binary())], names=["id", "y", "stats"])
+        tokens.give_back()
 
-    # The statistics are small, so they and not the texts go through the join's shuffle.
-    rows = scratch.table(texts.mapInArrow(measure, f"id {dict(texts.dtypes)['id']}, stats binary").join(wanted, "id").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(4))), "rows")
+    # There are about fit_rows labels at most, so that only labelled texts are measured.
+    held = texts.join(scratch.small(wanted, "labels"), "id").select("id", "text", "y")
+    rows = scratch.table(held.mapInArrow(measure, f"id {dict(texts.dtypes)['id']}, y double, stats binary").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(4))), "rows")
 
     def moments(batches):
         total = np.zeros((3, SIZE))
@@ -183,7 +185,9 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", score_c
     def run(batches):
         for batch in batches:
             yield batch.append_column(score_col, pa.array(shared.value.score(_columns(batch.column(place))), pa.float64()))
+        tokens.give_back()
 
+    limit_batches(docs.sparkSession)
     if score_col in docs.columns:
         raise ValueError(f"docs has a column {score_col} already; name another one")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
