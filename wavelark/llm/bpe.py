@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .store import limit_batches
 
 #: Distinct cuts that a worker remembers, of at most so many characters (some 70 MB in all); when there are more, those of the present slice stay.
 REMEMBER, SHORT = 200_000, 48
@@ -240,6 +241,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         coder.forget()
         tokens.give_back()
 
+    limit_batches(spark)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, ids array<int>, decoded binary")
 

@@ -44,10 +44,11 @@ def grams(host: Column, path: Column) -> Column:
 
 def fit(spark: SparkSession, labelled=LABELLED):
     """The hashing step and the fitted model. labelled: a table's worth of (url, 0 or 1), small by contract."""
-    rows = spark.sql("select * from values " + ", ".join(f"('{u}', {y}.0D)" for u, y in labelled) + " as t(url, label)").coalesce(1)
+    quoted = lambda u: "'" + u.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = spark.sql("select * from values " + ", ".join(f"({quoted(u)}, {y}.0D)" for u, y in labelled) + " as t(url, label)").coalesce(1)
     hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True)
     host, path = host_and_path(F.col("url"))
-    return hashing, LogisticRegression(maxIter=40, regParam=0.02, standardization=False, aggregationDepth=2).fit(hashing.transform(rows.select("label", grams(host, path).alias("grams"))).cache())
+    return hashing, LogisticRegression(maxIter=40, regParam=0.02, standardization=False, aggregationDepth=2).fit(hashing.transform(rows.select("label", grams(host, path).alias("grams"))))
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
