@@ -249,3 +249,42 @@ def test_streamed_windows_match_batch(spark, tmp_path):
     got = spark.sql("select window.start as s, window.end as e, n_events from density_out").collect()
     assert len(got) >= 10
     assert all(r.n_events == sum(r.s <= t < r.e for t, _ in rows) for r in got)
+
+
+def test_bands_and_resampling(spark):
+    t = np.arange(600) / 10
+    sig = make(spark, {("a", "c"): np.sin(2 * np.pi * 0.2 * t) + np.sin(2 * np.pi * 2 * t)}, 10)
+    kept = spectral.filter_bands(sig, 10.0, [(0.05, 0.5, 0.05, 0.2)]).toPandas().sort_values("t_idx").value.to_numpy()
+    assert np.abs(kept - np.sin(2 * np.pi * 0.2 * t))[100:-100].max() < 0.05
+    slow = spectral.resample(make(spark, {("a", "c"): np.sin(2 * np.pi * 0.2 * t) + 5}, 10), 10.0, 4.0).toPandas().sort_values("t_idx")
+    assert len(slow) == 240 and np.allclose(np.diff(slow.time), 0.25)
+    assert np.abs(slow.value - 5 - np.sin(2 * np.pi * 0.2 * slow.time)).max() < 0.05
+
+
+def test_rates_beside_the_signal(spark, tmp_path):
+    for name in ("S1", "S2"):
+        (tmp_path / f"{name}.csv").write_text("time,freq\n0,1.1\n1,1.2\n")
+    got = files.read_heart_rate(spark, str(tmp_path)).collect()
+    assert sorted((r.subject, r.time, r.freq) for r in got) == [("S1", 0.0, 1.1), ("S1", 1.0, 1.2), ("S2", 0.0, 1.1), ("S2", 1.0, 1.2)]
+
+
+def test_rows_are_numbered_over_tasks(spark, tmp_path):
+    spark.range(1000, numPartitions=1).selectExpr("cast(id as string) as value").coalesce(1).write.text(str(tmp_path / "lines"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600b")
+    try:
+        got = files.numbered(spark.read.text(str(tmp_path / "lines")), "n")
+        assert got.rdd.getNumPartitions() > 1
+        assert all(r.n == int(r.value) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_discovery_rates_over_buckets(spark):
+    rng = np.random.default_rng(3)
+    p = np.concatenate([rng.random(200) ** 3, [0.5] * 20, [1.0, 0.0]])
+    table = spark.createDataFrame([(f"c{k:03}", float(x)) for k, x in enumerate(p)], "channel string, p_value double")
+    got = statistics.benjamini_hochberg(table).toPandas().sort_values("channel").p_value_corrected.to_numpy()
+    order = np.argsort(p, kind="stable")
+    want = np.empty(len(p))
+    want[order] = np.minimum(np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1], 1)
+    assert np.allclose(got, want)

@@ -52,3 +52,29 @@ def unit_scale(distance: Column) -> Column:
     """Metres a unit, told from the distance between two ears; an unusual distance is an error."""
     told = F.when(distance.between(0.1, 0.2), 1.0).when(distance.between(10, 20), 0.01).when(distance.between(100, 200), 0.001)
     return F.when(told.isNotNull(), told).otherwise(F.raise_error(F.concat(F.lit("unusual distance: "), distance.cast("string"))).cast("double"))
+
+
+def label_rank(label: Column, order: list[str]) -> Column:
+    """The place of a label in a fixed order, from 0; null for others."""
+    out = F.lit(None).cast("int")
+    for k, name in enumerate(order):
+        out = F.when(label == name, k).otherwise(out)
+    return out
+
+
+def at_least(x: Column, floor: float) -> Column:
+    """x, or null where it is below the floor."""
+    return F.when(x >= floor, x)
+
+
+def in_any(x: Column, stretches: list[tuple[float, float]]) -> Column:
+    """Whether x lies in any of the stretches, ends included: the union of closed intervals."""
+    return F.exists(F.array(*(F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in stretches)), lambda i: x.between(i["a"], i["b"]))
+
+
+def integer_ticks(start: Column, end: Column, ideal: int = 5) -> Column:
+    """model.integer_ticks as a column: an array of whole numbers."""
+    low, high = F.floor(start).cast("int"), F.ceil(end).cast("int")
+    raw = F.floor((high - low) / F.lit(ideal - 1)).cast("int")
+    step = F.when(raw <= 1, 1).when(raw <= 2, 2).when(raw <= 5, 5).when(raw <= 10, 10).otherwise((F.bround(raw / 10) * 10).cast("int"))
+    return F.when(high <= low, F.array(low)).otherwise(F.transform(F.sequence(F.lit(0), F.ceil((high - low) / step).cast("int")), lambda k: low + k * step))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavelark.functions.scalar import clip_low, pearson
+from wavelark.operators.segments import within_stretches
 
 SAMPLE = ("t_idx", "time")
 
@@ -45,10 +46,9 @@ def between_subjects(sig: DataFrame, size: int, step: int, rate: float) -> DataF
     clipped at 0. Time is nominal: start + window number x step + half a window. Null if any pair is constant."""
     mean = sig.groupBy("subject", *SAMPLE).agg(F.avg("value").alias("value"))
     r = sliding_pairs(mean, F.col("subject"), size, step)
-    w = Window.orderBy("t_idx")  # one row a window here
     each = r.groupBy("t_idx").agg(F.when(F.count("r") == F.count("*"), F.avg("r")).alias("r"), F.min("time").alias("mid"))
-    start = F.min("mid").over(Window.partitionBy()) - (size // 2) / rate
-    return each.withColumn("start", start).select((F.col("start") + F.floor(F.col("t_idx") / step) * (step / rate) + size / rate / 2).alias("time_sec"), clip_low(F.col("r")).alias("correlation"))
+    first = each.agg((F.min("mid") - (size // 2) / rate).alias("start"))  # one row
+    return each.join(F.broadcast(first)).select((F.col("start") + F.floor(F.col("t_idx") / step) * (step / rate) + size / rate / 2).alias("time_sec"), clip_low(F.col("r")).alias("correlation"))
 
 
 def matrix(sig: DataFrame, within: tuple[str, ...] = ("subject",)) -> DataFrame:
@@ -60,10 +60,9 @@ def matrix(sig: DataFrame, within: tuple[str, ...] = ("subject",)) -> DataFrame:
     return mirrored.unionByName(diagonal)
 
 
-def by_annotation(sig: DataFrame, annotations: DataFrame) -> DataFrame:
-    """sig once for each annotation (annotation, start, end) whose closed stretch holds the sample. Annotations are
-    a written list of a session, joined by range."""
-    return sig.join(annotations, F.col("time").between(F.col("start"), F.col("end"))).drop("start", "end")
+def by_annotation(sig: DataFrame, annotations: DataFrame, width: float = 60.0) -> DataFrame:
+    """sig once for each annotation (annotation, start, end) whose closed stretch holds the sample."""
+    return within_stretches(sig, annotations, F.col("start"), F.col("end"), width, closed=True).drop("start", "end")
 
 
 def strong_edges(edges: DataFrame, within: tuple[str, ...] = ("subject",), quantile: float = 0.75) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavelark.functions.scalar import label_rank
 from wavelark.operators.signal import SERIES, series
 
 
@@ -29,6 +30,17 @@ def with_intervals(df: DataFrame) -> DataFrame:
     return df.withColumns({"center_sec": (F.col("start_sec") + F.col("end_sec")) / 2, "length_sec": F.col("end_sec") - F.col("start_sec")})
 
 
+def first_of(sig: DataFrame, selection: DataFrame, keys=SERIES) -> DataFrame:
+    """The first series by name of a selection (keys): what a single-series analysis of several looks at."""
+    one = selection.agg(F.min(F.struct(*keys)).alias("k")).select("k.*")  # one row
+    return sig.join(F.broadcast(one), list(keys), "left_semi")
+
+
+def viewport(found: DataFrame, low: float, high: float) -> DataFrame:
+    """Intervals whose centre lies in [low, high]."""
+    return with_intervals(found).where(F.col("center_sec").between(low, high))
+
+
 def mask(sig: DataFrame, found: DataFrame, keys=SERIES) -> DataFrame:
     """(keys, t_idx, time, active): 1 where a sample lies in a run (both ends included).
 
@@ -52,6 +64,11 @@ def density(masked: DataFrame, size: int, step: int) -> DataFrame:
     return each.groupBy("subject", (F.col("at") / step).cast("int").alias("win"), ((F.col("time") + F.col("end")) / 2).alias("time")).agg(F.sum("any").alias("ch_count"))
 
 
+def density_table(dense: DataFrame) -> DataFrame:
+    """The density as it is exported: time and ch_count, and the heights' mean and deviation, which are not worked out and stay empty."""
+    return dense.withColumns({"height_mean": F.lit(None).cast("double"), "height_std": F.lit(None).cast("double")})
+
+
 def threshold_segments(dense: DataFrame, threshold: float, min_peak: float | None = None, value: str = "ch_count") -> DataFrame:
     """(subject, start_sec, end_sec, highest_time, highest_value): runs above the threshold; the first of equal peaks
     counts; segments whose peak is below min_peak go."""
@@ -64,9 +81,13 @@ def threshold_segments(dense: DataFrame, threshold: float, min_peak: float | Non
 
 def participation(segments: DataFrame, masked: DataFrame) -> DataFrame:
     """(subject, start_sec, channel, active): whether a channel is active at any sample of a segment (ends included).
-    Segments of a subject are few against its samples; the join is on the subject, with the range as a filter."""
-    s = segments.select("subject", "start_sec", "end_sec")
-    return s.join(masked, "subject").where(F.col("time").between(F.col("start_sec"), F.col("end_sec"))).groupBy("subject", "start_sec", "channel").agg(F.max("active").alias("active"))
+    Segments of a subject are disjoint, so the one that began last before a sample decides, as in `mask`."""
+    own = segments.select("subject", "start_sec", "end_sec").join(masked.select("subject", "channel").distinct(), "subject")
+    a = masked.select(*SERIES, "time", "active", F.lit(None).cast("struct<start_sec double, end_sec double>").alias("of"), F.lit(1).alias("kind"))
+    b = own.select(*SERIES, F.col("start_sec").alias("time"), F.lit(None).cast("int").alias("active"), F.struct("start_sec", "end_sec").alias("of"), F.lit(0).alias("kind"))
+    last = F.last("of", ignorenulls=True).over(Window.partitionBy(*SERIES).orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    held = a.unionByName(b).withColumn("of", last).where("kind = 1 and time <= of.end_sec")
+    return held.groupBy("subject", F.col("of.start_sec").alias("start_sec"), "channel").agg(F.max("active").alias("active"))
 
 
 def sessions(events: DataFrame, keys: tuple[str, ...], time: str, value: str, max_gap: float = 10.0, min_duration: float = 3.0) -> DataFrame:
@@ -86,14 +107,32 @@ def session_json(found: DataFrame) -> DataFrame:
     return found.select(F.to_json(F.struct(f(F.col("start")).alias("Start"), f(F.col("end")).alias("End"), f(F.col("end") - F.col("start")).alias("Duration"), F.col("trigger_value").alias("Trigger Value"))).alias("json"))
 
 
+def within_stretches(df: DataFrame, stretches: DataFrame, low: Column, high: Column, width: float, closed: bool = False) -> DataFrame:
+    """Each row of df (time) beside each stretch [low, high) that holds it ([low, high] if closed). Time is dealt into buckets of
+    `width`, so that this is an equality join with a filter: choose about a stretch's length."""
+    bucket = lambda t: F.floor(t / width)
+    laid = stretches.withColumns({"_low": low, "_high": high}).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_low")), bucket(F.col("_high")))))
+    inside = (F.col("time") >= F.col("_low")) & ((F.col("time") <= F.col("_high")) if closed else (F.col("time") < F.col("_high")))
+    return df.withColumn("_bucket", bucket(F.col("time"))).join(laid, "_bucket").where(inside).drop("_bucket", "_low", "_high")
+
+
 def epochs(series_: DataFrame, onsets: DataFrame, pre: float, post: float, samples: int) -> DataFrame:
     """(event, label, offset, value): the samples from `pre` before to `post` after each onset (end excluded), of
-    complete epochs only. Onsets are a list of a session, joined by range."""
-    joined = series_.join(onsets, (F.col("time") >= F.col("onset") - pre) & (F.col("time") < F.col("onset") + post))
+    complete epochs only."""
+    onset = F.col("onset")
+    joined = within_stretches(series_, onsets, onset - pre, onset + post, pre + post)
     n = F.count("*").over(Window.partitionBy("event"))
     return joined.withColumn("n", n).where(F.col("n") == samples).select("event", "label", (F.col("time") - F.col("onset")).alias("offset"), "value")
 
 
+def ranked_events(events: DataFrame, order: list[str], keys: tuple[str, ...], time: str = "start") -> DataFrame:
+    """events with `label_rank`, the label's place in a fixed order, and `place`, gapless from 0 within the keys: by rank (labels without
+    one last), then by time."""
+    ranked = events.withColumn("label_rank", label_rank(F.col("label"), order))
+    by = Window.partitionBy(*keys).orderBy(F.col("label_rank").asc_nulls_last(), time)
+    return ranked.withColumn("place", F.row_number().over(by) - 1)
+
+
 def pre_post(found: DataFrame, pre: float, post: float) -> DataFrame:
     """(event, label, pre_mean, post_mean): means over [-pre, 0) and [0, post)."""
     o, v = F.col("offset"), F.col("value")

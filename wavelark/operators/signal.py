@@ -97,10 +97,32 @@ def to_long(wide: DataFrame, names: list[str], keys=("subject",)) -> DataFrame:
     return wide.unpivot([*keys, "time"], names, "channel", "value")
 
 
-def smooth(sig: DataFrame, size: int, keys=SERIES) -> DataFrame:
-    """Centred moving mean of `size` samples, shorter at the ends."""
+def smooth(sig: DataFrame, size: int, keys=SERIES, reflect: bool = False) -> DataFrame:
+    """Centred moving mean of `size` samples. At the ends the window is shorter, or, with reflect, sees the series mirrored there
+    (the last sample twice). t_idx must count from 0."""
     half = size // 2
-    return sig.withColumn("value", F.avg("value").over(series(keys).rowsBetween(-half, size - half - 1)))
+    mean = F.avg("value").over(series(keys).rowsBetween(-half, size - half - 1))
+    if not reflect:
+        return sig.withColumn("value", mean)
+    n = F.count("*").over(Window.partitionBy(*keys))
+    t = F.col("t_idx")
+    places = F.array_compact(F.array(t, F.when(t < half, -t - 1), F.when(t >= F.col("_n") - half, 2 * F.col("_n") - 1 - t)))
+    wide = sig.withColumn("_n", n.cast("int")).withColumn("t_idx", F.explode(places))
+    return wide.withColumn("value", mean).where((t >= 0) & (t < F.col("_n"))).drop("_n")
+
+
+def must_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join in which every left row must find a partner: a missing one raises when the row is read."""
+    joined = left.join(right.withColumn("_there", F.lit(True)), key, "left")
+    missing = F.raise_error(F.concat(F.lit("no partner for "), F.col(key).cast("string"))).cast("boolean")
+    return joined.where(F.when(F.col("_there"), True).otherwise(missing)).drop("_there")
+
+
+def head_tail(df: DataFrame, order: str, n: int, keys: tuple[str, ...]) -> DataFrame:
+    """The first and last n rows within the keys, with `count` rows of each key. Each side is a top-n, cut before its shuffle."""
+    top = lambda by, name: df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(by))).where(F.col(name) <= n).drop(name)
+    both = top(F.col(order), "_a").union(top(F.desc(order), "_b")).distinct()
+    return both.join(df.groupBy(*keys).agg(F.count("*").alias("count")), list(keys))
 
 
 def export_labels(sig: DataFrame) -> DataFrame:

@@ -94,6 +94,16 @@ def band_pass(sig: DataFrame, rate: float, low: float | None, high: float | None
     return sig.groupBy(*SERIES).applyInPandas(run, sig.schema)
 
 
+def filter_bands(sig: DataFrame, rate: float, bands: list[tuple[float | None, float | None, float, float]]) -> DataFrame:
+    """Several bands one after the other: (low, high, width of the lower and of the upper transition), in Hz. The filter's length follows
+    from the narrower transition (3.3 periods of it, as a Hamming window needs), the cut-offs lie in the transitions' middle."""
+    for low, high, lower, upper in bands:
+        narrow = min(w for w, f in ((lower, low), (upper, high)) if f)
+        taps = int(np.ceil(3.3 / narrow * rate)) | 1
+        sig = band_pass(sig, rate, low and low - lower / 2, high and high + upper / 2, taps)
+    return sig
+
+
 def repair_motion(sig: DataFrame, rounds: int = 50, tune: float = 4.685) -> DataFrame:
     """Temporal-derivative repair: robust (Tukey) weights of the derivative take out jumps, and the rest is summed up again."""
 
@@ -123,8 +133,36 @@ def resample_mean(sig: DataFrame, rate: float) -> DataFrame:
     return sig.groupBy(*SERIES, k.alias("t_idx")).agg(F.avg("value").alias("value")).withColumn("time", F.col("t_idx") / rate)
 
 
-def coupling(pairs: DataFrame, window: float | None = None, bad_below: float = 0.8) -> DataFrame:
-    """(subject, channel, [win], sci, bad) from (subject, channel, time, x, y), x and y being a channel's two wavelengths."""
+def resample(sig: DataFrame, rate: float, to: float) -> DataFrame:
+    """Each series at a new rate, by its Fourier transform (frequencies above either rate's half are left out). The series is
+    taken as periodic; mirrored samples at both ends keep its edges smooth. Time starts where it did."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t_idx")
+        x = pdf["value"].to_numpy(float)
+        pad = min(len(x) - 1, int(np.ceil(rate)) * 8)
+        y = np.pad(x, pad, mode="reflect", reflect_type="odd") if pad > 0 else x
+        n = max(1, round(len(y) * to / rate))
+        half, bins = np.fft.rfft(y), np.zeros(n // 2 + 1, complex)
+        m = min(len(half), len(bins))
+        bins[:m] = half[:m]
+        z = np.fft.irfft(bins, n) * (n / len(y))
+        keep = max(1, round(len(x) * to / rate))
+        at = pdf["time"].iloc[0] + np.arange(keep) / to
+        # The padded series starts pad / rate earlier; its samples lie n / len(y) as dense.
+        z = np.interp((at - pdf["time"].iloc[0] + pad / rate) * rate * n / len(y), np.arange(n), z)
+        return pd.DataFrame({"subject": pdf["subject"].iloc[0], "channel": pdf["channel"].iloc[0], "t_idx": np.arange(keep, dtype=np.int32), "time": at, "value": z})
+
+    kind = dict(sig.dtypes)["subject"]
+    return sig.select(*SERIES, "t_idx", "time", "value").groupBy(*SERIES).applyInPandas(run, f"subject {kind}, channel string, t_idx int, time double, value double")
+
+
+def coupling(pairs: DataFrame, window: float | None = None, bad_below: float = 0.8, band: tuple[float, float] | None = None, rate: float = 1.0, taps: int = 101) -> DataFrame:
+    """(subject, channel, [win], sci, bad) from (subject, channel, t_idx, time, x, y), x and y being a channel's two wavelengths: their
+    correlation, after a band-pass of both (0.7 to 1.5 Hz holds the heart's beat) if a band is given."""
+    if band is not None:
+        side = lambda c: band_pass(pairs.select("subject", "channel", "t_idx", "time", F.col(c).alias("value")), rate, *band, taps)
+        pairs = side("x").withColumnRenamed("value", "x").join(side("y").select("subject", "channel", "t_idx", F.col("value").alias("y")), ["subject", "channel", "t_idx"])
     keys = ["subject", "channel"]
     if window is not None:
         pairs = pairs.withColumn("win", F.floor(F.col("time") / window).cast("int"))

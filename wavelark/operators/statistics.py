@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavelark.functions.scalar import hash_uniform
+from wavelark.operators.segments import within_stretches
 
 
 def participation_count(status: DataFrame) -> DataFrame:
@@ -33,13 +34,21 @@ def p_values(real: DataFrame, null: DataFrame) -> DataFrame:
     return real.join(n, "channel").withColumn("p_value", (F.col("hits") + 1) / (F.col("n") + 1)).drop("hits", "n")
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p_value", within: tuple[str, ...] = (), tie: tuple[str, ...] = ("channel",), alpha: float = 0.05) -> DataFrame:
-    """df with p_value_corrected and significant: step-up false discovery rates, at most 1."""
-    w = Window.partitionBy(*within)
-    m = F.count("*").over(w)
-    df = df.withColumns({"_rank": F.row_number().over(w.orderBy(p, *tie)), "_m": m})
-    q = F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(w.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("p_value_corrected", F.least(q, F.lit(1.0))).withColumn("significant", F.col("p_value_corrected") < alpha).drop("_rank", "_m")
+def benjamini_hochberg(df: DataFrame, p: str = "p_value", within: tuple[str, ...] = (), tie: tuple[str, ...] = ("channel",), alpha: float = 0.05, buckets: int = 1024) -> DataFrame:
+    """df with p_value_corrected and significant: step-up false discovery rates, at most 1. Ranks are counted within buckets
+    of p, and carried from bucket to bucket by a table of the buckets' sizes and least rates; no task sees all rows."""
+    df = df.withColumn("_b", F.least(F.floor(F.col(p) * buckets), F.lit(buckets - 1)).cast("int"))
+    whole = Window.partitionBy(*within, F.lit(0))
+    sizes = df.groupBy(*within, "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*within, "_b", before.alias("_before"), F.sum("_n").over(whole).alias("_m"))
+    own = Window.partitionBy(*within, "_b")
+    ranked = df.join(sizes, [*within, "_b"]).withColumn("_rank", F.col("_before") + F.row_number().over(own.orderBy(p, *tie)))
+    ranked = ranked.withColumn("_q", F.col(p) * F.col("_m") / F.col("_rank"))
+    later = F.min("_least").over(whole.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))
+    least = ranked.groupBy(*within, "_b").agg(F.min("_q").alias("_least")).select(*within, "_b", later.alias("_later"))
+    q = F.least(F.min("_q").over(own.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)), F.col("_later"), F.lit(1.0))  # least() skips nulls
+    return ranked.join(least, [*within, "_b"]).withColumn("p_value_corrected", q).withColumn("significant", F.col("p_value_corrected") < alpha).drop("_b", "_before", "_m", "_rank", "_q", "_later")
 
 
 def participation_test(status: DataFrame, n_perm: int = 1000, seed: int = 42) -> DataFrame:
@@ -115,7 +124,8 @@ def onset_null(series_: DataFrame, n_events: int, pre: float, post: float, sampl
     spark = series_.sparkSession
     draws = spark.range(n_perm * n_events).select((F.col("id") / n_events).cast("int").alias("perm"), (F.col("id") % n_events).cast("int").alias("event"))
     draws = draws.join(F.broadcast(ends)).select("perm", "event", (F.col("lo") + hash_uniform(F.lit(seed), F.col("perm"), F.col("event")) * (F.col("hi") - F.col("lo"))).alias("onset"))
-    hit = series_.select("time", "value").join(draws, (F.col("time") >= F.col("onset") - pre) & (F.col("time") < F.col("onset") + post))
+    onset = F.col("onset")
+    hit = within_stretches(series_.select("time", "value"), draws, onset - pre, onset + post, pre + post)
     each = hit.groupBy("perm", "event").agg(F.count("*").alias("n"), F.avg(F.when(F.col("time") < F.col("onset"), F.col("value"))).alias("a"), F.avg(F.when(F.col("time") >= F.col("onset"), F.col("value"))).alias("b")).where(F.col("n") == samples)
     return each.groupBy("perm").agg(F.count("*").alias("k"), (F.avg("b") - F.avg("a")).alias("diff")).where(F.col("k") == n_events).drop("k")
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from wavelark.operators import correlation, segments
 
-#: Seconds from 1970 to the first bin; seconds a bin; bins; the time axis counts hours.
-ORIGIN, BIN, BINS = 1704067200, 21600, 120
+#: Seconds from 1970 to bin 0; seconds a bin; the time axis counts hours.
+ORIGIN, BIN = 1704067200, 21600
 
 
 def epoch(ts: str = "ts"):
@@ -23,7 +23,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signal_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(subject, channel, t_idx, time, value): events summed on a dense grid of 6-hour bins, 0 where there are none."""
     e = events(spark, sf_dir).select((F.col("user_id") % 3).cast("int").alias("subject"), F.col("event_type").alias("channel"), F.floor((F.col("epoch") - ORIGIN) / BIN).cast("int").alias("t_idx"), "value")
-    grid = e.select("subject", "channel").distinct().withColumn("t_idx", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
+    ends = e.agg(F.min("t_idx").alias("lo"), F.max("t_idx").alias("hi"))  # one row: the bins that the events span
+    grid = e.select("subject", "channel").distinct().join(F.broadcast(ends)).withColumn("t_idx", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
     total = e.groupBy("subject", "channel", "t_idx").agg(F.sum("value").alias("v"))
     return grid.join(total, ["subject", "channel", "t_idx"], "left").select("subject", "channel", "t_idx", (F.col("t_idx") * (BIN / 3600)).alias("time"), F.round(F.coalesce("v", F.lit(0.0)), 4).alias("value"))
 

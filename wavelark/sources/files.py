@@ -15,14 +15,25 @@ def file_label(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/.]+)[^/]*$", 1)
 
 
+def numbered(df: DataFrame, name: str = "t_idx") -> DataFrame:
+    """df with the rows of its files numbered from 0 in file order: each scan task counts its own, and offsets come from the
+    tasks' counts."""
+    df = df.withColumn("_at", F.monotonically_increasing_id())  # the task in the upper bits, its row in the lower 33
+    task = F.shiftright("_at", 33)
+    counts = df.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))  # a row a task
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_task", before.alias("_before"))
+    row = F.col("_before") + F.col("_at") - F.shiftleft(F.col("_task"), 33)
+    return df.withColumn("_task", task).join(F.broadcast(offsets), "_task").withColumn(name, row.cast("int")).drop("_at", "_task", "_before")
+
+
 def read_subject(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
     """One wide CSV (a column a channel, `time` by name or else last) as a tidy signal in file order."""
     wide = spark.read.csv(path, header=True, inferSchema=False)
     time = "time" if "time" in wide.columns else wide.columns[-1]
     names = [c for c in wide.columns if c != time]
-    numbers = wide.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in names), F.col(f"`{time}`").cast("double").alias("time"), F.monotonically_increasing_id().alias("_at"))
-    # One subject's record is one file of some 30,000 rows; its samples are numbered in file order.
-    numbers = numbers.withColumn("t_idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_at")) - 1)
+    numbers = wide.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in names), F.col(f"`{time}`").cast("double").alias("time"))
+    numbers = numbered(numbers)
     subject = label or PurePosixPath(path).name.split(".")[0]
     return numbers.unpivot(["t_idx", "time"], names, "channel", "value").select(F.lit(subject).alias("subject"), "channel", "t_idx", "time", "value")
 
@@ -62,6 +73,12 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return raw.select((number("center_sec") - half).alias("start_sec"), (number("center_sec") + half).alias("end_sec"), number("center_sec").alias("center_sec"), number("length_sec").alias("length_sec"), number("highest_time").alias("highest_time"), number("highest_value").alias("highest_value"), status.alias("channel_status"))
 
 
+def read_heart_rate(spark: SparkSession, folder: str) -> DataFrame:
+    """(subject, time, freq) of a folder's side tables, a CSV a subject; the file's name tells the subject."""
+    raw = spark.read.csv(folder, header=True, pathGlobFilter="*.csv")
+    return raw.select(file_label(F.input_file_name()).alias("subject"), F.col("time").cast("double"), F.col("freq").cast("double"))
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.csv(path, header=True)
     return raw.select("channel_name", *(F.col(c).cast("double") for c in ("x", "y", "z")), F.col("channel_idx").cast("int"))
@@ -86,9 +103,8 @@ def atlas_blocks(lines: DataFrame) -> DataFrame:
 
 def vendor_export(spark: SparkSession, path: str, rate: float, shift: float = 0.0, preamble: int = 4, columns: int = 48, factor: float = 5.56) -> DataFrame:
     """A vendor's GBK export: preamble lines, a header, no time column; names and time are made, values scaled, z-scored."""
-    lines = spark.read.option("encoding", "GBK").text(path, wholetext=False).select(F.monotonically_increasing_id().alias("at"), "value")
-    w = Window.partitionBy(F.lit(0)).orderBy("at")
-    rows = lines.withColumn("n", F.row_number().over(w) - 1).where(F.col("n") >= preamble)
+    lines = spark.read.option("encoding", "GBK").text(path, wholetext=False)
+    rows = numbered(lines, "n").where(F.col("n") >= preamble)
     header = [c.strip() for c in rows.where(F.col("n") == preamble).head().value.split(",")[:columns]]
     names = [c.replace("-", "_") + " hbo" for c in header]
     body = rows.where(F.col("n") > preamble).select((F.col("n") - preamble - 1).alias("t_idx"), *(F.expr(f"try_cast(split(value, ',')[{k}] as double)").alias(c) for k, c in enumerate(names)))
