@@ -31,6 +31,8 @@ from .store import limit_batches
 REMEMBER, SHORT = 200_000, 48
 _NONE = np.int64(1 << 60)
 _LONGEST = 64
+#: Leaves of the trees that are merged in one array.
+_TREES = 1 << 18
 
 _SPACE_BEFORE_SPACE, _CUT = re.compile(r" \s| \Z"), re.compile(r" (?=\S)")
 
@@ -171,8 +173,9 @@ class Encoder:
             else:
                 todo.setdefault(max(2, 1 << (len(p) - 1).bit_length()), []).append(k)
         for width, at in todo.items():
-            for low in range(0, len(at), 16384):
-                part = at[low : low + 16384]
+            rows = _TREES // width
+            for low in range(0, len(at), rows):
+                part = at[low : low + rows]
                 for k, ids in zip(part, self._merge_many([pieces[k] for k in part], width), strict=True):
                     out[k] = ids
         return out
@@ -232,7 +235,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     def run(batches):
         coder = _shared(ranks, pattern)
         for batch in batches:
-            for low, high, data, offsets in tokens.slices(batch.column(1), 2 << 20):
+            for low, high, data, offsets in tokens.slices(batch.column(1), 1 << 20):
                 raw = data.tobytes()
                 ends = offsets.tolist()
                 ids = coder.encode([raw[a:b].decode() for a, b in zip(ends[:-1], ends[1:], strict=True)])
