@@ -139,7 +139,9 @@ def _nearest(edges: DataFrame, degree: int) -> DataFrame:
 
 def build_graph(scratch: Scratch, vectors: DataFrame, rounds: int = ROUNDS, degree: int = DEGREE, settled: float = SETTLED) -> DataFrame:
     """(v, far, all array<struct<d, w, fresh>>): each vertex's nearest others found, d being the squared distance of the copies."""
-    near = small(vectors.select(F.col("v").alias("m"), "near"), BROADCAST_BYTES)
+    near = vectors.select(F.col("v").alias("m"), "near")
+    side = F.broadcast if size_of(near) <= BROADCAST_BYTES else lambda df: df
+    near = side(near)
     few = max(1, round(vectors.count() / (degree // GROUPS + 1)))
     seeds = vectors.select(F.col("v").alias("m"), "near", F.explode(F.sequence(F.lit(1), F.lit(GROUPS))).alias("s")).withColumn("g", F.pmod(F.xxhash64("s", "m"), F.lit(few)))
     member = F.struct("m", F.lit(True).alias("fresh"), F.lit(float("inf")).cast("float").alias("far"), "near")
@@ -148,14 +150,14 @@ def build_graph(scratch: Scratch, vectors: DataFrame, rounds: int = ROUNDS, degr
     for step in range(1, rounds + 1):
         edges = graph.select("v", F.inline("all"))
         lists = edges.select(F.col("v").alias("u"), F.col("w").alias("m"), "fresh").union(edges.select(F.col("w").alias("u"), F.col("v").alias("m"), "fresh"))
-        # A hub's list is dealt into blocks of about BLOCK members by their hash.
-        hubs = edges.groupBy(F.col("w").alias("u")).agg(F.round((F.count("*") + degree) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-        dealt = lists.join(scratch.small(hubs, f"hubs{step}"), "u", "left").withColumn("block", F.pmod(F.xxhash64("u", "m"), F.coalesce("blocks", F.lit(1))))
-        known = dealt.join(near, "m").join(small(graph.select(F.col("v").alias("m"), "far")), "m")
+        # One shuffle of ids by u counts and deals the lists: a hub's is dealt into blocks of about BLOCK members by their hash.
+        blocks = F.greatest(F.lit(1), F.round(F.count("*").over(Window.partitionBy("u")) / BLOCK)).cast("int")
+        dealt = lists.withColumn("block", F.pmod(F.xxhash64("u", "m"), blocks))
+        known = dealt.join(near, "m").join(side(graph.select(F.col("v").alias("m"), "far")), "m")
         told = known.groupBy("u", "block").agg(F.collect_list(F.struct("m", "fresh", "far", "near")).alias("all")).where(F.exists("all", lambda x: x["fresh"])).select("all")
         held = edges.select("v", "w", "d", F.lit(False).alias("fresh"))
         graph = scratch.table(_nearest(told.mapInArrow(_introduce, _EDGES).union(held), degree), f"graph{step}")
-        scratch.drop(f"graph{step - 1}", f"hubs{step}")
+        scratch.drop(f"graph{step - 1}")
         new = graph.agg(F.sum(F.size(F.filter("all", lambda e: e["fresh"]))).alias("new"), F.sum(F.size("all")).alias("n")).head()
         if (new.new or 0) <= settled * (new.n or 0):
             break
