@@ -40,20 +40,22 @@ def test_words_follow_the_separators(corpus):
 
 def test_find_items(spark, documents, corpus):
     rng = np.random.default_rng(2)
-    items = {k: " ".join(corpus[k].split()[5:35]) for k in range(5)} | {10: "nothing like it in any document at all here or there", 11: None, 12: "too short"}
+    items = {k: " ".join(corpus[k].split()[5:35]) for k in range(5)} | {10: "nothing like it in any document at all here or there", 11: None, 12: "too short", 13: "two words", 14: "", 15: corpus[20].split()[3]}
     half = items[2].split()
     half[3] = "changed"
     items[20] = " ".join(half)
     items[21] = " ".join(rng.permutation(items[3].split()).tolist())
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    # An item of fewer than five words is one run of all of them.
     got = {(r.doc_id, r.item_id): r.shared / r.item_shingles for r in decontaminate.find_items(documents, bench).collect()}
-    five = lambda t: {tuple(w[i : i + 5]) for w in [words(t)] for i in range(len(w) - 4)}
+    runs = lambda t, n: {tuple(w[i : i + n]) for w in [words(t)] for i in range(len(w) - n + 1)}
     want = {}
     for i, t in corpus.items():
         for k, q in items.items():
-            s = five(q)
-            if s and len(s & five(t)) >= 0.8 * len(s):
-                want[i, k] = len(s & five(t)) / len(s)
+            n = min(5, len(words(q)))
+            s = runs(q, n) if n else set()
+            if s and len(s & runs(t, n)) >= 0.8 * len(s):
+                want[i, k] = len(s & runs(t, n)) / len(s)
     assert got == pytest.approx(want) and len(got) >= 5
     assert decontaminate.find_items(documents.limit(0), bench).count() == 0
 
@@ -128,18 +130,18 @@ def test_compact_windows_go_on_behind_an_edit(spark):
     assert got[i] == set(range(400)) and got[i + 1] == {*range(200), *range(350, 550)}
 
 
-def test_stretches_are_all_maximal_ones():
+def test_stretches_are_the_longest_ones():
     rng = np.random.default_rng(4)
     for _ in range(200):
-        hit = np.repeat(rng.random(12) < 0.5, rng.integers(1, 30, 12))
+        hit = np.repeat(rng.random(12) < 0.5, rng.integers(1, 9, 12))
+        total = np.concatenate([[0], np.cumsum(np.where(hit, 1.0, -2.0))])
 
-        def best(low, high, hit=hit):  # the highest sum, the shortest of equal ones, and then both sides of it
-            score = np.concatenate([[0], np.cumsum(np.where(hit[low:high], 1.0, -2.0))])
-            top = max(((score[j] - score[i], i - j, i, j) for i in range(len(score)) for j in range(i + 1, len(score))), default=(0,))
-            return [] if top[0] <= 0 else [*best(low, low + top[2]), (low + top[2], low + top[3]), *best(low + top[3], high)]
+        def longest(low, high, hit=hit, total=total):
+            fit = [(j - i, -i, j) for i in range(low, high) for j in range(i + 1, high + 1) if hit[i] and hit[j - 1] and total[j] >= total[i]]
+            n, i, j = max(fit, default=(0, 0, 0))
+            return [] if n < 5 else [*longest(low, -i), (-i, j), *longest(j, high)]
 
-        got = compact_windows._stretches(hit, 2.0)
-        assert got == best(0, len(hit)) and all(any(a <= k < b for a, b in got) for k in np.flatnonzero(hit))
+        assert compact_windows._stretches(hit, 2.0, 5) == longest(0, len(hit))
 
 
 def test_suffix_dedup_is_whole(spark):
@@ -161,3 +163,23 @@ def test_suffix_dedup_equals_brute_force(documents, corpus):
     twins = [i for i in corpus if corpus[i] is not None and list(corpus.values()).count(corpus[i]) > 1]
     got, want = covered(suffix_dedup.repeated_passages(documents).collect(), corpus), repeated(corpus, 50)
     assert {i: got[i] for i in corpus if i not in twins} == {i: want[i] for i in corpus if i not in twins}
+
+
+@pytest.mark.parametrize(("families", "copies"), [(15, 2), (8, 6), (3, 20)])
+def test_near_passages_of_families(spark, families, copies):
+    rng = np.random.default_rng(copies)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    passages, texts = {}, {}
+    for _ in range(families):
+        base = word(120)
+        for _ in range(copies):
+            p = list(base)
+            for at in rng.choice(120, int(rng.integers(0, 4)), replace=False):
+                p[at] = word(1)[0]
+            passages[len(texts)] = (int(rng.integers(10, 60)), p)
+            texts[len(texts)] = " ".join([*word(passages[len(texts)][0]), *p, *word(40)])
+    five = {i: {tuple(p[k : k + 5]) for k in range(116)} for i, (_, p) in passages.items()}
+    want = {i for i in texts if any(j != i and len(five[i] & five[j]) >= 0.8 * len(five[i] | five[j]) for j in texts if i // copies == j // copies)}
+    got = covered(compact_windows.near_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
+    found = {i for i in want if len(got[i] & set(range(passages[i][0], passages[i][0] + 120))) >= 60}
+    assert len(want) >= 10 and len(found) >= 0.9 * len(want), (len(found), len(want))
