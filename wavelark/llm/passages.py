@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
 from .store import Scratch
 
-#: Passages are found in word places of the texts, end exclusive.
-SPANS = "x long, x0 int, x1 int, y long, y0 int, y1 int"
-_NAMES = ["x", "x0", "x1", "y", "y0", "y1"]
-
-
 def one_of_each_text(scratch: Scratch, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """texts (id, text) without further copies of a text, and (id, first) of the copies left out."""
     key = scratch.table(texts.select("id", F.xxhash64("text").alias("h"), F.crc32("text").alias("c"), F.octet_length("text").alias("n")), "texts")
@@ -26,41 +22,48 @@ def one_of_each_text(scratch: Scratch, texts: DataFrame) -> tuple[DataFrame, Dat
     return texts.join(scratch.small(copies.select("id").distinct(), "copied"), "id", "left_anti"), copies
 
 
-def verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame, check: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, int, int, int]]]) -> DataFrame:
-    """SPANS of the pairs (x, y, anchors array<struct<i int, j int>>): check gets both texts' word hashes and the
-    anchors (word places that may correspond) and gives passages (x0, x1, y0, y1)."""
+def _merged(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans (id, a, b), those of an id that overlap or touch as one."""
+    out: list[tuple[int, int, int]] = []
+    for i, a, b in sorted(rows):
+        if out and out[-1][0] == i and a <= out[-1][2]:
+            out[-1] = (i, out[-1][1], max(b, out[-1][2]))
+        else:
+            out.append((i, a, b))
+    return out
+
+
+def verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame, unit: Callable, check: Callable) -> DataFrame:
+    """(id, a, b): word spans of either side of the pairs (x, y, anchors array<struct<i int, j int>>). unit(word hashes) is made once
+    for each text of a batch; check(unit of x, unit of y, anchors) gives passages (x0, x1, y0, y1). Anchors are places that may
+    correspond. A batch's spans are merged, so that a text of many pairs has few rows."""
     ids = scratch.small(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), "paired")
     held = texts.join(ids, "id", "left_semi")
     side = lambda name: held.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text"))
 
     def run(batches):
         for batch in batches:
-            words = []
-            for column in (3, 4):
-                found = []
-                for _, _, data, offsets in tokens.slices(batch.column(column)):
-                    h, first, _, _ = tokens.words(data, offsets)
-                    found += [h[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                words.append(found)
-            out = []
-            for x, y, anchors, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), *words, strict=True):
+            both = pa.concat_arrays([pc.fill_null(batch.column(k), "").cast(pa.large_string()) for k in (3, 4)]).dictionary_encode()
+            of = both.indices.to_numpy()
+            units = []
+            for _, _, data, offsets in tokens.slices(both.dictionary):
+                h, first, _, _ = tokens.words(data, offsets)
+                units += [unit(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            out, n = [], batch.num_rows
+            for k, (x, y, anchors) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
                 flat = anchors.values
                 at = np.column_stack([flat.field(0).to_numpy(), flat.field(1).to_numpy()])
-                out += [(x, x0, x1, y, y0, y1) for x0, x1, y0, y1 in check(a, b, at)]
-            yield pa.record_batch([pa.array(c, pa.int64() if k in (0, 3) else pa.int32()) for k, c in enumerate(zip(*out, strict=True) if out else [[]] * 6)], names=_NAMES)
-
-    return pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "anchors", "x_text", "y_text").mapInArrow(run, SPANS)
-
+                for x0, x1, y0, y1 in check(units[of[k]], units[of[n + k]], at):
+                    out += [(x, x0, x1), (y, y0, y1)]
+            yield pa.record_batch([pa.array(c, pa.int32() if k else pa.int64()) for k, c in enumerate(zip(*_merged(out), strict=True) if out else [[]] * 3)], names=["id", "a", "b"])
+        tokens.give_back()
 
-def merged(scratch: Scratch, found: DataFrame, texts: DataFrame, copies: DataFrame, least: int) -> DataFrame:
-    """(doc_id, start_word, end_word): the passages of each document, those that overlap or touch as one. Every
-    document that has a copy, of `least` words or more, is a passage as a whole."""
-    both = found.select(F.col("x").alias("id"), F.col("x0").alias("a"), F.col("x1").alias("b")).union(found.select("y", "y0", "y1")).distinct()
-    return joined(scratch, both, texts, copies, least)
+    return pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "anchors", "x_text", "y_text").mapInArrow(run, "id long, a int, b int")
 
 
 def joined(scratch: Scratch, both: DataFrame, texts: DataFrame, copies: DataFrame, least: int) -> DataFrame:
-    """merged, from the spans (id, a, b) of either side."""
+    """(doc_id, start_word, end_word): each document's spans (id, a, b), those that overlap or touch as one. Every document that
+    has a copy, of `least` words or more, is a passage as a whole."""
     # Copies: count the words where the text is; only ids and places are shuffled.
     twin = scratch.small(copies.select("id").union(copies.select("first")).distinct(), "twins")
 
@@ -70,7 +73,7 @@ def joined(scratch: Scratch, both: DataFrame, texts: DataFrame, copies: DataFram
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(np.zeros(len(n), np.int32)), pa.array(n.astype(np.int32))], names=["id", "a", "b"])
 
     whole = texts.join(twin, "id", "left_semi").mapInArrow(count, "id long, a int, b int").where(F.col("b") >= least)
-    spans = both.union(whole)
+    spans = both.union(whole).distinct()
     before = Window.partitionBy("id").orderBy("a", "b")
     far = F.max("b").over(before.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("fresh", F.coalesce((F.col("a") > far).cast("int"), F.lit(1))).withColumn("run", F.sum("fresh").over(before.rowsBetween(Window.unboundedPreceding, 0)))
