@@ -10,6 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from wavelark.llm import bpe, neighbours, quality, secrets, sharding, url_filter
+from wavelark.llm.store import Scratch
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -64,6 +65,42 @@ def test_secret_network_and_redaction(spark):
     assert secrets.fit(docs.limit(0)) is None and secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_that_no_pattern_matches(spark):
+    rng = random.Random(9)
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    word = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+    prose = lambda n: " ".join(word(rng.randint(3, 14)) for _ in range(n))
+    rows = [(i, f"{prose(20)} {'token=' + key(24) if i % 3 == 0 else ''} {prose(5)}.{prose(4)}") for i in range(300)]
+    planted = {}
+    for i in range(1000, 1060):  # in some the key begins behind 60 harmless characters of the same run, and some stand at the text's end
+        lead = "/" + "/".join(word(9) for _ in range(6)) + "/" if i % 2 else ""
+        value = lead + key(32)
+        planted[i] = value
+        rows.append((i, f"{prose(10)} see {value}" + ("" if i % 4 == 0 else f" {prose(6)}")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    # The network learns from texts whose long runs are no secrets, and is then asked about unseen ones.
+    net = secrets.fit(docs.where("doc_id < 300"))
+    found = {r.doc_id: r.findings for r in secrets.find_secrets(docs, net=net).collect()}
+    hit = [i for i, v in planted.items() if any(f.kind == "model" and v in texts[i][f.start : f.end] for f in found[i])]
+    wrong = [i for i in range(300) if any(f.kind == "model" for f in found[i])]
+    assert len(hit) >= 0.9 * len(planted) and len(wrong) <= 30, (len(hit), len(wrong))
+
+
+def test_runs_beside_base_spans():
+    text = "x" * 14 + " " + "a" * 13 + "AKIA" + "B" * 20 + "-" * 12 + " 12345678901 -AKIA" + "C" * 16
+    taken = secrets.base_spans(text)
+    want, covered = [], {k for a, _, b in taken for k in range(a, b)}
+    for m in secrets.CANDIDATE.finditer(text):  # stretches of each run outside the base spans
+        at = m.start()
+        for k in range(m.start(), m.end() + 1):
+            if k == m.end() or k in covered:
+                want += [(at, k)] if k - at >= 12 else []
+                at = k + 1
+    assert secrets.other_candidates(text, taken) == want and len(want) == 3
+
+
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8)))
@@ -108,6 +145,9 @@ def test_shards(spark, documents, corpus):
     loose = sharding.balanced_shards(spark.createDataFrame([(i, f"t{i % 40}" if i < 200 else f"u{i}") for i in range(400)], "doc_id long, text string"), shards=5).toPandas()
     assert (loose.groupby("group").shard.nunique() == 1).mean() > 0.9
     assert sharding.balanced_shards(documents.limit(0)).count() == 0
+    rows = [(i % 30 or None, f"t{i % 50}") for i in range(600)]
+    dealt = [sorted(map(tuple, sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), shards=4).drop("slot").collect()), key=str) for n in (3, 7)]
+    assert dealt[0] == dealt[1]  # however the table is dealt
 
 
 def test_neighbours(spark):
@@ -133,6 +173,56 @@ def test_neighbours(spark):
     assert neighbours.nearest_neighbours(table.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_descent_from_a_thin_graph(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 12))
+    near = np.argsort(((x[:, None] - x[None]) ** 2).sum(-1), 1)[:, 1:11]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    scratch = Scratch(spark, "test")
+    vectors, _ = neighbours.vertices(scratch, rows)
+
+    def recall(rounds):
+        graph = {r.v: {e.w for e in r["all"][:10]} for r in neighbours.build_graph(scratch, vectors, rounds).collect()}
+        return np.mean([len(graph.get(i, set()) & set(near[i])) for i in range(len(x))]) / 10
+
+    rising = [recall(r) for r in (0, 2, 40)]
+    assert rising[0] < 0.1 and rising[0] < rising[1] < rising[2] and rising[2] >= 0.9, rising
+
+
+@pytest.mark.parametrize(("factor", "shift"), [(1e-9, 0.0), (1e6, 0.0), (1.0, 1e5)])
+def test_neighbours_at_any_scale(spark, factor, shift):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(300, 16)), 3 + 1e-4 * rng.normal(size=(100, 16))]) * factor + shift
+    x[399] = 1e12 * factor  # one outlier
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest_neighbours(table, F.col("id") % 20 == 0).toPandas()
+    hit = 0
+    for q in range(0, 400, 20):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id))
+    assert hit / 200 >= 0.9, hit / 200
+
+
+def test_neighbours_of_odd_rows(spark):
+    rows = [(i, [float(i), 1.0, 2.0]) for i in range(8)] + [(20, [1.0, 2.0]), (21, []), (3, [3.0, 1.0, 2.0]), (5, [500.0, 1.0, 2.0]), (7, None), (8, [-0.0, 1.0, 2.0])]
+    got = neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("q", F.lit("x")), F.col("id") == 0, k=20).toPandas()
+    assert len(got) == got.vec_id.nunique() == 8 and set(got.vec_id) == {*range(1, 9)}
+    assert got.sort_values("rank").vec_id.tolist()[:2] == [8, 1] and got.score.min() == 0  # -0.0 equals 0.0
+
+
+def test_url_model_on_urls_held_out(spark):
+    host, path = url_filter.host_and_path(F.col("url"))
+    right = n = 0
+    for fold in range(5):
+        hashing, model = url_filter.fit(spark, [x for k, x in enumerate(url_filter.LABELLED) if k % 5 != fold])
+        rest = spark.createDataFrame([x for k, x in enumerate(url_filter.LABELLED) if k % 5 == fold], "url string, label int")
+        judged = model.transform(hashing.transform(rest.select("label", url_filter.grams(host, path).alias("grams"))))
+        right, n = right + judged.where("prediction = label").count(), n + rest.count()
+    assert right / n >= 0.8, right / n
+    url_filter.fit(spark, [("http://it's.bad/a\\b", 1), ("http://fine.org/", 0)])
+
+
 def test_url_rules_and_model(spark):
     cases = {
         "http://a.b.net/x": ("net/", "block"), "https://www.EXAMPLE.net/en/1?x": ("example.net/en/", "allow"), "https://example.net/de/1": ("net/", "block"), "http://m.example.com/de/": ("example.com/de/", "block"),
