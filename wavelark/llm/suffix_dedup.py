@@ -1,12 +1,13 @@
-"""Repeated passages by ranks of suffixes over words, sparse first and then whole.
+"""Repeated passages by a sparse suffix array over words.
 
-Of each text the suffixes at minimisers are taken first: word places whose GRAM-word hash is least in some window of
+Of each text the suffixes at minimisers are retained: word places whose GRAM-word hash is least in some window of
 WINDOW such places, chosen by content alone, so equal passages keep equal suffixes. Every run of `least` equal words has
-the least place of its first WINDOW places with REACH words or more to its right. Only runs whose place there begins with REACH
-words that another document has at a minimiser too can be repeated; all of those are then ranked by the fingerprint
-of their first `least` words (96 bits), and those of one rank with more than one document are passages. The union of
-repeated runs of `least` words is the union of all longer ones, so no order of suffixes and no neighbours are needed,
-and a group's size doesn't matter.
+the least place of its first WINDOW places with REACH words or more to its right. The retained suffixes are sorted and compared by
+their first REACH words; only those that another document has too are matches, and are extended left and right: every run
+of `least` words that holds the place within its first WINDOW words is sorted by its fingerprint (96 bits) and compared with its
+neighbours of equal rank. Where one of them is of another document the run is repeated, and repeated runs that overlap or touch are
+one passage. A match is so extended against every document and not only against its two neighbours in the order of
+suffixes, whose common words to the left may end earlier than another's do: comparing neighbours alone lost passages.
 
 Equal texts count once and are passages as a whole.
 
@@ -120,6 +121,7 @@ def _ranked(least: int):
             new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (more[1:] != more[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, np.int64)
             places = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer((np.append(new, len(at)) * 4).astype(np.int32).tobytes()), pa.py_buffer(at.tobytes())])
             yield pa.record_batch([pa.array(key[new].view(np.int64)), pa.array(more[new].astype(np.uint32).view(np.int32)), pa.array(ids[row[new]]), places], names=["key", "more", "id", "at"])
+        tokens.give_back()
 
     return run
 
@@ -147,9 +149,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     single, copies = passages.one_of_each_text(scratch, texts)
     rows = scratch.table(single.mapInArrow(_suffixes, "near long, id long, at int"), "suffixes")
-    groups = rows.groupBy("near").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("near")
-    shared = scratch.table(rows.join(groups, "near").groupBy("id").agg(F.collect_list("at").alias("at")), "shared")
-    scratch.drop("suffixes")
+    # Both sides of the join on hot beginnings are written tables, so that adaptive execution can split a hot one's share.
+    groups = scratch.table(rows.groupBy("near").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("near"), "groups_near")
+    matched = scratch.table(rows.join(groups, "near", "left_semi").select("id", "at"), "matched")
+    shared = scratch.table(matched.groupBy("id").agg(F.collect_list("at").alias("at")), "shared")
+    scratch.drop("suffixes", "groups_near", "matched")
     # A text has a row for each different run, so a group has no more rows than documents.
     ranks = single.join(shared, "id").select("id", "text", "at").mapInArrow(_ranked(least), "key long, more int, id long, at binary")
     one = Window.partitionBy("key", "more")
