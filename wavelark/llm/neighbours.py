@@ -221,6 +221,7 @@ def nearest_neighbours(rows: DataFrame, queries: Column, k: int = 10, id_col: st
     exact = small(vectors.select(F.col("v").alias("w"), "exact"), BROADCAST_BYTES)
     pairs = beam.join(exact, "w").join(asked.select("q").distinct().join(vectors.select(F.col("v").alias("q"), F.col("exact").alias("own")), "q"), "q")
     measured = scratch.table(pairs.select("q", "w", "exact", "own").mapInArrow(measure, "q long, w long, d double"), "measured")
+    scratch.only("member", "asked", "measured")
     # Of each vertex's rows the k + 1 smallest ids are enough for any query, its own row included.
     some = member.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("v").alias("w"), F.col("id").alias("vec_id"))
     found = asked.join(measured, "q").join(some, "w").where("vec_id <> id")

@@ -173,6 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.record_batch([pa.array(np.rint(shared.value.raw(stats) * _BINS).astype(np.int32)), batch.column("y")], names=["bin", "y"])
 
     curve = rows.where("part = 3").mapInArrow(raw, "bin int, y double").groupBy("bin").agg(F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").toPandas()  # _BINS + 1 rows at most
+    scratch.only()
     if len(curve):
         model.x, model.y = isotonic(curve.bin.to_numpy() / _BINS, curve.y.to_numpy(), curve.n.to_numpy())
     return model

@@ -112,4 +112,5 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     single = _ranked(scratch, single, [], "single_offsets", total).select("uid", F.lit(None).cast("long").alias("g"), place.alias("shard"))
     placed = scratch.table(state.select("uid", "g", "shard").union(single), "placed")
     slots = _ranked(scratch, placed, ["shard"], "slot_offsets", total).withColumnRenamed("rank", "slot")
+    scratch.only("base", "placed", "slot_offsets")
     return base.join(slots, "uid").select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("g").alias("group"))

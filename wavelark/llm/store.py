@@ -43,12 +43,14 @@ class Scratch:
     run again after an executor was lost, start from the files."""
 
     def __init__(self, spark: SparkSession, name: str):
+        self.names: set[str] = set()
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         limit_batches(spark)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def small(self, df: DataFrame, name: str) -> DataFrame:
@@ -62,8 +64,13 @@ class Scratch:
         df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{self.root}/{name}").mode("overwrite").saveAsTable(table)
         return self.spark.table(table)
 
+    def only(self, *names: str) -> None:
+        """Removes all tables of this call but those that its result still reads."""
+        self.drop(*(self.names - set(names)))
+
     def drop(self, *names: str) -> None:
         """Removes tables of this call that nothing reads any more."""
+        self.names -= set(names)
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

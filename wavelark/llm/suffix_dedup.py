@@ -159,4 +159,5 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     one = Window.partitionBy("key", "more")
     repeated = ranks.withColumns({"lo": F.min("id").over(one), "hi": F.max("id").over(one)}).where("lo <> hi")
     spans = scratch.table(repeated.groupBy("id").agg(F.collect_list("at").alias("at")).mapInArrow(_spans(least), "id long, a int, b int"), "spans")
+    scratch.only("spans", "copies")
     return passages.joined(scratch, spans, texts, copies, least)
