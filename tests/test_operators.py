@@ -288,3 +288,31 @@ def test_discovery_rates_over_buckets(spark):
     want = np.empty(len(p))
     want[order] = np.minimum(np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1], 1)
     assert np.allclose(got, want)
+
+
+def test_streamed_correlations_match_numpy(spark, tmp_path):
+    import datetime as dt
+
+    from wavelark.streaming import windows
+
+    base, rng = dt.datetime(2024, 1, 1), np.random.default_rng(5)
+    series = {k: rng.normal(size=120) for k in "abc"}
+    rows = [(base + dt.timedelta(minutes=i), k, float(v[i])) for k, v in series.items() for i in range(120)]
+    spark.createDataFrame(rows, "ts timestamp, key string, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, key string, value double").parquet(str(tmp_path / "in"))
+    windows.sliding_correlation(stream, "20 minutes", "10 minutes", "5 minutes").writeStream.format("memory").queryName("corr_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(180)
+    got = spark.sql("select window.start as s, window.end as e, a, b, r from corr_out").collect()
+    assert len(got) >= 15
+    for r in got:
+        i, j = (max(0, min(120, int((t - base).total_seconds() // 60))) for t in (r.s, r.e))
+        assert r.r == pytest.approx(np.corrcoef(series[r.a][i:j], series[r.b][i:j])[0, 1])
+
+
+def test_sliding_mean_in_blocks(spark, noise):
+    sig = make(spark, {k: v for k, v in noise.items() if k[1] != "c4"} | {("b", "c4"): [0.1] * 40})
+    key = F.concat_ws("/", "subject", "channel")
+    got = correlation.sliding_mean(sig, key, 10, 3, windows=4).toPandas().set_index("t_idx").score
+    want = correlation.sliding_pairs(sig, key, 10, 3).groupBy("t_idx").agg(F.avg(F.coalesce("r", F.lit(0.0))).alias("score")).toPandas().set_index("t_idx").score
+    assert sorted(got.index) == sorted(want.index) and np.allclose(got.sort_index(), want.sort_index())
+    with pytest.raises(Exception, match="gaps"):
+        correlation.sliding_mean(sig.where("t_idx <> 7 or channel <> 'c1'"), key, 10, 3).collect()

@@ -299,6 +299,15 @@ _on_signal("uniform_filter", lambda s: signal.smooth(s, 25, reflect=True).withCo
 _on_signal("trend_ticks", lambda s: segments.trends(s, min_duration=6).select("subject", "channel", "start_sec", F.array_join(scalar.integer_ticks(F.col("start_sec") * 3 + 0.5, F.col("end_sec") * 9 + 0.25).cast("array<string>"), ",").alias("ticks")), RISING + ", tk as (select subject, channel, start_sec, cast(floor(start_sec * 3 + 0.5) as int) as lo, cast(ceil(end_sec * 9 + 0.25) as int) as hi from trends), sp as (select *, (hi - lo) // 4 as raw from tk), sq as (select *, cast(case when raw <= 1 then 1 when raw <= 2 then 2 when raw <= 5 then 5 when raw <= 10 then 10 else round_even(raw / 10, 0) * 10 end as int) as step from sp) select subject, channel, start_sec, array_to_string(list_transform(range(0, cast(ceil((hi - lo) / step) as int) + 1), lambda k: lo + k * step), ',') as ticks from sq")
 
 
+_on_signal(
+    "trend_map",
+    lambda s: views.trend_map(s, Region(start_sec=100, end_sec=600)).withColumn("size", r6("size")),
+    RISING + ", vw as (select *, (start_sec + end_sec) / 2 as center_sec from trends where (start_sec + end_sec) / 2 between 100 and 600), q as (select subject, quantile_cont(height, 0.02) as a, quantile_cont(height, 0.98) as b from vw group by subject), rw as (select subject, channel, cast(dense_rank() over (partition by subject order by channel) - 1 as int) as row from (select distinct subject, channel from sig)) select vw.subject, vw.channel, row, start_sec, end_sec, center_sec, round(case when a = b then 7.55 else 0.1 + (least(greatest(height, a), b) - a) / nullif(b - a, 0) * 14.9 end, 6) as size from vw join q using (subject) join rw on vw.subject = rw.subject and vw.channel = rw.channel",
+)
+_on_signal("epoch_map", lambda s: views.epoch_map(_epochs(s), ["on", "ing", "off"]).select(F.col("row").cast("int").alias("row"), "event", "label", "offset", r6("value").alias("value")), IBC + """, evm as (select event, cast(row_number() over (order by case label when 'on' then 0 when 'ing' then 1 else 2 end, event) - 1 as int) as row from (select distinct event, label from ep)) select row, ep.event, label, off as "offset", round(value, 6) as value from ep join evm on ep.event = evm.event""")
+_on_signal("waveform_grid", lambda s: views.waveform_grid(s, 2).select("subject", "channel", "row", F.col("col").cast("int").alias("col"), "t_idx", "time", r6("value").alias("value")), SIG + ", q as (select subject, channel, quantile_cont(value, 0.02) as a, quantile_cont(value, 0.98) as b from sig group by all), pl as (select subject, channel, dense_rank() over (partition by subject order by channel) - 1 as p from (select distinct subject, channel from sig)) select s.subject, s.channel, cast(p // 2 as int) as row, cast(p % 2 as int) as col, t_idx, time, round(case when a = b then 0.5 else (least(greatest(value, a), b) - a) / nullif(b - a, 0) end, 6) as value from sig s join q on s.subject = q.subject and s.channel = q.channel join pl on s.subject = pl.subject and s.channel = pl.channel")
+
+
 def _sensors(spark: SparkSession) -> DataFrame:
     return spark.sql(SPARK_SENSORS)
 

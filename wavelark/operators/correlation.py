@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +34,37 @@ def sliding_pairs(sig: DataFrame, key: Column, size: int, step: int, within: tup
     return p.where((F.col("n") == size) & (F.col("at") % step == 0)).select(*within, "a", "b", "t_idx", F.coalesce("mid", "time").alias("time"), "r")
 
 
-def sliding_mean(sig: DataFrame, key: Column, size: int, step: int) -> DataFrame:
-    """(t_idx, time, score): the mean over all pairs, with 0 for constant ones."""
-    return sliding_pairs(sig, key, size, step).groupBy("t_idx", "time").agg(F.avg(F.coalesce("r", F.lit(0.0))).alias("score"))
+def sliding_mean(sig: DataFrame, key: Column, size: int, step: int, windows: int = 256) -> DataFrame:
+    """(t_idx, time, score): the mean over all pairs, with 0 for constant ones, of series that share all their samples (gaps are
+    an error; sliding_pairs takes them). Time is dealt into blocks of `windows` windows that overlap by a window's length; a block's pairs
+    are worked out as matrices, so no pair of series ever becomes rows."""
+    span = windows * step
+    low = sig.agg(F.min("t_idx").alias("_low"))  # one row
+    at = sig.select(key.alias("key"), *SAMPLE, "value").join(F.broadcast(low), how="cross").withColumn("_at", F.col("t_idx") - F.col("_low"))
+    first = F.greatest(F.floor((F.col("_at") - (size - 1)) / span), F.lit(0))
+    dealt = at.withColumn("_block", F.explode(F.sequence(first, F.floor(F.col("_at") / span))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="key", columns="_at", values="value")
+        names = wide.columns.to_numpy()
+        if wide.isna().to_numpy().any() or (np.diff(names) != 1).any():
+            raise ValueError("series with gaps: use sliding_pairs")
+        start = np.arange(pdf["_block"].iloc[0] * span, names[-1] - size + 2, step)
+        start = start[start < (pdf["_block"].iloc[0] + 1) * span]
+        x = wide.to_numpy(float)
+        if len(start) == 0 or len(x) < 2:
+            return pd.DataFrame({"t_idx": [], "time": [], "score": []})
+        view = np.lib.stride_tricks.sliding_window_view(x, size, 1)[:, start - names[0]]
+        view = np.where((view.max(-1) == view.min(-1))[..., None], 0.0, view - view.mean(-1, keepdims=True))
+        norm = np.sqrt((view**2).sum(-1))
+        unit = np.divide(view, norm[..., None], out=np.zeros_like(view), where=norm[..., None] > 0)
+        # The sum over all ordered pairs is the square of the summed unit windows; the diagonal is what each has of itself.
+        every = (unit.sum(0) ** 2).sum(-1) - (unit**2).sum((0, 2))
+        time = pdf.drop_duplicates("_at").set_index("_at")["time"]
+        index = pdf.drop_duplicates("_at").set_index("_at")["t_idx"]
+        return pd.DataFrame({"t_idx": index.loc[start].to_numpy(), "time": time.loc[start + size // 2].to_numpy(), "score": every / (len(x) * (len(x) - 1))})
+
+    return dealt.groupBy("_block").applyInPandas(run, "t_idx int, time double, score double")
 
 
 def global_mean(sig: DataFrame, key: Column) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavelark.operators import correlation, segments
+from wavelark.model import Region
+from wavelark.operators import correlation, segments, signal
 
 #: Seconds from 1970 to bin 0; seconds a bin; the time axis counts hours.
 ORIGIN, BIN = 1704067200, 21600
@@ -38,6 +39,29 @@ def trend_plan(sig: DataFrame, size: int = 4, step: int = 1, threshold: float =
     return {"trends": found, "mask": masked, "density": dense, "segments": high, "participation": segments.participation(high, masked)}
 
 
+def trend_map(sig: DataFrame, region: Region, min_duration: float = 6.0) -> DataFrame:
+    """(subject, channel, row, start_sec, end_sec, center_sec, size): the trends that a trend map draws, with the channel's row (from 0, by
+    name) and the dot's size, 0.1 to 15 by height within the subject."""
+    rows = sig.select("subject", "channel").distinct().withColumn("row", F.dense_rank().over(Window.partitionBy("subject").orderBy("channel")) - 1)
+    seen = segments.viewport(segments.trends(sig, min_duration=min_duration), region.start_sec, region.end_sec)
+    sized = signal.robust_range(seen.withColumnRenamed("height", "value"), 0.1, 15.0, keys=("subject",))
+    return sized.join(F.broadcast(rows), ["subject", "channel"]).select("subject", "channel", "row", "start_sec", "end_sec", "center_sec", F.col("value").alias("size"))
+
+
+def epoch_map(found: DataFrame, order: list[str]) -> DataFrame:
+    """(row, event, label, offset, value): epochs as the rows of a heat map, by the labels' order and then the event."""
+    events = segments.ranked_events(found.select("event", "label").distinct(), order, (), "event")
+    return found.join(F.broadcast(events.select("event", F.col("place").alias("row"))), "event").select("row", "event", "label", "offset", "value")
+
+
+def waveform_grid(sig: DataFrame, columns: int = 3) -> DataFrame:
+    """(subject, channel, row, col, t_idx, time, value): every series with its place in a grid of small plots, spread over [0, 1]."""
+    place = F.dense_rank().over(Window.partitionBy("subject").orderBy("channel")) - 1
+    cells = sig.select("subject", "channel").distinct().withColumn("place", place)
+    cells = cells.select("subject", "channel", F.floor(F.col("place") / columns).cast("int").alias("row"), (F.col("place") % columns).alias("col"))
+    return signal.robust_range(sig, 0.0, 1.0).join(F.broadcast(cells), ["subject", "channel"])
+
+
 def connectivity_plan(sig: DataFrame, annotations: DataFrame | None = None) -> dict[str, DataFrame]:
     from wavelark.operators import graph
 

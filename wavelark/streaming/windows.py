@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wavelark.functions.scalar import pearson
+
 
 def sliding_density(events: DataFrame, size: str, step: str, late: str, time: str = "ts") -> DataFrame:
     """(window, n_events, n_active) per sliding window; watermarks need a TIMESTAMP, so the time is cast."""
@@ -14,6 +16,15 @@ def sliding_density(events: DataFrame, size: str, step: str, late: str, time: st
     return e.groupBy(F.window(time, size, step)).agg(F.count("*").alias("n_events"), F.approx_count_distinct("event_type").alias("n_active"))
 
 
+def sliding_correlation(samples: DataFrame, size: str, step: str, late: str, time: str = "ts") -> DataFrame:
+    """(window, a, b, r) of samples (ts, key, value): every two series' correlation in sliding windows, null if either is constant. Samples
+    of one time meet by a stream-stream join, whose state the watermark bounds; the moments are one windowed aggregate."""
+    e = samples.withColumn("ts", F.col(time).cast("timestamp")).withWatermark("ts", late)
+    one, two = e.select("ts", F.col("key").alias("a"), F.col("value").alias("x")), e.select("ts", F.col("key").alias("b"), F.col("value").alias("y"))
+    met = one.join(two, "ts").where("a < b")
+    return met.groupBy(F.window("ts", size, step), "a", "b").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+
+
 def stream_sessions(events: DataFrame, key: str, max_gap: float, min_duration: float, late: str, time: str = "ts", value: str = "event_type") -> DataFrame:
     """(key, start, end, trigger_value): sessions that break at a gap of max_gap or a change of value. Built-in session
     windows merge at the exact gap and ignore values, so the open session of each key is kept as state; it is
