@@ -183,3 +183,13 @@ def test_near_passages_of_families(spark, families, copies):
     got = covered(compact_windows.near_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
     found = {i for i in want if len(got[i] & set(range(passages[i][0], passages[i][0] + 120))) >= 60}
     assert len(want) >= 10 and len(found) >= 0.9 * len(want), (len(found), len(want))
+
+
+def test_suffix_dedup_within_a_document(spark):
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    a, b = word(70), word(49)
+    texts = {0: " ".join([*a, *word(30), *a, *word(5)]), 1: " ".join([*b, *word(30), *b]), 2: " ".join(word(300))}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = sorted((r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(table, within=True).collect())
+    assert got == [(0, 0, 70), (0, 100, 170)] and suffix_dedup.repeated_passages(table).count() == 0

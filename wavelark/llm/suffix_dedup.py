@@ -12,7 +12,7 @@ suffixes, whose common words to the left may end earlier than another's do: comp
 Equal texts count once and are passages as a whole.
 
 Nulls and edge cases: null, empty and short texts have no passages; a null id takes no part; rows with equal ids
-count as one document; passages that only one document repeats are not reported; other columns are ignored; an
+count as one document; passages that only one document repeats are reported if `within` is set; other columns are ignored; an
 empty table gives an empty result.
 """
 
@@ -141,8 +141,9 @@ def _spans(least: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """(doc_id, start_word, end_word): maximal runs of `least` words or more that another document holds too."""
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, within: bool = False) -> DataFrame:
+    """(doc_id, start_word, end_word): maximal runs of `least` words or more that another document holds too or, with `within`, that
+    the same document holds at another place."""
     if least < REACH + WINDOW - 1:
         raise ValueError(f"least must be {REACH + WINDOW - 1} or more")
     scratch = Scratch(docs.sparkSession, "suffix_dedup")
@@ -150,14 +151,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     single, copies = passages.one_of_each_text(scratch, texts)
     rows = scratch.table(single.mapInArrow(_suffixes, "near long, id long, at int"), "suffixes")
     # Both sides of the join on hot beginnings are written tables, so that adaptive execution can split a hot one's share.
-    groups = scratch.table(rows.groupBy("near").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("near"), "groups_near")
+    groups = scratch.table(rows.groupBy("near").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("n > 1" if within else "lo <> hi").select("near"), "groups_near")
     matched = scratch.table(rows.join(groups, "near", "left_semi").select("id", "at"), "matched")
     shared = scratch.table(matched.groupBy("id").agg(F.collect_list("at").alias("at")), "shared")
     scratch.drop("suffixes", "groups_near", "matched")
     # A text has a row for each different run, so a group has no more rows than documents.
     ranks = single.join(shared, "id").select("id", "text", "at").mapInArrow(_ranked(least), "key long, more int, id long, at binary")
     one = Window.partitionBy("key", "more")
-    repeated = ranks.withColumns({"lo": F.min("id").over(one), "hi": F.max("id").over(one)}).where("lo <> hi")
+    repeated = ranks.withColumns({"lo": F.min("id").over(one), "hi": F.max("id").over(one)}).where("lo <> hi or octet_length(at) > 4" if within else "lo <> hi")
     spans = scratch.table(repeated.groupBy("id").agg(F.collect_list("at").alias("at")).mapInArrow(_spans(least), "id long, a int, b int"), "spans")
     scratch.only("spans", "copies")
     return passages.joined(scratch, spans, texts, copies, least)
