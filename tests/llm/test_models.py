@@ -204,6 +204,16 @@ def test_neighbours_at_any_scale(spark, factor, shift):
     assert hit / 200 >= 0.9, hit / 200
 
 
+def test_neighbours_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(neighbours, "BUCKET_BYTES", 8_000)
+    x = np.random.default_rng(4).normal(size=(250, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest_neighbours(table, F.col("id") % 50 == 0, rounds=5).toPandas()
+    near = np.argsort(((x[:, None] - x[None]) ** 2).sum(-1), 1)[:, 1:11]
+    assert sum(len(set(near[q]) & set(got[got.query_id == q].vec_id)) for q in range(0, 250, 50)) >= 45
+
+
 def test_neighbours_of_odd_rows(spark):
     rows = [(i, [float(i), 1.0, 2.0]) for i in range(8)] + [(20, [1.0, 2.0]), (21, []), (3, [3.0, 1.0, 2.0]), (5, [500.0, 1.0, 2.0]), (7, None), (8, [-0.0, 1.0, 2.0])]
     got = neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("q", F.lit("x")), F.col("id") == 0, k=20).toPandas()

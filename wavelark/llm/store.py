@@ -44,6 +44,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.names: set[str] = set()
+        self.listed: dict[str, str] = {}
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         limit_batches(spark)
 
@@ -62,6 +63,8 @@ class Scratch:
         n = max(1, -(-size_of(df) // bucket_bytes))
         table = f"{self.root.rsplit('/', 1)[1]}_{name}".replace("-", "_")
         df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{self.root}/{name}").mode("overwrite").saveAsTable(table)
+        self.names.add(name)
+        self.listed[name] = table
         return self.spark.table(table)
 
     def only(self, *names: str) -> None:
@@ -73,6 +76,8 @@ class Scratch:
         self.names -= set(names)
         jvm = self.spark.sparkContext._jvm
         for name in names:
+            if name in self.listed:
+                self.spark.sql(f"drop table if exists {self.listed.pop(name)}")
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
