@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.fixture(scope="module")
 def sql():
     con = duckdb.connect()
-    for name in "region nation events".split():
+    for name in "region nation events customer part".split():
         con.sql(f"create view {name} as select * from '{SF}/{name}.parquet'")
     return con
 

@@ -333,6 +333,36 @@ _on_signal("mask_wide", lambda s: _wide(_known(views.trend_plan(s)["mask"]).with
 _on_signal("conn_wide", lambda s: _wide_matrix(s), MATRIX + ", k as (select subject, 'ch' || dense_rank() over (order by ch_a) as a, 'ch' || dense_rank() over (order by ch_b) as b, r from mx) select subject, a, " + ", ".join(f"round(max(case when b = '{c}' then r end), 6) as {c}" for c in WIDE) + " from k group by subject, a")
 
 
+# The layout operators on the driver's tables: segments of customers as channels, nations as regions, suppliers as sensors.
+def _shares(spark: SparkSession, d: str) -> DataFrame:
+    c = _table("customer")(spark, d).groupBy(F.col("c_mktsegment").alias("channel"), F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    pct = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("channel"))
+    return signal.must_match(c, _table("nation")(spark, d).select("n_nationkey", F.col("n_name").alias("region")), "n_nationkey").select("channel", "region", pct.alias("pct"))
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    n = _table("nation")(spark, d)
+    return n.select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("channel"), (F.col("n_nationkey") * 7 % 25).cast("double").alias("x"), (F.length("n_name") + F.col("n_regionkey")).cast("double").alias("y"))
+
+
+SHARES = "with c as (select c_mktsegment as channel, n_name as region, count(*) as n from customer join nation on c_nationkey = n_nationkey group by all), atlas as (select channel, region, n * 100.0 / sum(n) over (partition by channel) as pct from c)"
+PLACES = "with s as (select n_nationkey as pos, n_name as channel, cast(n_nationkey * 7 % 25 as double) as x, cast(length(n_name) + n_regionkey as double) as y from nation)"
+_query("topk_regions_of_segments", lambda spark, d: layout.top_regions(_shares(spark, d), 3, 100).select("channel", "region", r6("pct").alias("pct"), "place"), SHARES + " select channel, region, round(pct, 6) as pct, cast(place as int) as place from (select *, row_number() over (partition by channel order by pct desc, region) as place from atlas) where place <= 3 and pct >= 1")
+_query("region_colours_of_segments", lambda spark, d: layout.region_colours(_shares(spark, d)), SHARES + " select region, cast((dense_rank() over (order by region) - 1) % 20 as int) as colour from (select distinct region from atlas)")
+_query("first_part_by_name", lambda spark, d: layout.first_by_name(_table("part")(spark, d).select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("channel")), scalar.text_name(F.col("channel"))).select("pos", "channel", "phys"), r"select pos, channel, phys from (select p_partkey as pos, p_name as channel, regexp_extract(p_name, '^\s*(\S+)', 1) as phys, row_number() over (partition by regexp_extract(p_name, '^\s*(\S+)', 1) order by p_partkey) as n from part) where n = 1")
+_query("normalized_nations", lambda spark, d: layout.normalize_positions(_places(spark, d), 0.05, 0.03).select("pos", r6("x").alias("x"), r6("y").alias("y")), PLACES + ", n as (select pos, 0.01 + (x - min(x) over ()) / (max(x) over () - min(x) over ()) * 0.98 as x, 0.05 + (y - min(y) over ()) / (max(y) over () - min(y) over ()) * 0.85 as y from s), p as (select pos, least(greatest(x * 0.9 + 0.05, 0.05), 0.95) as x, least(greatest(y * 0.94 + 0.03, 0.03), 0.97) as y from n) select pos, round(max(x) over () + min(x) over () - x, 6) as x, round(max(y) over () + min(y) over () - y, 6) as y from p")
+_query("ordered_nations", lambda spark, d: layout.y_axis_order(_places(spark, d)).select("channel", "side", "y_order"), PLACES + ", m as (select *, x - (select median(x) from s) as o from s), t as (select *, case when abs(o) < 1e-6 then 'midline' when o < 0 then 'right' else 'left' end as side from m) select channel, side, cast(row_number() over (order by case side when 'left' then 0 when 'midline' then 1 else 2 end, case side when 'left' then y when 'midline' then x else -y end, case side when 'midline' then 0 else -x end, channel) - 1 as int) as y_order from t")
+_query("scaled_sizes", lambda spark, d: _table("part")(spark, d).select("p_partkey", scalar.unit_scale(10.0 + F.col("p_size") % 10).alias("scale")), "select p_partkey, 0.01::double as scale from part")
+def _atlas_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as an atlas file: the first one of each region opens a block."""
+    first = F.col("n_nationkey") == F.min("n_nationkey").over(Window.partitionBy("n_regionkey"))
+    head = F.when(first, F.format_string("CH%d (S%d-D1)", "n_regionkey", "n_regionkey")).otherwise("")
+    return _table("nation")(spark, d).select((F.col("n_regionkey") * 1000 + F.col("n_nationkey")).alias("line"), head.alias("head"), F.when(F.length("n_name") > 5, F.col("n_name")).otherwise("").alias("region"), (F.col("n_nationkey") * 1.5).cast("string").alias("pct"))
+
+
+_query("filled_nation_blocks", lambda spark, d: files.atlas_blocks(_atlas_lines(spark, d)), "select 'S' || n_regionkey || '_D1' as channel, n_name as region, n_nationkey * 1.5::double as pct from nation where length(n_name) > 5")
+
+
 # Further names of the whole tests, from when the shorter ones were smaller.
 for _name, _same in (("wilcoxon_w_all", "wilcoxon_w"), ("peak_perm_test_1000", "peak_perm_test"), ("onset_perm_100000", "onset_perm_summary")):
     _query(_name, *_all[_same])
