@@ -282,8 +282,9 @@ def test_rows_are_numbered_over_tasks(spark, tmp_path):
 def test_discovery_rates_over_buckets(spark):
     rng = np.random.default_rng(3)
     p = np.concatenate([rng.random(200) ** 3, [0.5] * 20, [1.0, 0.0]])
-    table = spark.createDataFrame([(f"c{k:03}", float(x)) for k, x in enumerate(p)], "channel string, p_value double")
-    got = statistics.benjamini_hochberg(table).toPandas().sort_values("channel").p_value_corrected.to_numpy()
+    table = spark.createDataFrame([(f"c{k:03}", float(x)) for k, x in enumerate(p)] + [("null", None)], "channel string, p_value double")
+    assert [r.p_value_corrected for r in statistics.benjamini_hochberg(table).where("channel = 'null'").collect()] == [None]
+    got = statistics.benjamini_hochberg(table).toPandas().sort_values("channel").p_value_corrected.to_numpy()[:-1]
     order = np.argsort(p, kind="stable")
     want = np.empty(len(p))
     want[order] = np.minimum(np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1], 1)

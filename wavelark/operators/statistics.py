@@ -36,10 +36,11 @@ def p_values(real: DataFrame, null: DataFrame) -> DataFrame:
 
 def benjamini_hochberg(df: DataFrame, p: str = "p_value", within: tuple[str, ...] = (), tie: tuple[str, ...] = ("channel",), alpha: float = 0.05, buckets: int = 1024) -> DataFrame:
     """df with p_value_corrected and significant: step-up false discovery rates, at most 1. Ranks are counted within buckets
-    of p, and carried from bucket to bucket by a table of the buckets' sizes and least rates; no task sees all rows."""
-    df = df.withColumn("_b", F.least(F.floor(F.col(p) * buckets), F.lit(buckets - 1)).cast("int"))
+    of p, and carried from bucket to bucket by a table of the buckets' sizes and least rates; no task sees all rows. A null p takes no
+    part and has null rates."""
+    df = df.withColumn("_b", F.when(F.col(p).isNull(), buckets).otherwise(F.least(F.floor(F.col(p) * buckets), F.lit(buckets - 1))).cast("int"))
     whole = Window.partitionBy(*within, F.lit(0))
-    sizes = df.groupBy(*within, "_b").agg(F.count("*").alias("_n"))
+    sizes = df.groupBy(*within, "_b").agg(F.count(p).alias("_n"))
     before = F.coalesce(F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select(*within, "_b", before.alias("_before"), F.sum("_n").over(whole).alias("_m"))
     own = Window.partitionBy(*within, "_b")
@@ -48,7 +49,7 @@ def benjamini_hochberg(df: DataFrame, p: str = "p_value", within: tuple[str, ...
     later = F.min("_least").over(whole.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))
     least = ranked.groupBy(*within, "_b").agg(F.min("_q").alias("_least")).select(*within, "_b", later.alias("_later"))
     q = F.least(F.min("_q").over(own.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)), F.col("_later"), F.lit(1.0))  # least() skips nulls
-    return ranked.join(least, [*within, "_b"]).withColumn("p_value_corrected", q).withColumn("significant", F.col("p_value_corrected") < alpha).drop("_b", "_before", "_m", "_rank", "_q", "_later")
+    return ranked.join(least, [*within, "_b"]).withColumn("p_value_corrected", F.when(F.col(p).isNotNull(), q)).withColumn("significant", F.col("p_value_corrected") < alpha).drop("_b", "_before", "_m", "_rank", "_q", "_later")
 
 
 def participation_test(status: DataFrame, n_perm: int = 1000, seed: int = 42) -> DataFrame:
