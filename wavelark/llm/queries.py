@@ -81,6 +81,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import Repair, damage
+
+    given = _table(spark, sf_dir, "conversations")
+    fixed = Repair(damage(given))
+    nothing = {c: F.lit(0).cast("long") for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")} | {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    out = given.select("conv_id").distinct()
+    for part in (fixed.summary, fixed.digests()):
+        part = part.withColumnRenamed("conv_id", "c")
+        out = out.join(part, out.conv_id.eqNullSafe(part.c), "left").drop("c")
+    return out.select("conv_id", *(F.coalesce(c, value).alias(c) for c, value in nothing.items()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -93,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_compact_windows": op9_compact_windows,
         "op10_url_filter": op10_url_filter,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
