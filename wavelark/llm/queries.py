@@ -89,6 +89,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_join import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conversations import Repair, damage
 
@@ -115,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_compact_windows": op9_compact_windows,
         "op10_url_filter": op10_url_filter,
         "op11_token_alignment": op11_token_alignment,
+        "op12_embedding_join": op12_embedding_join,
         "op13_conversation_repair": op13_conversation_repair,
     }
 
