@@ -5,10 +5,10 @@ offsets where tokens of both end (cumulative sums of token lengths, intersected)
 whose byte ranges overlap are linked. A pair of ids is counted once for each document that holds it linked.
 
 Neither tokenizer merges over a space that stands between two characters that aren't white space, so texts are cut before such
-spaces, and a worker aligns each distinct cut once: the new cuts of a slice of texts in one pass of array operations. Documents are
-read twice: to count pairs, and to look the counts up. Counts come out of each task added up, and meet in two shuffles, by
-pair and salt and then by pair. The table of counts goes to all workers if it holds at most COUNTS_BYTES; beyond that, the documents'
-pairs are joined with it by a shuffle. Either way gives the same result.
+spaces, and a worker aligns each distinct cut once: the new cuts of a slice of texts in one pass of array operations. Each document's
+distinct pairs are written with their number of links; the counts meet in two shuffles, by pair and salt and then by pair. The
+table of counts goes to all workers if it holds at most COUNTS_BYTES; beyond that, the documents' pairs are joined with it by a
+shuffle. Either way gives the same result.
 
 Nulls and edge cases: a null or empty text, and one whose tokens of A or of B don't give back its bytes (a text with U+2581, which B
 reads as a space), has no tokens, so all numbers are 0 and the digest is empty; texts are read whole, however long; each row is a document, so
@@ -26,7 +26,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +37,10 @@ from .store import Scratch, limit_batches, size_of
 COUNTS_BYTES = 64 << 20
 #: Parts into which a pair's counts are dealt before they are added up.
 SALTS = 16
-#: Cuts that a worker remembers, and their links (some 100 MB in all); when there are more, it starts anew.
-REMEMBER, LINKS = 200_000, 4_000_000
+#: Cuts that a worker remembers, and their links (some 200 MB in all); when there are more, it starts anew.
+REMEMBER, LINKS = 400_000, 4_000_000
+#: Cuts that are handed to the tokenizers as one text.
+JOINED = 256
 _ODD, _CUT = re.compile(r" \s| \Z|\A "), re.compile(r"(?<=[^ ]) (?=\S)")
 
 
@@ -82,7 +83,7 @@ def links(ends_a: np.ndarray, size_a: np.ndarray, ends_b: np.ndarray) -> tuple[n
 
 
 class Aligner:
-    """Both tokenizers, and the alignments of the cuts met so far. counts: (pairs in ascending order, documents, whether an A id's most)."""
+    """Both tokenizers, and the alignments of the cuts met so far. sides: whether each cut's ids and groups are kept too."""
 
     def __init__(self, raw_a: bytes, raw_b: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -97,7 +98,9 @@ class Aligner:
         pieces = range(self.b.get_piece_size())
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.words, self.pieces = _Vocabulary([words.get(i, b"") for i in range(max(words) + 1)]), _Vocabulary([piece(i) for i in pieces])
-        self.counts = None
+        # What a token writes in the groups' text: A's are followed by a comma or a bar, B's by a comma, a semicolon or nothing.
+        self.marks = [np.array([f"{i}{m}" for i in range(n)], object) for n, m in ((len(self.words.length), ","), (len(self.words.length), "|"), (len(pieces), ","), (len(pieces), ";"), (len(pieces), ""))]
+        self.sides = False
         self.forget()
 
     def forget(self) -> None:
@@ -105,19 +108,44 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.text: list[str] = []
         self.pair: dict[int, int] = {}
-        self.seen = none  # documents of each pair
-        self.n_a = self.n_b = self.n_groups = self.n_links = self.at = self.link = self.sum = self.best = none
+        self.n_a = self.n_b = self.n_groups = self.n_links = self.at = self.link = none
         self.bad = np.zeros(0, bool)
         self.side: list[tuple[np.ndarray, ...]] = []
 
+    def _joined(self, parts: list[str]) -> tuple[list[str], list[str], list[np.ndarray]]:
+        """(cuts of which many were encoded at once, cuts left over, [ids of A, of B, tokens of A and of B of each cut]). Cuts that begin and
+        end with a solid character are joined by spaces; a text whose cuts don't all end with tokens of both is left over."""
+        held, left, out = [], [p for p in parts if p[0].isspace() or p[-1].isspace()], []
+        solid = [p for p in parts if not (p[0].isspace() or p[-1].isspace())]
+        chunks = [solid[k : k + JOINED] for k in range(0, len(solid), JOINED)]
+        texts = [" ".join(c) for c in chunks]
+        both = zip(chunks, self.a.encode_batch([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1) if texts else [], strict=True)
+        for chunk, a, b in both:
+            ends, ids, counts = np.cumsum([len(p.encode()) + 1 for p in chunk]), [], []
+            for x, vocabulary in ((a.ids, self.words), (b, self.pieces)):
+                ids.append(np.array(x, np.int64))
+                upto = np.cumsum(vocabulary.length[ids[-1]])
+                place = np.searchsorted(upto, ends)
+                if upto[-1] != ends[-1] or (upto[place] != ends).any():
+                    break
+                counts.append(np.diff(place + 1, prepend=0))
+            if len(counts) == 2:
+                held += chunk
+                out.append((*ids, *counts))
+            else:
+                left += chunk
+        return held, left, [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else [[]] * 4)]
+
     def learn(self, parts: list[str]) -> None:
         """Aligns cuts that aren't known: all of them as one sequence of bytes."""
+        held, parts, (joined_a, joined_b, held_a, held_b) = self._joined(parts)
         a = [e.ids for e in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)]
-        b = self.b.encode(parts, num_threads=1)
-        raw = [b" " + p.encode() for p in parts]
-        size, n_a, n_b = (np.array([len(x) for x in xs], np.int64) for xs in (raw, a, b))
-        all_a, all_b = np.fromiter(chain.from_iterable(a), np.int64, n_a.sum()), np.fromiter(chain.from_iterable(b), np.int64, n_b.sum())
-        data = np.frombuffer(b"".join(raw), np.uint8)
+        b = self.b.encode(parts, num_threads=1) if parts else []
+        parts = held + parts
+        size = np.array([len(p.encode()) + 1 for p in parts], np.int64)
+        n_a, n_b = (np.concatenate([h, np.array([len(x) for x in xs], np.int64)]) for h, xs in ((held_a, a), (held_b, b)))
+        all_a, all_b = (np.concatenate([j, np.fromiter(chain.from_iterable(xs), np.int64)]) for j, xs in ((joined_a, a), (joined_b, b)))
+        data = np.frombuffer((" " + " ".join(parts)).encode(), np.uint8)
         good = (_sums(self.words.length[all_a], n_a) == size) & (_sums(self.pieces.length[all_b], n_b) == size)
         kept = lambda: (all_a[np.repeat(good, n_a)], all_b[np.repeat(good, n_b)], data[np.repeat(good, size)])
         ids_a, ids_b, read = kept()
@@ -137,34 +165,36 @@ class Aligner:
         code = np.array([self.pair.setdefault(p, len(self.pair)) for p in pairs.tolist()], np.int64)
         link = code[place] if len(pairs) else place.astype(np.int64)
 
-        cut_a, cut_b = (np.searchsorted(g, np.arange(len(cuts) + 1)).tolist() for g in (group_a, group_b))
-        name_a, name_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        groups = [",".join(name_a[a0:a1]) + "|" + ",".join(name_b[b0:b1]) for a0, a1, b0, b1 in zip(cut_a, cut_a[1:], cut_b, cut_b[1:], strict=False)]
-        ends = np.cumsum(n_groups).tolist()
-        self.text += [";".join(groups[e - n : e]) for e, n in zip(ends, n_groups.tolist(), strict=True)]
-
-        first_group = np.cumsum(n_groups) - n_groups
-        ends = np.cumsum(n_a), np.cumsum(n_b)
-        for k in range(len(parts)):
-            sa, sb = slice(ends[0][k] - n_a[k], ends[0][k]), slice(ends[1][k] - n_b[k], ends[1][k])
-            self.side.append((ids_a[sa], ids_b[sb], group_a[sa] - first_group[k], group_b[sb] - first_group[k]))
+        # The groups' text: a group's A tokens, then its B tokens, each with what follows it.
+        last_a, last_b = np.diff(group_a, append=-1) != 0, np.diff(group_b, append=-1) != 0
+        end = np.zeros(len(ids_b), bool)
+        end[(np.cumsum(n_b) - 1)[n_b > 0]] = True
+        place_a = np.arange(len(ids_a)) + np.searchsorted(group_b, group_a)
+        place_b = np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")
+        written = np.empty(len(ids_a) + len(ids_b), object)
+        comma_a, bar, comma_b, semicolon, nothing = self.marks
+        written[place_a] = np.where(last_a, bar[ids_a], comma_a[ids_a])
+        written[place_b] = np.where(end, nothing[ids_b], np.where(last_b, semicolon[ids_b], comma_b[ids_b]))
+        written, ends = written.tolist(), np.cumsum(n_a + n_b).tolist()
+        self.text += ["".join(written[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        if self.sides:
+            first_group = np.cumsum(n_groups) - n_groups
+            ends = np.cumsum(n_a), np.cumsum(n_b)
+            for k in range(len(parts)):
+                sa, sb = slice(ends[0][k] - n_a[k], ends[0][k]), slice(ends[1][k] - n_b[k], ends[1][k])
+                self.side.append((ids_a[sa], ids_b[sb], group_a[sa] - first_group[k], group_b[sb] - first_group[k]))
         self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
         self.at = np.concatenate([self.at, len(self.link) + np.cumsum(n_links) - n_links])
         more = lambda old, new: np.concatenate([old, new])
         self.n_a, self.n_b, self.n_groups, self.n_links, self.link, self.bad = more(self.n_a, n_a), more(self.n_b, n_b), more(self.n_groups, n_groups), more(self.n_links, n_links), more(self.link, link), more(self.bad, ~good)
-        self.seen = more(self.seen, np.zeros(len(self.pair) - len(self.seen), np.int64))
-        if self.counts is not None:
-            key, docs, most = self.counts
-            at = np.searchsorted(key, pairs)
-            self.sum, self.best = more(self.sum, _sums(docs[at][place], n_links)), more(self.best, _sums(most[at][place].astype(np.int64), n_links))
 
     def cuts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the texts' cuts one after the other, how many each text has). A text whose bytes don't come back has none."""
         if len(self.known) > REMEMBER or len(self.link) > LINKS:
             self.forget()
         parts = [[] if not t else t.split(" ") if _ODD.search(t) is None else _CUT.split(t) for t in texts]
-        if new := list(dict.fromkeys(p for ps in parts for p in ps if p not in self.known)):
-            self.learn(new)
+        if new := set(chain.from_iterable(parts)) - self.known.keys():
+            self.learn(list(new))
         number = lambda: np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64)
         count = np.array([len(p) for p in parts], np.int64)
         at = number()
@@ -177,16 +207,14 @@ class Aligner:
             count, at = np.array([len(p) for p in parts], np.int64), number()
         return at, count
 
-    def count(self, texts: list[str]) -> None:
-        """Adds 1 to each pair that a text holds linked, for each text."""
-        at, count = self.cuts(texts)
-        if not len(at):
-            return
-        once = np.unique(np.repeat(np.arange(len(texts)), count) * len(self.known) + at)
-        text, cut = once // len(self.known), once % len(self.known)
-        n = self.n_links[cut]
-        pair = np.unique(np.repeat(text, n) * len(self.pair) + self.link[_spread(self.at[cut], n)]) % max(1, len(self.pair))
-        self.seen += np.bincount(pair, minlength=len(self.pair))
+    def pairs(self, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pairs, links of each, pairs of each text): the distinct pairs of texts with these cuts."""
+        n = self.n_links[at]
+        key = np.sort(np.repeat(np.repeat(np.arange(len(count)), count), n) * len(self.pair) + self.link[_spread(self.at[at], n)])
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        key, times = key[first], np.diff(first, append=len(key))
+        pair = np.fromiter(self.pair, np.int64, len(self.pair))
+        return pair[key % max(1, len(pair))], times, np.bincount(key // max(1, len(pair)), minlength=len(count))
 
 
 _aligners: dict[int, Aligner] = {}
@@ -221,7 +249,8 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
 
     def run(batches):
         both = _shared(models)
-        both.counts = None
+        both.sides = True
+        both.forget()
         for batch in batches:
             for low, high, texts in _texts(batch.column(1)):
                 at, count = both.cuts(texts)
@@ -234,6 +263,7 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
                         part = [r[side] + (g if side > 1 else 0) for r, g in zip(rows, begin.tolist(), strict=True)]
                         out[side].append(np.concatenate(part).astype(np.int32) if part else np.zeros(0, np.int32))
                 yield pa.record_batch([batch.column(0)[low:high], *(tokens.lists(o, pa.int32()) for o in out)], names=["doc_id", "a", "b", "group_a", "group_b"])
+        both.sides = False
         both.forget()
         tokens.give_back()
 
@@ -241,34 +271,18 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
     return texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, a array<int>, b array<int>, group_a array<int>, group_b array<int>")
 
 
-def pair_counts(scratch: Scratch, docs: DataFrame, models, text_col: str = "text") -> DataFrame:
-    """(a, b, docs, best): of each pair of ids that is linked anywhere, in how many documents it is, and whether no other pair of its A id
-    is in more."""
-
-    def run(batches):
-        both, salt = _shared(models), TaskContext.get().partitionId() % SALTS
-        both.counts = None
+def _flat(parts: np.ndarray, count: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(parts, kind))
 
-        def added():
-            pair, seen = np.fromiter(both.pair, np.int64, len(both.pair)), both.seen
-            pair, seen = pair[seen > 0], seen[seen > 0]
-            both.forget()
-            return pa.record_batch([pa.array(pair >> 32, pa.int32()), pa.array(pair & 0xFFFFFFFF, pa.int32()), pa.array(seen), pa.array(np.full(len(pair), salt, np.int32))], names=["a", "b", "docs", "salt"])
 
-        both.forget()
-        for batch in batches:
-            for _, _, texts in _texts(batch.column(0)):
-                if len(both.known) > REMEMBER or len(both.link) > LINKS:
-                    yield added()
-                both.count(texts)
-        yield added()
-        tokens.give_back()
-
-    each = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "a int, b int, docs long, salt int")
-    dealt = each.groupBy("a", "b", "salt").agg(F.sum("docs").alias("docs"))
-    pairs = scratch.table(dealt.groupBy("a", "b").agg(F.sum("docs").alias("docs")), "pairs")
+def pair_counts(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """(pair, docs, best) of rows (pairs array<long>): of each pair of ids (A's in the upper 32 bits), in how many documents it is linked,
+    and whether no other pair of its A id is in more."""
+    each = rows.select(F.explode("pairs").alias("pair"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    dealt = each.groupBy("pair", "salt").agg(F.count("*").alias("docs"))
+    pairs = scratch.table(dealt.groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a", F.shiftright("pair", 32)), "pairs")
     most = pairs.groupBy("a").agg(F.max("docs").alias("most"))
-    counts = scratch.table(pairs.join(most, "a").select("a", "b", "docs", (F.col("docs") == F.col("most")).alias("best")), "counts")
+    counts = scratch.table(pairs.join(most, "a").select("pair", "docs", (F.col("docs") == F.col("most")).alias("best")), "counts")
     scratch.drop("pairs")
     return counts
 
@@ -277,55 +291,49 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row: tokens, groups and links; links whose pair is the
     most frequent of its A id; the sum of the links' counts; SHA-256 of the groups written as `a1,a2|b1;a3|b2,b3`."""
     scratch, models = Scratch(docs.sparkSession, "alignment"), _models(docs, path_a, path_b)
-    counts = pair_counts(scratch, docs, models, text_col)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = f"doc_id {dict(texts.dtypes)['doc_id']}"
-    numbers = ["n_a", "n_b", "n_groups", "n_links"]
-    whole = size_of(counts) <= COUNTS_BYTES
-    table = None
-    if whole:
-        held = counts.toArrow()
-        key = held["a"].to_numpy().astype(np.int64) << 32 | held["b"].to_numpy().astype(np.int64)
-        order = np.argsort(key)
-        table = docs.sparkSession.sparkContext.broadcast((key[order], held["docs"].to_numpy()[order], held["best"].to_numpy()[order]))
+    kind, numbers = dict(texts.dtypes)["doc_id"], ["n_a", "n_b", "n_groups", "n_links"]
 
-    def run(batches):
+    def align(batches):
         both = _shared(models)
-        both.counts = table.value if whole else None
         both.forget()
         for batch in batches:
-            for low, high, texts in _texts(batch.column(1)):
-                at, count = both.cuts(texts)
-                row = [batch.column(0)[low:high], *(pa.array(_sums(getattr(both, c)[at], count)) for c in numbers)]
-                if whole:
-                    row += [pa.array(_sums(both.best[at], count)), pa.array(_sums(both.sum[at], count))]
-                names = list(map(both.text.__getitem__, at.tolist()))
-                ends = np.cumsum(count).tolist()
-                row.append(pa.array([hashlib.sha256(";".join(names[e - n : e]).encode()).hexdigest() if n else "" for e, n in zip(ends, count.tolist(), strict=True)]))
-                if not whole:
-                    pairs = np.fromiter(both.pair, np.int64, len(both.pair))
-                    found, times = [], []
-                    for e, n in zip(ends, count.tolist(), strict=True):
-                        cut = at[e - n : e]
-                        p, m = np.unique(both.link[_spread(both.at[cut], both.n_links[cut])], return_counts=True)
-                        found.append(pairs[p])
-                        times.append(m)
-                    row += [tokens.lists(found, pa.int64()), tokens.lists(times, pa.int64())]
-                yield pa.record_batch(row, names=["doc_id", *numbers, *(["n_best", "count_sum"] if whole else []), "groups_sha256", *([] if whole else ["pairs", "times"])])
-        both.counts = None
+            for low, high, part in _texts(batch.column(1)):
+                at, count = both.cuts(part)
+                names, ends = list(map(both.text.__getitem__, at.tolist())), np.cumsum(count).tolist()
+                digest = [hashlib.sha256(";".join(names[e - n : e]).encode()).hexdigest() if n else "" for e, n in zip(ends, count.tolist(), strict=True)]
+                pair, times, n = both.pairs(at, count)
+                sums = [pa.array(_sums(getattr(both, c)[at], count)) for c in numbers]
+                yield pa.record_batch([batch.column(0)[low:high], *sums, pa.array(digest), _flat(pair, n, pa.int64()), _flat(times, n, pa.int32())], names=["doc_id", *numbers, "groups_sha256", "pairs", "times"])
         both.forget()
         tokens.give_back()
 
     longs = ", ".join(f"{c} long" for c in numbers)
-    if whole:
-        scratch.drop("counts")
-        return texts.mapInArrow(run, f"{kind}, {longs}, n_best long, count_sum long, groups_sha256 string")
-    rows = texts.mapInArrow(run, f"{kind}, {longs}, groups_sha256 string, pairs array<long>, times array<long>")
+    rows = texts.mapInArrow(align, f"doc_id {kind}, {longs}, groups_sha256 string, pairs array<long>, times array<int>")
     rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    counts = pair_counts(scratch, rows)
+    columns = ["doc_id", *numbers, "n_best", "count_sum", "groups_sha256"]
+    if size_of(counts) <= COUNTS_BYTES:
+        held = counts.toArrow()
+        order = np.argsort(held["pair"].to_numpy())
+        table = docs.sparkSession.sparkContext.broadcast(tuple(held[c].to_numpy()[order] for c in ("pair", "docs", "best")))
+
+        def look_up(batches):
+            pair, number, best = table.value
+            for batch in batches:
+                at, times = np.searchsorted(pair, batch.column(6).flatten().to_numpy()), batch.column(7).flatten().to_numpy().astype(np.int64)
+                count = batch.column(6).value_lengths().to_numpy().astype(np.int64)
+                sums = [pa.array(_sums(values * times, count)) for values in (best[at].astype(np.int64), number[at])]
+                yield pa.record_batch([*(batch.column(k) for k in range(5)), *sums, batch.column(5)], names=columns)
+            tokens.give_back()
+
+        scratch.only("rows")
+        kinds = f"doc_id {kind}, {longs}, n_best long, count_sum long, groups_sha256 string"
+        return rows.select("doc_id", *numbers, "groups_sha256", "pairs", "times").mapInArrow(look_up, kinds)
     # A pair that most documents hold is hot: both sides are written tables, so that adaptive execution can split its share.
     each = rows.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-    known = counts.select((F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))).alias("pair"), "docs", "best")
-    added = scratch.table(each.join(known, "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum")), "added")
+    sums = (F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)), F.sum(F.col("times") * F.col("docs")))
+    added = scratch.table(each.join(counts, "pair").groupBy("row").agg(*(s.alias(c) for s, c in zip(sums, ("n_best", "count_sum"), strict=True))), "added")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     scratch.only("rows", "added")
     return rows.join(added, "row", "left").select("doc_id", *numbers, zero("n_best"), zero("count_sum"), "groups_sha256")
