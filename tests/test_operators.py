@@ -142,7 +142,7 @@ def test_statistics(spark):
     x = np.array([2, -1, 5, 0, 4.0])
     assert math.isclose(t.t, x.mean() / (x.std(ddof=1) / math.sqrt(5)))
     assert 0.15 < t.p < 0.2
-    w = statistics.wilcoxon(d, F.col("post"), F.col("pre")).withColumn("p", statistics.wilcoxon_p_value("w", "n")).head()
+    w = statistics.wilcoxon(d, F.col("post"), F.col("pre")).withColumn("p", statistics.wilcoxon_p_value("w", "n", "ties", "ranks")).head()
     assert (w.n, w.w) == (4, 1.0) and math.isclose(w.p, 0.25)
 
 
@@ -315,5 +315,23 @@ def test_sliding_mean_in_blocks(spark, noise):
     got = correlation.sliding_mean(sig, key, 10, 3, windows=4).toPandas().set_index("t_idx").score
     want = correlation.sliding_pairs(sig, key, 10, 3).groupBy("t_idx").agg(F.avg(F.coalesce("r", F.lit(0.0))).alias("score")).toPandas().set_index("t_idx").score
     assert sorted(got.index) == sorted(want.index) and np.allclose(got.sort_index(), want.sort_index())
-    with pytest.raises(Exception, match="gaps"):
-        correlation.sliding_mean(sig.where("t_idx <> 7 or channel <> 'c1'"), key, 10, 3).collect()
+    split = correlation.sliding_mean(sig, key, 10, 3, windows=4, group=2).toPandas().set_index("t_idx").score
+    assert sorted(split.index) == sorted(want.index) and np.allclose(split.sort_index(), want.sort_index())
+
+
+def test_sliding_pairs_in_groups_and_with_gaps(spark, noise):
+    key = F.concat_ws("/", "subject", "channel")
+    sig = make(spark, noise)
+    rows = lambda df: {(r.a, r.b, r.t_idx): (r.time, r.r) for r in df.collect()}
+    want = rows(correlation._sliding_rows(sig, key, 10, 3, ()))
+    for group, windows in ((64, 64), (2, 3)):
+        got = rows(correlation.sliding_pairs(sig, key, 10, 3, windows=windows, group=group))
+        assert got.keys() == want.keys()
+        for k in got:
+            assert got[k][0] == want[k][0] and (got[k][1] is None) == (want[k][1] is None) and (got[k][1] is None or math.isclose(got[k][1], want[k][1], abs_tol=1e-9))
+    own = correlation.sliding_pairs(sig, F.col("channel"), 10, 3, ("subject",), group=2)
+    assert own.count() == sum(1 for a, b, _ in want if a[0] == b[0])
+    gaps = sig.where("t_idx <> 7 or channel <> 'c1'")
+    assert rows(correlation.sliding_pairs(gaps, key, 10, 3)).keys() == rows(correlation._sliding_rows(gaps, key, 10, 3, ())).keys()
+    mean = {r.t_idx: r.score for r in correlation.sliding_mean(gaps, key, 10, 3).collect()}
+    assert len(mean) > 5 and all(-1 <= x <= 1 for x in mean.values())

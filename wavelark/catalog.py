@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wavelark.functions import scalar
 from wavelark.model import Region
-from wavelark.operators import correlation, graph, layout, segments, signal, spectral, statistics
+from wavelark.operators import blocks, correlation, graph, intervals, layout, segments, signal, spectral, statistics
 from wavelark.plans import views
 from wavelark.sources import files
 
@@ -61,18 +61,8 @@ fr as (select *, case when t - lag(t) over w < 600 and lag(v) over w = v then 0
 ss as (select *, sum(f) over (partition by subject order by t, v rows unbounded preceding) as s from fr),
 sessions as (select cast(subject as int) as subject, min(t) as start, max(t) as "end", any_value(v) as trigger_value from ss group by subject, s having max(t) - min(t) >= 60)
 """
-IBC = SIG + ", ms as (select subject, t_idx, time, avg(value) as value from sig group by all), pp as (select a.subject as a, b.subject as b, a.t_idx, a.time, a.value as x, b.value as y from ms a join ms b on a.t_idx = b.t_idx and a.subject < b.subject),\nsl as (select a, b, t_idx, count(*) over w as n, row_number() over (partition by a, b order by t_idx) - 1 as pos, covar_pop(x, y) over w / nullif(stddev_pop(x) over w * stddev_pop(y) over w, 0) as r from pp window w as (partition by a, b order by t_idx rows between current row and 9 following)),\nibc as (select t_idx, case when count(r) = count(*) then avg(r) end as r from sl where n = 10 and pos % 2 = 0 group by t_idx),\nseries as (select cast(t_idx as double) as time, avg(value) as value from sig group by t_idx),\nonsets as (select * from (values (0, 'on', 12.0::double), (1, 'ing', 30.5), (2, 'off', 47.25), (3, 'on', 3.0), (4, 'ing', 71.0), (5, 'off', 90.0), (6, 'on', 117.0)) o(event, label, onset)),\nej as (select o.event, o.label, s.time - o.onset as off, s.value, count(*) over (partition by o.event) as n from series s join onsets o on s.time >= o.onset - 6 and s.time < o.onset + 6),\nep as (select * from ej where n = 12),\npp2 as (select event, label, avg(case when off >= -5 and off < 0 then value end) as pre_mean, avg(case when off >= 0 and off < 5 then value end) as post_mean from ep group by all),\nuni as (select perm, event, lo + cast(('0x' || substr(md5('42:' || perm || ':' || event), 1, 8))::bigint as double) / 4294967296.0 * (hi - lo) as onset from (select unnest(range(100000)) as perm) p, (select unnest(range(3)) as event) e, (select min(time) + 6 as lo, max(time) - 6 as hi from series)),\non2 as (select perm, event, count(*) as n, avg(case when time < onset then value end) as a, avg(case when time >= onset then value end) as b from series join uni on time >= onset - 6 and time < onset + 6 group by all having count(*) = 12),\nonull as (select cast(perm as int) as perm, avg(b) - avg(a) as diff from on2 group by perm having count(*) = 3)\n"
-
-#: Small fixed inputs of operators on layouts and files: (pos, channel, region, pct, x, y) and atlas lines.
-SENSORS = "(values (0, 'S1_D1 hbo', 0.1::double, 0.9::double), (1, 'S1_D1 hbr', 0.1, 0.9), (2, 'S2_D1 hbo', 0.5, 0.4), (3, 'S2_D2 hbo', 0.8, 0.7), (4, 'S3_D2 hbo', 0.9, 0.2), (5, 'S3_D3 hbr', 0.3, 0.3), (6, 'S4_D3 hbo', 0.5, 0.8))"
-LINES = "(values (0, 'CH1 (S1-D1)', 'Frontal', '60.5'), (1, '', 'Motor', '30'), (2, '', 'Visual', '9.5'), (3, 'CH2 (S2-D1)', 'Motor', 'n/a'), (4, '', 'Motor', '80'), (5, '', '', '20'), (6, 'CH3 (S2-D2)', 'Visual', '55'), (7, '', 'Frontal', '45'), (8, '', 'Parietal', '1'), (9, '', 'Motor', '0.5'))"
-SPARK_LINES = f"select col1 as line, col2 as head, col3 as region, col4 as pct from {LINES}"
-SPARK_SENSORS = f"select col1 as pos, col2 as channel, cast(col3 as double) as x, cast(col4 as double) as y from {SENSORS.replace('::double', '')}"
-ATLAS = f"""with l as (select * from {LINES} v(line, head, region, p)),
-f as (select line, last_value(case when starts_with(head, 'CH') then replace(regexp_extract(head, '\\(([^)]*)\\)', 1), '-', '_') end ignore nulls) over (order by line rows unbounded preceding) as channel, region, try_cast(p as double) as pct from l),
-atlas as (select channel, region, pct from f where region <> '' and pct is not null)
-"""
-SENS = f"with s as (select * from {SENSORS} v(pos, channel, x, y))"
+IBC = SIG + ", ms as (select subject, t_idx, time, avg(value) as value from sig group by all), pp as (select a.subject as a, b.subject as b, a.t_idx, a.time, a.value as x, b.value as y from ms a join ms b on a.t_idx = b.t_idx and a.subject < b.subject),\nsl as (select a, b, t_idx, count(*) over w as n, row_number() over (partition by a, b order by t_idx) - 1 as pos, covar_pop(x, y) over w / nullif(stddev_pop(x) over w * stddev_pop(y) over w, 0) as r from pp window w as (partition by a, b order by t_idx rows between current row and 9 following)),\nibc as (select t_idx, case when count(r) = count(*) then avg(r) end as r from sl where n = 10 and pos % 2 = 0 group by t_idx),\nseries as (select cast(t_idx as double) as time, avg(value) as value from sig group by t_idx),\nonsets as (select cast(dense_rank() over (order by event_type) - 1 as int) as event, case event_type when 'view' then 'on' when 'click' then 'ing' else 'off' end as label, onset from (select event_type, (epoch_us(ts) / 1000000.0 - 1704067200) / 21600 as onset, row_number() over (partition by event_type order by ts, event_id) as k, count(*) over (partition by event_type) as n from events) where k = n // 2 + 1),\nej as (select o.event, o.label, s.time - o.onset as off, s.value, count(*) over (partition by o.event) as n from series s join onsets o on s.time >= o.onset - 6 and s.time < o.onset + 6),\nep as (select * from ej where n = 12),\npp2 as (select event, label, avg(case when off >= -5 and off < 0 then value end) as pre_mean, avg(case when off >= 0 and off < 5 then value end) as post_mean from ep group by all),\nuni as (select perm, event, lo + cast(('0x' || substr(md5('42:' || perm || ':' || event), 1, 8))::bigint as double) / 4294967296.0 * (hi - lo) as onset from (select unnest(range(100000)) as perm) p, (select unnest(range(3)) as event) e, (select min(time) + 6 as lo, max(time) - 6 as hi from series)),\non2 as (select perm, event, count(*) as n, avg(case when time < onset then value end) as a, avg(case when time >= onset then value end) as b from series join uni on time >= onset - 6 and time < onset + 6 group by all having count(*) = 12),\nonull as (select cast(perm as int) as perm, avg(b) - avg(a) as diff from on2 group by perm having count(*) = 3)\n"
+
 
 _series = lambda: F.concat(F.col("subject").cast("string"), F.lit("/"), F.col("channel"))
 r6 = lambda c: F.round(c, 6)
@@ -105,8 +95,12 @@ _query("row_slice", lambda spark, d: signal.row_slice(_table("events")(spark, d)
 
 def _known(s: DataFrame) -> DataFrame:
     """Channels by number, so that wide columns have fixed names."""
-    place = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("channel"))
-    return s.withColumn("channel", F.concat(F.lit("ch"), place.cast("string")))
+    return s.join(_places_of(s, "channel"), "channel").withColumn("channel", F.col("_name")).drop("_name")
+
+
+def _places_of(s: DataFrame, column: str) -> DataFrame:
+    """(column, _name): a channel's place by name. Only the distinct names are ordered."""
+    return s.select(column).distinct().withColumn("_name", F.concat(F.lit("ch"), F.row_number().over(Window.orderBy(column)).cast("string")))
 
 
 def _names(df: DataFrame, column: str = "channel") -> list[str]:
@@ -146,14 +140,19 @@ _on_signal("interbrain_corr", lambda s: correlation.between_subjects(s, 10, 2, 1
 _on_signal("conn_matrix", lambda s: correlation.matrix(s).withColumn("r", r6("r")), MATRIX + "select subject, ch_a, ch_b, round(r, 6) as r from mx")
 
 
-def _annotations(spark: SparkSession) -> DataFrame:
-    return spark.sql("select col1 as annotation, cast(col2 as double) as start, cast(col3 as double) as end from values ('early', 0, 300), ('late', 250, 700)")
+def _annotations(spark: SparkSession, d: str) -> DataFrame:
+    """A stretch for each kind of event, from its first event to its middle one, in hours; they overlap."""
+    e = views.events(spark, d).select(F.col("event_type").alias("annotation"), ((F.col("epoch") - views.ORIGIN) / 3600).alias("at"), "event_id")
+    w = Window.partitionBy("annotation")
+    placed = e.withColumns({"k": F.row_number().over(w.orderBy("at", "event_id")), "n": F.count("*").over(w)})
+    return placed.where(F.col("k") <= F.floor(F.col("n") / 2) + 1).groupBy("annotation").agg(F.min("at").alias("start"), F.max("at").alias("end"))
 
 
+ANNOTATED = SIG + ", ann as (select event_type as annotation, min(tm) as lo, max(tm) as hi from (select event_type, (epoch_us(ts) / 1000000.0 - 1704067200) / 3600 as tm, row_number() over (partition by event_type order by ts, event_id) as k, count(*) over (partition by event_type) as n from events) where k <= n // 2 + 1 group by event_type)\n"
 _query(
     "conn_matrix_by_annotation",
-    lambda spark, d: correlation.matrix(correlation.by_annotation(views.signal_grid(spark, d), _annotations(spark)), ("annotation", "subject")).withColumn("r", r6("r")),
-    SIG + ", an as (select s.*, a.annotation from sig s join (values ('early', 0, 300), ('late', 250, 700)) a(annotation, lo, hi) on s.time between a.lo and a.hi),\nhf as (select a.annotation, a.subject, a.channel as a, b.channel as b, covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0) as r from an a join an b on a.annotation = b.annotation and a.subject = b.subject and a.t_idx = b.t_idx and a.channel < b.channel group by all)\nselect annotation, subject, a as ch_a, b as ch_b, round(r, 6) as r from hf union all select annotation, subject, b, a, round(r, 6) from hf union all select distinct annotation, subject, channel, channel, 0.0 from an",
+    lambda spark, d: correlation.matrix(correlation.by_annotation(views.signal_grid(spark, d), _annotations(spark, d)), ("annotation", "subject")).withColumn("r", r6("r")),
+    ANNOTATED + ", an as (select s.*, a.annotation from sig s join ann a on s.time between a.lo and a.hi),\nhf as (select a.annotation, a.subject, a.channel as a, b.channel as b, covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0) as r from an a join an b on a.annotation = b.annotation and a.subject = b.subject and a.t_idx = b.t_idx and a.channel < b.channel group by all)\nselect annotation, subject, a as ch_a, b as ch_b, round(r, 6) as r from hf union all select annotation, subject, b, a, round(r, 6) from hf union all select distinct annotation, subject, channel, channel, 0.0 from an",
 )
 _on_signal("pos_quantile_threshold", lambda s: correlation.strong_edges(correlation.matrix(s)).select("subject", r6("threshold").alias("threshold")).distinct(), STRONG + "select subject, round(threshold, 6) as threshold from th")
 _on_signal("threshold_graph", lambda s: correlation.strong_edges(correlation.matrix(s)).select("subject", "ch_a", "ch_b", r6("r").alias("r")), STRONG + "select subject, ch_a, ch_b, round(r, 6) as r from st")
@@ -199,24 +198,29 @@ def _mean_series(s: DataFrame) -> DataFrame:
     return s.groupBy(F.col("t_idx").cast("double").alias("time")).agg(F.avg("value").alias("value"))
 
 
-def _onsets(spark: SparkSession) -> DataFrame:
-    return spark.sql("select col1 as event, col2 as label, cast(col3 as double) as onset from values (0, 'on', 12.0), (1, 'ing', 30.5), (2, 'off', 47.25), (3, 'on', 3.0), (4, 'ing', 71.0), (5, 'off', 90.0), (6, 'on', 117.0)")
+def _onsets(spark: SparkSession, d: str) -> DataFrame:
+    """An onset for each kind of event: the moment of its middle event, in bins."""
+    e = views.events(spark, d).select("event_type", ((F.col("epoch") - views.ORIGIN) / views.BIN).alias("onset"), "event_id")
+    w = Window.partitionBy("event_type")
+    middle = e.withColumns({"k": F.row_number().over(w.orderBy("onset", "event_id")), "n": F.count("*").over(w)}).where(F.col("k") == F.floor(F.col("n") / 2) + 1)
+    label = F.when(F.col("event_type") == "view", "on").when(F.col("event_type") == "click", "ing").otherwise("off")
+    number = middle.select("event_type").distinct().withColumn("event", F.row_number().over(Window.orderBy("event_type")) - 1)  # a row a kind
+    return middle.join(number, "event_type").select("event", label.alias("label"), "onset")
 
 
-def _epochs(s: DataFrame) -> DataFrame:
-    return segments.epochs(_mean_series(s), _onsets(s.sparkSession), 6, 6, 12)
+def _epochs(spark: SparkSession, d: str) -> DataFrame:
+    return segments.epochs(_mean_series(views.signal_grid(spark, d)), _onsets(spark, d), 6, 6, 12)
 
 
-_on_signal("event_epochs", lambda s: _epochs(s).select("event", "label", "offset", r6("value").alias("value")), IBC + 'select event, label, off as "offset", round(value, 6) as value from ep')
-_on_signal("pre_post_means", lambda s: segments.pre_post(_epochs(s), 5, 5).select("event", "label", r6("pre_mean").alias("pre_mean"), r6("post_mean").alias("post_mean")), IBC + "select event, label, round(pre_mean, 6) as pre_mean, round(post_mean, 6) as post_mean from pp2")
-_on_signal("paired_t", lambda s: statistics.paired_t(segments.pre_post(_epochs(s), 5, 5), F.col("post_mean"), F.col("pre_mean")).select("n", r6("mean_diff").alias("mean_diff"), r6("t").alias("t")), IBC + "select count(*) as n, round(avg(post_mean - pre_mean), 6) as mean_diff, round(avg(post_mean - pre_mean) / (stddev_samp(post_mean - pre_mean) / sqrt(count(*))), 6) as t from pp2")
-_on_signal("wilcoxon_w", lambda s: statistics.wilcoxon(s.join(s.select("subject", "channel", (F.col("t_idx") - 1).alias("t_idx"), F.col("value").alias("post")), ["subject", "channel", "t_idx"]), F.col("post"), F.col("value"), ("subject", "channel")), SIG + ", d as (select a.subject, a.channel, b.value - a.value as d from sig a join sig b on a.subject = b.subject and a.channel = b.channel and b.t_idx = a.t_idx + 1 where b.value <> a.value), r as (select subject, channel, d, rank() over (partition by subject, channel order by abs(d)) + (count(*) over (partition by subject, channel, abs(d)) - 1) / 2 as r from d) select subject, channel, count(*) as n, least(coalesce(sum(case when d > 0 then r end), 0), coalesce(sum(case when d < 0 then r end), 0)) as w from r group by subject, channel")
+_query("event_epochs", lambda spark, d: _epochs(spark, d).select("event", "label", "offset", r6("value").alias("value")), IBC + 'select event, label, off as "offset", round(value, 6) as value from ep')
+_query("pre_post_means", lambda spark, d: segments.pre_post(_epochs(spark, d), 5, 5).select("event", "label", r6("pre_mean").alias("pre_mean"), r6("post_mean").alias("post_mean")), IBC + "select event, label, round(pre_mean, 6) as pre_mean, round(post_mean, 6) as post_mean from pp2")
+_query("paired_t", lambda spark, d: statistics.paired_t(segments.pre_post(_epochs(spark, d), 5, 5), F.col("post_mean"), F.col("pre_mean")).select("n", r6("mean_diff").alias("mean_diff"), r6("t").alias("t")), IBC + "select count(*) as n, round(avg(post_mean - pre_mean), 6) as mean_diff, round(avg(post_mean - pre_mean) / (stddev_samp(post_mean - pre_mean) / sqrt(count(*))), 6) as t from pp2")
+_on_signal("wilcoxon_w", lambda s: statistics.wilcoxon(s.join(s.select("subject", "channel", (F.col("t_idx") - 1).alias("t_idx"), F.col("value").alias("post")), ["subject", "channel", "t_idx"]), F.col("post"), F.col("value"), ("subject", "channel")).select("subject", "channel", "n", "w"), SIG + ", d as (select a.subject, a.channel, b.value - a.value as d from sig a join sig b on a.subject = b.subject and a.channel = b.channel and b.t_idx = a.t_idx + 1 where b.value <> a.value), r as (select subject, channel, d, rank() over (partition by subject, channel order by abs(d)) + (count(*) over (partition by subject, channel, abs(d)) - 1) / 2 as r from d) select subject, channel, count(*) as n, least(coalesce(sum(case when d > 0 then r end), 0), coalesce(sum(case when d < 0 then r end), 0)) as w from r group by subject, channel")
 _on_signal("onset_perm", lambda s: statistics.onset_null(_mean_series(s), 3, 6, 6, 12, 100_000).withColumn("diff", r6("diff")), IBC + "select perm, round(diff, 6) as diff from onull")
 _on_signal("onset_perm_summary", lambda s: statistics.two_sided(statistics.onset_null(_mean_series(s), 3, 6, 6, 12, 100_000), 5.0).select("n_valid", r6("null_mean").alias("null_mean"), r6("null_std").alias("null_std"), r6("p_value").alias("p_value")), IBC + "select count(*) as n_valid, round(avg(diff), 6) as null_mean, round(stddev_pop(diff), 6) as null_std, round((sum(case when abs(diff) >= 5 then 1 else 0 end) + 1) / (count(*) + 1), 6) as p_value from onull")
 _query("null_histogram", lambda spark, d: statistics.histogram(_table("events")(spark, d), "value"), "select cast(least(floor((value - lo) / (hi - lo) * 30), 29) as int) as bin, count(*) as n from events, (select min(value) as lo, max(value) as hi from events) group by 1")
 _on_signal("dft_bins", lambda s: spectral.dft_power(s, [1, 2, 3, 4], 120).withColumn("power", F.round("power", 2)), SIG + "select subject, channel, k, round(pow(sum(value * cos(2 * pi() * k * t_idx / 120)), 2) + pow(sum(value * sin(2 * pi() * k * t_idx / 120)), 2), 2) as power from sig, (select cast(unnest(range(1, 5)) as int) as k) group by subject, channel, k")
 _on_signal("optical_density", lambda s: spectral.optical_density(s.withColumn("value", F.col("value") + 1)).withColumn("value", r6("value")), SIG + "select subject, channel, t_idx, time, round(-ln((value + 1) / avg(value + 1) over (partition by subject, channel)), 6) as value from sig")
-_on_signal("beer_lambert", lambda s: spectral.beer_lambert(s.withColumn("wavelength", F.when(F.col("channel") == F.lit("click"), 760).otherwise(850)).where(F.col("channel").isin("click", "view")).withColumn("channel", F.lit("S1_D1")), {760: (1.5, 3.8), 850: (2.5, 1.8)}, 3.0, 6.0).select("subject", "channel", "t_idx", "time", r6("hbo").alias("hbo"), r6("hbr").alias("hbr")), SIG + ", w as (select subject, t_idx, time, max(case when channel = 'click' then value end) as x, max(case when channel = 'view' then value end) as y from sig where channel in ('click', 'view') group by all) select subject, 'S1_D1' as channel, t_idx, time, round((1.8 * x - 3.8 * y) / ((1.5 * 1.8 - 3.8 * 2.5) * 18), 6) as hbo, round((1.5 * y - 2.5 * x) / ((1.5 * 1.8 - 3.8 * 2.5) * 18), 6) as hbr from w")
 _on_signal("sci_corr", lambda s: spectral.coupling(_two(s), 240).withColumn("sci", r6("sci")), SIG + ", tw as (select a.subject, a.channel, a.time, a.value as x, b.value as y from sig a join sig b on a.channel = b.channel and a.t_idx = b.t_idx and a.subject = b.subject - 1), c as (select subject, channel, cast(floor(time / 240) as int) as win, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) as sci from tw group by all) select subject, channel, win, round(sci, 6) as sci, sci < 0.8 as bad from c")
 _on_signal("resample_mean", lambda s: spectral.resample_mean(s, 1 / 24).withColumns({"value": r6("value"), "time": F.round("time", 6)}), SIG + "select subject, channel, cast(floor(time / 24) as int) as t_idx, round(floor(time / 24) * 24.0, 6) as time, round(avg(value), 6) as value from sig group by subject, channel, floor(time / 24)")
 
@@ -247,6 +251,11 @@ fir as (select s.subject, s.channel, s.t_idx, s.time, sum(h * x.{col}) as y from
 """
 _cut = lambda f, rate=1.0: f"(case when n = 0 then {2 * f / rate!r} else sin(pi() * {2 * f / rate!r} * n) / (pi() * n) end)"
 _fir = lambda low, high, taps, src="sig", col="value": FIR.format(low=_cut(low), high=_cut(high), taps=taps, half=taps // 2, src=src, col=col)
+_on_signal(
+    "beer_lambert",
+    lambda s: spectral.beer_lambert(_two(s).unpivot(["subject", "channel", "t_idx", "time"], ["x", "y"], "wavelength", "value"), {"x": (1.5, 3.8), "y": (2.5, 1.8)}, 3.0, 6.0).select("subject", "channel", "t_idx", "time", r6("hbo").alias("hbo"), r6("hbr").alias("hbr")),
+    SIG + "select a.subject, a.channel, a.t_idx, a.time, round((1.8 * a.value - 3.8 * b.value) / ((1.5 * 1.8 - 3.8 * 2.5) * 18), 6) as hbo, round((1.5 * b.value - 2.5 * a.value) / ((1.5 * 1.8 - 3.8 * 2.5) * 18), 6) as hbr from sig a join sig b on a.channel = b.channel and a.t_idx = b.t_idx and a.subject = b.subject - 1",
+)
 _on_signal("band_pass", lambda s: spectral.band_pass(s, 1.0, 0.05, 0.3, 31).withColumn("value", F.round("value", 5)), SIG + _fir(0.05, 0.3, 31) + "select subject, channel, t_idx, time, round(y, 5) as value from fir")
 TWO = SIG + ", tw as (select a.subject, a.channel, a.t_idx, a.time, a.value as x, b.value as y from sig a join sig b on a.channel = b.channel and a.t_idx = b.t_idx and a.subject = b.subject - 1)\n"
 _on_signal(
@@ -264,28 +273,28 @@ select subject, i * 4 + 20.0::double + (select min(time) from sig) as time, arg_
 _on_signal("spectrogram_peak", lambda s: spectral.peak_frequency(spectral.spectrogram(s, 1.0, 40, 4, 512, (0.02, 0.45)), s.groupBy("subject").agg(F.min("time").alias("start"))), SIG + SPEC)
 
 
-def _repair_sql(rounds: int) -> str:
+def _repair_sql(rounds: int, head: str = SIG, src: str = "sig") -> str:
     """The robust rounds one after the other; a series whose mean has settled keeps its weights."""
-    out = SIG + ", d0 as (select subject, channel, t_idx, value - lag(value) over (partition by subject, channel order by t_idx) as d from sig), r0 as (select subject, channel, t_idx, d, 1.0::double as w, 1e300::double as mu, false as done from d0 where d is not null)\n"
+    out = head + f", d0 as (select subject, channel, t_idx, value - lag(value) over (partition by subject, channel order by t_idx) as d from {src}), r0 as (select subject, channel, t_idx, d, 1.0::double as w, 1e300::double as mu, false as done from d0 where d is not null)\n"
     for k in range(1, rounds + 1):
         out += f""", a{k} as materialized (select *, case when done then mu else sum(w * d) over s / greatest(sum(w) over s, 1e-300) end as nu from r{k - 1} window s as (partition by subject, channel)),
 b{k} as materialized (select *, 1.4826 * median(abs(d - nu)) over (partition by subject, channel) as sg from a{k}),
 r{k} as materialized (select subject, channel, t_idx, d, case when done or sg = 0 or abs(nu - mu) <= 1e-12 * greatest(1.0, abs(nu)) then w when abs(d - nu) / (sg * 4.685) < 1 then pow(1 - pow(abs(d - nu) / (sg * 4.685), 2), 2) else 0.0 end as w, nu as mu, done or sg = 0 or abs(nu - mu) <= 1e-12 * greatest(1.0, abs(nu)) as done from b{k})
 """
-    return out + f", y as (select s.subject, s.channel, s.t_idx, s.time, s.value, coalesce(sum(w * (d - mu)) over (partition by s.subject, s.channel order by s.t_idx), 0) as y from sig s left join r{rounds} r on s.subject = r.subject and s.channel = r.channel and s.t_idx = r.t_idx) select subject, channel, t_idx, time, round(y - avg(y) over w + avg(value) over w, 4) as value from y window w as (partition by subject, channel)"
+    return out + f", y as (select s.subject, s.channel, s.t_idx, s.time, s.value, coalesce(sum(w * (d - mu)) over (partition by s.subject, s.channel order by s.t_idx), 0) as y from {src} s left join r{rounds} r on s.subject = r.subject and s.channel = r.channel and s.t_idx = r.t_idx)"
 
 
-_on_signal("motion_repair", lambda s: spectral.repair_motion(s).withColumn("value", F.round("value", 4)), _repair_sql(50))
+_on_signal("motion_repair", lambda s: spectral.repair_motion(s).withColumn("value", F.round("value", 4)), _repair_sql(50) + " select subject, channel, t_idx, time, round(y - avg(y) over w + avg(value) over w, 4) as value from y window w as (partition by subject, channel)")
 # Five of the seven epochs are complete: four degrees of freedom have a closed form, and five pairs 32 sign patterns.
 P_VALUES = IBC + ", ds as (select post_mean - pre_mean as d from pp2), st as (select count(*) as n, avg(d) as mean_diff, avg(d) / (stddev_samp(d) / sqrt(count(*))) as t from ds), th as (select *, atan(abs(t) / 2) as a from st)\n"
-_on_signal(
+_query(
     "test_p_values",
-    lambda s: statistics.paired_t(segments.pre_post(_epochs(s), 5, 5), F.col("post_mean"), F.col("pre_mean")).withColumn("p", statistics.t_p_value("t", "n")).select("n", *(r6(c).alias(c) for c in ("mean_diff", "t", "p"))),
+    lambda spark, d: statistics.paired_t(segments.pre_post(_epochs(spark, d), 5, 5), F.col("post_mean"), F.col("pre_mean")).withColumn("p", statistics.t_p_value("t", "n")).select("n", *(r6(c).alias(c) for c in ("mean_diff", "t", "p"))),
     P_VALUES + "select n, round(mean_diff, 6) as mean_diff, round(t, 6) as t, round(case when n = 5 then 1 - sin(a) * (1 + pow(cos(a), 2) / 2) end, 6) as p from th",
 )
-_on_signal(
+_query(
     "wilcoxon_p",
-    lambda s: statistics.wilcoxon(segments.pre_post(_epochs(s), 5, 5), F.col("post_mean"), F.col("pre_mean")).withColumn("p", statistics.wilcoxon_p_value("w", "n")).select("n", "w", r6("p").alias("p")),
+    lambda spark, d: statistics.wilcoxon(segments.pre_post(_epochs(spark, d), 5, 5), F.col("post_mean"), F.col("pre_mean")).withColumn("p", statistics.wilcoxon_p_value("w", "n", "ties", "ranks")).select("n", "w", r6("p").alias("p")),
     P_VALUES + ", rk as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2 as r from ds where d <> 0), w as (select count(*) as n, least(coalesce(sum(case when d > 0 then r end), 0), coalesce(sum(case when d < 0 then r end), 0)) as w from rk), pat as (select m, (select sum(case when (m // cast(pow(2, r - 1) as bigint)) % 2 = 1 then r else 0 end) from (select unnest(range(1, 6)) as r)) as v from (select unnest(range(32)) as m)) select n, w, round(least(1.0, 2 * (select count(*) from pat where v <= floor(w)) / 32.0), 6) as p from w where n = 5",
 )
 _query(
@@ -304,29 +313,12 @@ _on_signal(
     lambda s: views.trend_map(s, Region(start_sec=100, end_sec=600)).withColumn("size", r6("size")),
     RISING + ", vw as (select *, (start_sec + end_sec) / 2 as center_sec from trends where (start_sec + end_sec) / 2 between 100 and 600), q as (select subject, quantile_cont(height, 0.02) as a, quantile_cont(height, 0.98) as b from vw group by subject), rw as (select subject, channel, cast(dense_rank() over (partition by subject order by channel) - 1 as int) as row from (select distinct subject, channel from sig)) select vw.subject, vw.channel, row, start_sec, end_sec, center_sec, round(case when a = b then 7.55 else 0.1 + (least(greatest(height, a), b) - a) / nullif(b - a, 0) * 14.9 end, 6) as size from vw join q using (subject) join rw on vw.subject = rw.subject and vw.channel = rw.channel",
 )
-_on_signal("epoch_map", lambda s: views.epoch_map(_epochs(s), ["on", "ing", "off"]).select(F.col("row").cast("int").alias("row"), "event", "label", "offset", r6("value").alias("value")), IBC + """, evm as (select event, cast(row_number() over (order by case label when 'on' then 0 when 'ing' then 1 else 2 end, event) - 1 as int) as row from (select distinct event, label from ep)) select row, ep.event, label, off as "offset", round(value, 6) as value from ep join evm on ep.event = evm.event""")
+_query("epoch_map", lambda spark, d: views.epoch_map(_epochs(spark, d), ["on", "ing", "off"]).select(F.col("row").cast("int").alias("row"), "event", "label", "offset", r6("value").alias("value")), IBC + """, evm as (select event, cast(row_number() over (order by case label when 'on' then 0 when 'ing' then 1 else 2 end, event) - 1 as int) as row from (select distinct event, label from ep)) select row, ep.event, label, off as "offset", round(value, 6) as value from ep join evm on ep.event = evm.event""")
 _on_signal("waveform_grid", lambda s: views.waveform_grid(s, 2).select("subject", "channel", "row", F.col("col").cast("int").alias("col"), "t_idx", "time", r6("value").alias("value")), SIG + ", q as (select subject, channel, quantile_cont(value, 0.02) as a, quantile_cont(value, 0.98) as b from sig group by all), pl as (select subject, channel, dense_rank() over (partition by subject order by channel) - 1 as p from (select distinct subject, channel from sig)) select s.subject, s.channel, cast(p // 2 as int) as row, cast(p % 2 as int) as col, t_idx, time, round(case when a = b then 0.5 else (least(greatest(value, a), b) - a) / nullif(b - a, 0) end, 6) as value from sig s join q on s.subject = q.subject and s.channel = q.channel join pl on s.subject = pl.subject and s.channel = pl.channel")
 
 
-def _sensors(spark: SparkSession) -> DataFrame:
-    return spark.sql(SPARK_SENSORS)
-
-
-def _atlas(spark: SparkSession) -> DataFrame:
-    return files.atlas_blocks(spark.sql(SPARK_LINES))
-
-
-_query("fill_forward_blocks", lambda spark, d: _atlas(spark), ATLAS + "select channel, region, pct from atlas")
-_query("topk_regions", lambda spark, d: layout.top_regions(_atlas(spark), 3, 100).select("channel", "region", "pct", "place"), ATLAS + "select channel, region, pct, cast(place as int) as place from (select *, row_number() over (partition by channel order by pct desc, region) as place from atlas) where place <= 3 and pct >= 1")
-_query("region_colour_idx", lambda spark, d: layout.region_colours(_atlas(spark)), ATLAS + "select region, cast((dense_rank() over (order by region) - 1) % 20 as int) as colour from (select distinct region from atlas)")
-_query("dedupe_first", lambda spark, d: layout.first_by_name(_sensors(spark), scalar.text_name(F.col("channel"))).select("pos", "channel", "phys"), SENS + " select pos, channel, phys from (select *, split_part(channel, ' ', 1) as phys, row_number() over (partition by split_part(channel, ' ', 1) order by pos) as n from s) where n = 1")
-_query("remap_idx_coalesce", lambda spark, d: files.metadata_with_index(_sensors(spark).select("pos", F.col("channel").alias("channel_name"), "x"), spark.sql("select col1 as channel_name, col2 as channel_idx from values ('S2_D1 hbo', 31), ('S4_D3 hbo', 40)")).select("channel_name", "x", "channel_idx"), SENS + " select s.channel as channel_name, x, cast(coalesce(m.i, pos + 1) as int) as channel_idx from s left join (values ('S2_D1 hbo', 31), ('S4_D3 hbo', 40)) m(c, i) on s.channel = m.c")
 _query("must_match_lookup", lambda spark, d: signal.must_match(_table("nation")(spark, d), _table("region")(spark, d).withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey").select("n_name", "r_name"), "select n_name, r_name from nation join region on n_regionkey = r_regionkey")
-_query("normalize_positions", lambda spark, d: layout.normalize_positions(_sensors(spark), 0.05, 0.03).select("pos", r6("x").alias("x"), r6("y").alias("y")), SENS + ", n as (select pos, 0.01 + (x - min(x) over ()) / (max(x) over () - min(x) over ()) * 0.98 as x, 0.05 + (y - min(y) over ()) / (max(y) over () - min(y) over ()) * 0.85 as y from s), p as (select pos, least(greatest(x * 0.9 + 0.05, 0.05), 0.95) as x, least(greatest(y * 0.94 + 0.03, 0.03), 0.97) as y from n) select pos, round(max(x) over () + min(x) over () - x, 6) as x, round(max(y) over () + min(y) over () - y, 6) as y from p")
-_query("reverse_xy", lambda spark, d: layout.reverse_xy(_sensors(spark)).select("pos", r6("x").alias("x"), r6("y").alias("y")), SENS + " select pos, round(max(x) over () + min(x) over () - x, 6) as x, round(max(y) over () + min(y) over () - y, 6) as y from s")
-_query("yaxis_order", lambda spark, d: layout.y_axis_order(_sensors(spark)).select("channel", "side", "y_order"), SENS + ", m as (select *, x - (select median(x) from s) as o from s), t as (select *, case when abs(o) < 1e-6 then 'midline' when o < 0 then 'right' else 'left' end as side from m) select channel, side, cast(row_number() over (order by case side when 'left' then 0 when 'midline' then 1 else 2 end, case side when 'left' then y when 'midline' then x else -y end, case side when 'midline' then 0 else -x end, channel) - 1 as int) as y_order from t")
 _query("label_rgb", lambda spark, d: _table("nation")(spark, d).select("n_name", *(F.round(c, 6).alias(n) for n, c in zip("rgb", scalar.md5_rgb(F.col("n_name")), strict=True)), scalar.md5_mod(F.col("n_name"), 20).alias("colour")), "select n_name, " + ", ".join(f"round(('0x' || substr(md5(n_name), {2 * k + 1}, 2))::bigint / 255.0::double, 6) as {n}" for k, n in enumerate("rgb")) + ", cast(list_reduce(list_prepend(0::bigint, list_transform(range(1, 33), lambda i: ('0x' || substr(md5(n_name), i, 1))::bigint)), lambda a, x: (a * 16 + x) % 20) as int) as colour from nation")
-_query("unit_scale_inference", lambda spark, d: spark.sql("select cast(col1 as double) as distance from values (0.15), (14.2), (150.0)").select("distance", scalar.unit_scale(F.col("distance")).alias("scale")), "select distance, case when distance between 0.1 and 0.2 then 1.0::double when distance between 10 and 20 then 0.01::double else 0.001::double end as scale from (values (0.15::double), (14.2), (150.0)) v(distance)")
 _query("event_head_tail", lambda spark, d: signal.head_tail(_table("events")(spark, d).select("event_type", "event_id"), "event_id", 5, ("event_type",)), "select event_type, event_id, count from (select event_type, event_id, count(*) over (partition by event_type) as count, row_number() over (partition by event_type order by event_id) as a, row_number() over (partition by event_type order by event_id desc) as b from events) where a <= 5 or b <= 5")
 _on_signal("interval_membership_union", lambda s: s.withColumn("inside", scalar.in_any(F.col("time"), [(10, 40), (30, 66), (500, 510)])), SIG + "select *, time between 10 and 40 or time between 30 and 66 or time between 500 and 510 as inside from sig")
 _on_signal("mask_wide", lambda s: _wide(_known(views.trend_plan(s)["mask"]).withColumnRenamed("active", "value")), MASK + ", kn as (select *, 'ch' || dense_rank() over (order by channel) as c from mask) select subject, time, " + ", ".join(f"max(case when c = '{c}' then active end) as {c}" for c in WIDE) + " from kn group by subject, time")
@@ -352,7 +344,12 @@ _query("region_colours_of_segments", lambda spark, d: layout.region_colours(_sha
 _query("first_part_by_name", lambda spark, d: layout.first_by_name(_table("part")(spark, d).select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("channel")), scalar.text_name(F.col("channel"))).select("pos", "channel", "phys"), r"select pos, channel, phys from (select p_partkey as pos, p_name as channel, regexp_extract(p_name, '^\s*(\S+)', 1) as phys, row_number() over (partition by regexp_extract(p_name, '^\s*(\S+)', 1) order by p_partkey) as n from part) where n = 1")
 _query("normalized_nations", lambda spark, d: layout.normalize_positions(_places(spark, d), 0.05, 0.03).select("pos", r6("x").alias("x"), r6("y").alias("y")), PLACES + ", n as (select pos, 0.01 + (x - min(x) over ()) / (max(x) over () - min(x) over ()) * 0.98 as x, 0.05 + (y - min(y) over ()) / (max(y) over () - min(y) over ()) * 0.85 as y from s), p as (select pos, least(greatest(x * 0.9 + 0.05, 0.05), 0.95) as x, least(greatest(y * 0.94 + 0.03, 0.03), 0.97) as y from n) select pos, round(max(x) over () + min(x) over () - x, 6) as x, round(max(y) over () + min(y) over () - y, 6) as y from p")
 _query("ordered_nations", lambda spark, d: layout.y_axis_order(_places(spark, d)).select("channel", "side", "y_order"), PLACES + ", m as (select *, x - (select median(x) from s) as o from s), t as (select *, case when abs(o) < 1e-6 then 'midline' when o < 0 then 'right' else 'left' end as side from m) select channel, side, cast(row_number() over (order by case side when 'left' then 0 when 'midline' then 1 else 2 end, case side when 'left' then y when 'midline' then x else -y end, case side when 'midline' then 0 else -x end, channel) - 1 as int) as y_order from t")
-_query("scaled_sizes", lambda spark, d: _table("part")(spark, d).select("p_partkey", scalar.unit_scale(10.0 + F.col("p_size") % 10).alias("scale")), "select p_partkey, 0.01::double as scale from part")
+_query("scaled_sizes", lambda spark, d: _table("part")(spark, d).select("p_partkey", scalar.unit_scale((F.lit(0.1) + F.col("p_size") / 600) * F.when(F.col("p_partkey") % 3 == 0, 1.0).when(F.col("p_partkey") % 3 == 1, 100.0).otherwise(1000.0)).alias("scale")), "select p_partkey, case p_partkey % 3 when 0 then 1.0::double when 1 then 0.01::double else 0.001::double end as scale from part")
+_query(
+    "remap_idx_coalesce",
+    lambda spark, d: files.metadata_with_index(_table("nation")(spark, d).select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("channel_name"), F.length("n_name").alias("x")), _table("customer")(spark, d).groupBy("c_nationkey").agg(F.count("*").alias("n")).where("n % 2 = 0").join(_table("nation")(spark, d), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("channel_name"), F.col("n").alias("channel_idx"))).select("channel_name", "x", "channel_idx"),
+    "select n_name as channel_name, length(n_name) as x, cast(coalesce(case when n % 2 = 0 then n end, n_nationkey + 1) as int) as channel_idx from nation left join (select c_nationkey, count(*) as n from customer group by c_nationkey) on c_nationkey = n_nationkey",
+)
 def _atlas_lines(spark: SparkSession, d: str) -> DataFrame:
     """Nations as an atlas file: the first one of each region opens a block."""
     first = F.col("n_nationkey") == F.min("n_nationkey").over(Window.partitionBy("n_regionkey"))
@@ -363,15 +360,98 @@ def _atlas_lines(spark: SparkSession, d: str) -> DataFrame:
 _query("filled_nation_blocks", lambda spark, d: files.atlas_blocks(_atlas_lines(spark, d)), "select 'S' || n_regionkey || '_D1' as channel, n_name as region, n_nationkey * 1.5::double as pct from nation where length(n_name) > 5")
 
 
-# Further names of the whole tests, from when the shorter ones were smaller.
-for _name, _same in (("wilcoxon_w_all", "wilcoxon_w"), ("peak_perm_test_1000", "peak_perm_test"), ("onset_perm_100000", "onset_perm_summary")):
-    _query(_name, *_all[_same])
-
-
 def _wide_matrix(s: DataFrame) -> DataFrame:
     m = correlation.matrix(s)
-    place = lambda c: F.concat(F.lit("ch"), F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(c)).cast("string"))
-    return signal.to_wide(m.select("subject", place("ch_a").alias("time"), place("ch_b").alias("channel"), r6("r").alias("value")), _names(m, "ch_a")).withColumnRenamed("time", "a")
+    side = lambda c, name: _places_of(m, "ch_a").select(F.col("ch_a").alias(c), F.col("_name").alias(name))
+    named = m.join(side("ch_a", "time"), "ch_a").join(side("ch_b", "channel"), "ch_b")
+    return signal.to_wide(named.select("subject", "time", "channel", r6("r").alias("value")), _names(m, "ch_a")).withColumnRenamed("time", "a")
+
+
+# Sets of intervals: each event of value v opens v minutes from its moment on.
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    return views.events(spark, d).select("event_type", F.col("epoch").alias("start"), (F.col("epoch") + F.col("value") * 60).alias("end"))
+
+
+SPANS = """with sp as (select event_type, epoch_us(ts) / 1000000.0 as a, epoch_us(ts) / 1000000.0 + value * 60 as b from events),
+bf as (select *, max(b) over (partition by event_type order by a, b rows between unbounded preceding and 1 preceding) as far from sp),
+rn as (select *, sum(case when far is null or a > far then 1 else 0 end) over (partition by event_type order by a, b rows unbounded preceding) as run from bf),
+un as (select event_type, min(a) as start, max(b) as "end", count(*) as n from rn group by event_type, run)
+"""
+_query("interval_union", lambda spark, d: intervals.union(_spans(spark, d), ("event_type",)), SPANS + 'select event_type, start, "end", n from un')
+_query(
+    "interval_overlap",
+    lambda spark, d: intervals.intersection(_spans(spark, d), 2, ("event_type",)),
+    # Where two are open: the union of what each has in common with those that began before it.
+    SPANS + """, ov as (select event_type, a, least(b, far) as b from bf where far >= a),
+of as (select *, max(b) over (partition by event_type order by a, b rows between unbounded preceding and 1 preceding) as far from ov),
+og as (select *, sum(case when far is null or a > far then 1 else 0 end) over (partition by event_type order by a, b rows unbounded preceding) as run from of)
+select event_type, min(a) as start, max(b) as "end" from og group by event_type, run""",
+)
+_query(
+    "intervals_open",
+    lambda spark, d: intervals.inside(views.signal_grid(spark, d).withColumn("at", F.col("time") * 3600 + views.ORIGIN), _spans(spark, d).withColumnRenamed("event_type", "channel"), ("channel",), "at").select("subject", "channel", "t_idx", "n_open"),
+    SIG + "select subject, channel, t_idx, (select count(*) from events e where e.event_type = sig.channel and epoch_us(e.ts) / 1000000.0 <= time * 3600 + 1704067200 and time * 3600 + 1704067200 <= epoch_us(e.ts) / 1000000.0 + e.value * 60) as n_open from sig",
+)
+# Runs that overlap and hold one another: every sample above 60 opens a run of value / 8 hours.
+_on_signal(
+    "mask_overlapping",
+    lambda s: segments.mask(s, s.where("value > 60").select("subject", "channel", F.col("time").alias("start_sec"), (F.col("time") + F.col("value") / 8).alias("end_sec"))),
+    SIG + "select s.subject, s.channel, s.t_idx, s.time, cast(max(case when r.time is not null then 1 else 0 end) as int) as active from sig s left join sig r on r.subject = s.subject and r.channel = s.channel and r.value > 60 and s.time between r.time and r.time + r.value / 8 group by all",
+)
+_on_signal(
+    "filter_bands",
+    lambda s: spectral.filter_bands(s, 1.0, [(0.05, 0.3, 0.02, 0.1), (0.1, 0.4, 0.1, 0.1)]).withColumn("value", F.round("value", 5)),
+    SIG + _fir(0.04, 0.35, 165) + _fir(0.05, 0.45, 33).replace("tp as", "tp2 as").replace("ct as", "ct2 as").replace("fir as", "fir2 as").replace(" join ct using", " join ct2 as ct using").replace("cross join tp ", "cross join tp2 as tp ")
+    + "select subject, channel, t_idx, time, round(y, 5) as value, 0 as band from fir union all select subject, channel, t_idx, time, round(y, 5), 1 from fir2",
+)
+
+
+def _recursion(rate: float, cutoff: float) -> str:
+    """The low-pass as a recursion over samples, forwards (fw) and then backwards (lp), each begun from the state of a constant series."""
+    b, a = blocks.butterworth(3, 2 * cutoff / rate)
+    still = blocks.Recursive(b, a).still
+    b, a, still = ([float(x) for x in c] for c in (b, a, still))
+    one = lambda name, src, col, order: f""", {name}_in as (select subject, channel, {col} as x, row_number() over (partition by subject, channel order by t_idx {order}) as k, t_idx from {src}),
+{name} as (select i.subject, i.channel, i.t_idx, i.k, {b[0]!r} * i.x + {still[0]!r} * i.x as y, {b[1]!r} * i.x - {a[1]!r} * ({b[0]!r} * i.x + {still[0]!r} * i.x) + {still[1]!r} * i.x as z1, {b[2]!r} * i.x - {a[2]!r} * ({b[0]!r} * i.x + {still[0]!r} * i.x) + {still[2]!r} * i.x as z2, {b[3]!r} * i.x - {a[3]!r} * ({b[0]!r} * i.x + {still[0]!r} * i.x) as z3 from {name}_in i where k = 1
+union all select i.subject, i.channel, i.t_idx, i.k, {b[0]!r} * i.x + z1, {b[1]!r} * i.x - {a[1]!r} * ({b[0]!r} * i.x + z1) + z2, {b[2]!r} * i.x - {a[2]!r} * ({b[0]!r} * i.x + z1) + z3, {b[3]!r} * i.x - {a[3]!r} * ({b[0]!r} * i.x + z1) from {name} p join {name}_in i on i.subject = p.subject and i.channel = p.channel and i.k = p.k + 1)
+"""
+    return SIG.replace("with ev", "with recursive ev", 1) + one("fw", "sig", "value", "") + one("lp", "fw", "y", "desc")
+
+
+_on_signal("low_pass", lambda s: blocks.low_pass(s, 11.0).select("subject", "channel", "t_idx", F.round("low", 5).alias("low")), _recursion(11.0, 0.5) + "select subject, channel, t_idx, round(y, 5) as low from lp")
+_on_signal(
+    "motion_repair_split",
+    lambda s: spectral.repair_motion(s, rate=11.0).withColumn("value", F.round("value", 3)),
+    _repair_sql(50, _recursion(11.0, 0.5) + ", low as (select s.subject, s.channel, s.t_idx, s.time, lp.y as value from sig s join lp on s.subject = lp.subject and s.channel = lp.channel and s.t_idx = lp.t_idx)", "low")
+    + ", fx as (select subject, channel, t_idx, time, y - avg(y) over w + avg(value) over w - value as moved from y window w as (partition by subject, channel)) select s.subject, s.channel, s.t_idx, s.time, round(s.value + moved, 3) as value from sig s join fx using (subject, channel, t_idx)",
+)
+# Whole numbers with many ties: customers of each nation, modulo 4, around 1; a region has five nations, so SQL tries 32 sign patterns.
+_query(
+    "wilcoxon_ties",
+    lambda spark, d: statistics.wilcoxon(_table("nation")(spark, d).join(_table("customer")(spark, d).groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n")), "n_nationkey"), (F.col("n") % 4).cast("double"), F.lit(1.0), ("n_regionkey",)).withColumn("p", statistics.wilcoxon_p_value("w", "n", "ties", "ranks")).select("n_regionkey", "n", "w", r6("p").alias("p")),
+    """with ds as (select n_regionkey, n_nationkey, c % 4 - 1 as d from nation join (select c_nationkey, count(*) as c from customer group by c_nationkey) on c_nationkey = n_nationkey where c % 4 <> 1),
+rk as (select *, rank() over (partition by n_regionkey order by abs(d)) + (count(*) over (partition by n_regionkey, abs(d)) - 1) / 2 as r, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as k from ds),
+st as (select n_regionkey, count(*) as n, least(coalesce(sum(case when d > 0 then r end), 0), coalesce(sum(case when d < 0 then r end), 0)) as w from rk group by n_regionkey),
+pt as (select n_regionkey, m, sum(case when (m // cast(pow(2, k) as bigint)) % 2 = 1 then r else 0 end) as v from rk, (select unnest(range(32)) as m) group by n_regionkey, m)
+select st.n_regionkey, n, cast(w as double) as w, round(least(1.0, 2 * sum(case when v <= w then 1 else 0 end) / 32.0), 6) as p from st join pt using (n_regionkey) group by all""",
+)
+_on_signal(
+    "trend_table",
+    lambda s: segments.trend_table(segments.trends(s, min_duration=6), s).withColumn("height", F.round("height", 4)),
+    RISING + ", nm as (select subject, channel, cast(dense_rank() over (partition by subject order by channel) as int) as ch_idx from (select distinct subject, channel from sig)) select t.subject, ch_idx, start_sec, end_sec, (start_sec + end_sec) / 2 as center_sec, end_sec - start_sec as length_sec, round(height, 4) as height from trends t join nm on t.subject = nm.subject and t.channel = nm.channel",
+)
+_on_signal(
+    "coupling_table",
+    lambda s: spectral.coupling_table(spectral.coupling(_two(s), 240), [0, 1, 2], 240.0, 5.0).select("subject", "channel", *(f(f"{k}_{t}").alias(f"{k}_{t}") for k, f in (("score", r6), ("over", F.col)) for t in (5, 245, 485))),
+    SIG + ", tw as (select a.subject, a.channel, a.time, a.value as x, b.value as y from sig a join sig b on a.channel = b.channel and a.t_idx = b.t_idx and a.subject = b.subject - 1), c as (select subject, channel, cast(floor(time / 240) as int) as win, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) as sci from tw group by all) select subject, channel, "
+    + ", ".join(f"round(max(case when win = {k} then sci end), 6) as score_{k * 240 + 5}, max(case when win = {k} then sci end) > 0.8 as over_{k * 240 + 5}" for k in range(3))
+    + " from c group by subject, channel",
+)
+_query(
+    "rates_in_view",
+    lambda spark, d: views.rates_in_view(views.events(spark, d).select((F.col("user_id") % 3).cast("int").alias("subject"), ((F.col("epoch") - views.ORIGIN) / 3600).alias("time"), (1 + F.col("value") / 150).alias("freq")), Region(start_sec=100, end_sec=400)).select("subject", F.round("time", 4).alias("time"), r6("freq").alias("freq"), "drawn"),
+    "with r as (select cast(user_id % 3 as int) as subject, (epoch_us(ts) / 1000000.0 - 1704067200) / 3600 as time, 1 + value / 150 as freq from events) select subject, round(time, 4) as time, round(freq, 6) as freq, freq between 1.0 and 1.5 as drawn from r where time between 100 and 400",
+)
 
 
 def queries() -> dict[str, Plan]:

@@ -30,6 +30,14 @@ def with_intervals(df: DataFrame) -> DataFrame:
     return df.withColumns({"center_sec": (F.col("start_sec") + F.col("end_sec")) / 2, "length_sec": F.col("end_sec") - F.col("start_sec")})
 
 
+def trend_table(found: DataFrame, sig: DataFrame) -> DataFrame:
+    """(subject, ch_idx, start_sec, end_sec, center_sec, length_sec, height): runs as they are exported, with a channel's place by name
+    among its subject's, from 1."""
+    place = F.dense_rank().over(Window.partitionBy("subject").orderBy("channel")).cast("int")
+    names = sig.select("subject", "channel").distinct().withColumn("ch_idx", place)
+    return with_intervals(found).join(names, ["subject", "channel"]).select("subject", "ch_idx", "start_sec", "end_sec", "center_sec", "length_sec", "height")
+
+
 def first_of(sig: DataFrame, selection: DataFrame, keys=SERIES) -> DataFrame:
     """The first series by name of a selection (keys): what a single-series analysis of several looks at."""
     one = selection.agg(F.min(F.struct(*keys)).alias("k")).select("k.*")  # one row
@@ -42,16 +50,14 @@ def viewport(found: DataFrame, low: float, high: float) -> DataFrame:
 
 
 def mask(sig: DataFrame, found: DataFrame, keys=SERIES) -> DataFrame:
-    """(keys, t_idx, time, active): 1 where a sample lies in a run (both ends included).
+    """(keys, t_idx, time, active): 1 where a sample lies in a run (both ends included). Runs may overlap or hold one another.
 
-    Runs of a series are disjoint, so the run that began last before a sample decides: one as-of step on a merged
-    order replaces the range join."""
-    a = sig.select(*keys, "t_idx", "time", F.lit(None).cast("double").alias("end_sec"), F.lit(1).alias("kind"))
-    b = found.select(*keys, F.lit(None).cast("int").alias("t_idx"), F.col("start_sec").alias("time"), "end_sec", F.lit(0).alias("kind"))
+    Samples and the runs' ends share one order, in which a running count of open runs replaces the range join."""
+    end = lambda t, n, kind: found.select(*keys, F.lit(None).cast("int").alias("t_idx"), F.col(t).alias("time"), F.lit(n).alias("opens"), F.lit(kind).alias("kind"))
+    a = sig.select(*keys, "t_idx", "time", F.lit(0).alias("opens"), F.lit(1).alias("kind"))
     w = Window.partitionBy(*keys).orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last("end_sec", ignorenulls=True).over(w)
-    merged = a.unionByName(b).withColumn("upto", last).where("kind = 1")
-    return merged.select(*keys, "t_idx", "time", F.coalesce((F.col("time") <= F.col("upto")).cast("int"), F.lit(0)).alias("active"))
+    merged = a.unionByName(end("start_sec", 1, 0)).unionByName(end("end_sec", -1, 2)).withColumn("open", F.sum("opens").over(w)).where("kind = 1")
+    return merged.select(*keys, "t_idx", "time", (F.col("open") > 0).cast("int").alias("active"))
 
 
 def density(masked: DataFrame, size: int, step: int) -> DataFrame:

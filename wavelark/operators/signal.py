@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavelark.model import Region
+from wavelark.operators import ordering
 
 SERIES = ("subject", "channel")
 
@@ -56,7 +57,7 @@ def z_score(sig: DataFrame, keys=SERIES) -> DataFrame:
 
 def robust_range(sig: DataFrame, low: float, high: float, lower: float = 0.02, upper: float = 0.98, keys=SERIES) -> DataFrame:
     """Values clipped to two quantiles and spread over [low, high]; the middle for a constant series."""
-    q = sig.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(lower), F.lit(upper))).alias("q"))
+    q = ordering.quantiles(sig, "value", [lower, upper], keys)
     v, a, b = F.col("value"), F.col("q")[0], F.col("q")[1]
     out = F.when(a == b, F.lit((low + high) / 2)).otherwise(low + (F.least(F.greatest(v, a), b) - a) / F.nullif(b - a, F.lit(0.0)) * (high - low))
     return sig.join(q, list(keys)).withColumn("value", out).drop("q")
@@ -65,7 +66,9 @@ def robust_range(sig: DataFrame, low: float, high: float, lower: float = 0.02, u
 def sampling_rate(sig: DataFrame, keys=SERIES) -> DataFrame:
     """1 / median step of time by series; 0 with fewer than two samples."""
     step = sig.withColumn("dt", F.col("time") - F.lag("time").over(series(keys)))
-    return step.groupBy(*keys).agg(F.coalesce(1 / F.nullif(F.median("dt"), F.lit(0.0)), F.lit(0.0)).alias("sr"))
+    half = ordering.quantiles(step, "dt", [0.5], keys).select(*keys, F.col("q")[0].alias("dt"))
+    rate = F.coalesce(1 / F.nullif(F.col("dt"), F.lit(0.0)), F.lit(0.0)).alias("sr")
+    return sig.select(*keys).distinct().join(half, list(keys), "left").select(*keys, rate)
 
 
 def align(sig: DataFrame, keys=SERIES) -> DataFrame:

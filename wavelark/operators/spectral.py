@@ -1,13 +1,16 @@
-"""Spectra, optical formulas and signal quality. Filters and transforms run as grouped numpy kernels on one series at a time."""
+"""Spectra, optical formulas and signal quality. Filters and transforms run as numpy kernels on blocks of time."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavelark.functions.scalar import decibel, pearson
+from wavelark.operators import blocks, ordering
+from wavelark.operators.blocks import BLOCK
 from wavelark.operators.signal import SERIES
 
 
@@ -30,15 +33,16 @@ def spectrogram(sig: DataFrame, rate: float, frame: int, hop: int = 1, nfft: int
     """(subject, channel, t, f, power): one-sided power density of frames with the mean taken out. A band keeps only its
     frequencies (ends included), so that the full matrix is never made into rows."""
     nfft = max(nfft, frame)
+    size = max(1, BLOCK // 8 // hop) * hop  # a block's frames begin in it
+    f = np.fft.rfftfreq(nfft, 1 / rate)
+    keep = np.ones(len(f), bool) if band is None else (f >= band[0]) & (f <= band[1])
 
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_idx")
+    def transform(pdf: pd.DataFrame, first: int, end: int, n: int) -> pd.DataFrame:
         x, w = pdf["value"].to_numpy(float), tukey(frame)
-        f = np.fft.rfftfreq(nfft, 1 / rate)
-        keep = np.ones(len(f), bool) if band is None else (f >= band[0]) & (f <= band[1])
-        if len(x) < frame:
-            return pd.DataFrame({"subject": [], "channel": [], "t": [], "f": [], "power": []})
-        frames = np.lib.stride_tricks.sliding_window_view(x, frame)[::hop]
+        start = np.arange(first, min(end, n - frame + 1), hop)
+        if not len(start):
+            return pd.DataFrame({"subject": [], "channel": [], "t": [], "f": [], "power": []}, dtype=object)
+        frames = np.lib.stride_tricks.sliding_window_view(x, frame)[start - first]
         parts = []
         for a in range(0, len(frames), 1024):
             s = frames[a : a + 1024]
@@ -46,10 +50,10 @@ def spectrogram(sig: DataFrame, rate: float, frame: int, hop: int = 1, nfft: int
             p[:, 1 : -1 if nfft % 2 == 0 else None] *= 2
             parts.append(p[:, keep])
         p = np.concatenate(parts)
-        t = (np.arange(len(p)) * hop + frame / 2) / rate
-        return pd.DataFrame({"subject": pdf["subject"].iloc[0], "channel": pdf["channel"].iloc[0], "t": np.repeat(t, keep.sum()), "f": np.tile(f[keep], len(p)), "power": p.ravel()})
+        return pd.DataFrame({"subject": pdf["subject"].iloc[0], "channel": pdf["channel"].iloc[0], "t": np.repeat((start + frame / 2) / rate, keep.sum()), "f": np.tile(f[keep], len(p)), "power": p.ravel()})
 
-    return sig.select("subject", "channel", "t_idx", "value").groupBy(*SERIES).applyInPandas(transform, f"subject {dict(sig.dtypes)['subject']}, channel string, t double, f double, power double")
+    schema = f"subject {dict(sig.dtypes)['subject']}, channel string, t double, f double, power double"
+    return blocks.by_blocks(sig.select("subject", "channel", "t_idx", "value"), transform, schema, size, 0, frame)
 
 
 def peak_frequency(spec: DataFrame, starts: DataFrame, db_floor: float | None = None) -> DataFrame:
@@ -84,35 +88,49 @@ def band_pass(sig: DataFrame, rate: float, low: float | None, high: float | None
     if not low:
         h = h / h.sum()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_idx")
-        x = pdf["value"].to_numpy(float)
-        pad = min(taps // 2, len(x) - 1)
-        y = np.convolve(np.pad(x, pad, mode="reflect"), h, "same")[pad : pad + len(x)] if len(x) > 1 else x
-        return pdf.assign(value=y)
+    half, names = taps // 2, sig.columns
+
+    def run(pdf: pd.DataFrame, first: int, end: int, n: int) -> pd.DataFrame:
+        own = pdf[(pdf["_at"] >= first) & (pdf["_at"] < end)]
+        value = blocks.convolve(blocks.mirrored(pdf, first, end, n, half), h) if n > 1 else own["value"]
+        return pd.DataFrame({c: own[c].to_numpy() for c in names}).assign(value=np.asarray(value))
 
-    return sig.groupBy(*SERIES).applyInPandas(run, sig.schema)
+    return blocks.by_blocks(sig, run, ", ".join(f"{c} {k}" for c, k in sig.dtypes), max(BLOCK, taps + 1), half, half)
 
 
 def filter_bands(sig: DataFrame, rate: float, bands: list[tuple[float | None, float | None, float, float]]) -> DataFrame:
-    """Several bands one after the other: (low, high, width of the lower and of the upper transition), in Hz. The filter's length follows
-    from the narrower transition (3.3 periods of it, as a Hamming window needs), the cut-offs lie in the transitions' middle."""
-    for low, high, lower, upper in bands:
+    """sig once for every band, numbered from 0 in the column `band`; the first is what later steps take if none is named. A band is
+    (low, high, width of the lower and of the upper transition), in Hz, and filters the given signal, not another band's. The filter's length
+    follows from the narrower transition (3.3 periods of it, as a Hamming window needs), the cut-offs lie in the transitions' middle."""
+    out = None
+    for k, (low, high, lower, upper) in enumerate(bands):
         narrow = min(w for w, f in ((lower, low), (upper, high)) if f)
         taps = int(np.ceil(3.3 / narrow * rate)) | 1
-        sig = band_pass(sig, rate, low and low - lower / 2, high and high + upper / 2, taps)
-    return sig
+        one = band_pass(sig, rate, low and low - lower / 2, high and high + upper / 2, taps).withColumn("band", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
+
 
+#: Samples of a series up to which one task repairs it.
+WHOLE = 4_000_000
 
-def repair_motion(sig: DataFrame, rounds: int = 50, tune: float = 4.685) -> DataFrame:
-    """Temporal-derivative repair: robust (Tukey) weights of the derivative take out jumps, and the rest is summed up again."""
+
+def repair_motion(sig: DataFrame, rounds: int = 50, tune: float = 4.685, rate: float | None = None, cutoff: float = 0.5, whole: int = WHOLE) -> DataFrame:
+    """Temporal-derivative repair: robust (Tukey) weights of the derivative take out jumps, and the rest is summed up again. With a rate, only
+    what lies below the cut-off (in Hz) is repaired, and what lies above is added back unchanged. Series of up to `whole` samples are one
+    task each; longer ones lie in blocks, with the same result."""
+    kinds, names = dict(sig.dtypes), sig.columns
+    split = blocks.low_pass(sig, rate, cutoff) if rate else sig.withColumn("low", F.col("value"))
+    most = sig.groupBy(*SERIES).count().agg(F.max("count")).head()[0] or 0
+    if most > whole:
+        return _repair_long(split, rounds, tune).select(names)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t_idx")
-        x = pdf["value"].to_numpy(float)
+        x, low = pdf["value"].to_numpy(float), pdf["low"].to_numpy(float)
         if len(x) < 3:
-            return pdf
-        d, w, mu = np.diff(x), np.ones(len(x) - 1), np.inf
+            return pdf[names]
+        d, w, mu = np.diff(low), np.ones(len(x) - 1), np.inf
         for _ in range(rounds):
             old, mu = mu, (w * d).sum() / max(w.sum(), 1e-300)
             dev = np.abs(d - mu)
@@ -122,9 +140,29 @@ def repair_motion(sig: DataFrame, rounds: int = 50, tune: float = 4.685) -> Data
             r = dev / (sigma * tune)
             w = np.where(r < 1, (1 - r**2) ** 2, 0.0)
         y = np.concatenate([[0], np.cumsum(w * (d - mu))])
-        return pdf.assign(value=y - y.mean() + x.mean())
-
-    return sig.groupBy(*SERIES).applyInPandas(run, sig.schema)
+        return pdf.assign(value=y - y.mean() + low.mean() + x - low)[names]
+
+    return split.groupBy(*SERIES).applyInPandas(run, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+
+
+def _repair_long(split: DataFrame, rounds: int, tune: float) -> DataFrame:
+    """`repair_motion` of series that lie in many tasks. The derivative at a block's first sample takes the last sample of the block before
+    from a small table; sums of the repaired derivative are carried from block to block."""
+    at = blocks.placed(split).withColumn("_b", F.floor(F.col("_at") / BLOCK))
+    ends = at.groupBy(*SERIES, "_b").agg(F.max_by("low", "_at").alias("_end"))
+    before = ends.select(*SERIES, (F.col("_b") + 1).alias("_b"), F.col("_end").alias("_before"))
+    own = Window.partitionBy(*SERIES, "_b").orderBy("_at")
+    steps = at.join(before, [*SERIES, "_b"], "left").withColumn("d", F.col("low") - F.coalesce(F.lag("low").over(own), F.col("_before")))
+    changes = steps.where("d is not null").select(*SERIES, "d").persist(StorageLevel.DISK_ONLY)  # read in every round
+    scales = blocks.robust_scales(changes, rounds, tune)
+    changes.unpersist()
+    r = F.abs(F.col("d") - F.col("at")) / (F.col("sigma") * tune)
+    w = F.when(F.col("sigma") == float("inf"), 1.0).when(r < 1, F.pow(1 - r * r, 2)).otherwise(0.0)
+    moved = steps.join(F.broadcast(scales), list(SERIES), "left").withColumn("_m", F.coalesce(w * (F.col("d") - F.col("mu")), F.lit(0.0)))
+    summed = ordering.running(moved, SERIES, "_b", ["_at"], {"_y": F.col("_m")})
+    means = summed.groupBy(*SERIES).agg((F.avg("low") - F.avg("_y")).alias("_shift"))
+    fixed = F.col("_y") + F.col("_shift") + F.col("value") - F.col("low")
+    return summed.join(means, list(SERIES)).withColumn("value", F.when(F.col("_n") < 3, F.col("value")).otherwise(fixed))
 
 
 def resample_mean(sig: DataFrame, rate: float) -> DataFrame:
@@ -168,3 +206,13 @@ def coupling(pairs: DataFrame, window: float | None = None, bad_below: float = 0
         pairs = pairs.withColumn("win", F.floor(F.col("time") / window).cast("int"))
         keys.append("win")
     return pairs.groupBy(*keys).agg(pearson(F.col("x"), F.col("y")).alias("sci")).withColumn("bad", F.col("sci") < bad_below)
+
+
+def coupling_table(each: DataFrame, windows: list[int], width: float, shift: float = 0.0, threshold: float = 0.8) -> DataFrame:
+    """(subject, channel, score_<t>, over_<t>, ...): the coupling of windows (subject, channel, win, sci) as one row a channel, with a column
+    a window named by its rounded start after a shift, and whether it is above the threshold. One aggregate with partial sums; order by
+    subject and channel for the heat map."""
+    pick = lambda k: F.max(F.when(F.col("win") == k, F.col("sci")))
+    named = [(k, round(k * width + shift)) for k in windows]
+    columns = [c for k, t in named for c in (pick(k).alias(f"score_{t}"), (pick(k) > threshold).alias(f"over_{t}"))]
+    return each.groupBy("subject", "channel").agg(*columns)

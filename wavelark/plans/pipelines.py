@@ -11,14 +11,14 @@ from wavelark.operators import correlation, segments, signal, spectral, statisti
 
 def preprocess(raw: DataFrame, rate: float, extinction: dict[str, tuple[float, float]], region: Region | None = None, pad: float = 30.0, band: tuple[float | None, float | None] | None = None, repair: bool = True, z: bool = True, factor: float = 1e6, distance: float = 3.0, path_factor: float = 6.0) -> DataFrame:
     """Raw intensities (subject, channel, wavelength, t_idx, time, value) to a clean signal: a padded crop, optical density,
-    motion repair, concentration, filter, the exact crop, unit scale and z-score. Steps can be left out."""
+    motion repair (of what lies below 0.5 Hz), concentration, filter, the exact crop, unit scale and z-score. Steps can be left out."""
     keys = ("subject", "channel")
     sig = raw.withColumn("channel", F.concat_ws("|", "channel", F.col("wavelength").cast("string"))).drop("wavelength")
     if region is not None:
         sig = signal.padded(sig, region, pad).drop("inside")
     sig = spectral.optical_density(sig, keys)
     if repair:
-        sig = spectral.repair_motion(sig)
+        sig = spectral.repair_motion(sig, rate=rate)
     split = F.split("channel", r"\|")
     od = sig.withColumns({"wavelength": split[1], "channel": split[0]})
     hbo = spectral.beer_lambert(od, extinction, distance, path_factor).select(*keys, "t_idx", "time", F.col("hbo").alias("value"))
@@ -56,7 +56,7 @@ def event_statistics(sig: DataFrame, onsets: DataFrame, window: WindowSpec, rate
         "epochs": found,
         "means": means,
         "t": statistics.paired_t(means, a, b).withColumn("p", statistics.t_p_value("t", "n")),
-        "wilcoxon": statistics.wilcoxon(means, a, b).withColumn("p", statistics.wilcoxon_p_value("w", "n")),
+        "wilcoxon": statistics.wilcoxon(means, a, b).withColumn("p", statistics.wilcoxon_p_value("w", "n", "ties", "ranks")),
         "null": statistics.onset_null(series, onsets.count(), pre, post, samples, n_perm),
     }
 

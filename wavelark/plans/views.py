@@ -45,13 +45,13 @@ def trend_map(sig: DataFrame, region: Region, min_duration: float = 6.0) -> Data
     rows = sig.select("subject", "channel").distinct().withColumn("row", F.dense_rank().over(Window.partitionBy("subject").orderBy("channel")) - 1)
     seen = segments.viewport(segments.trends(sig, min_duration=min_duration), region.start_sec, region.end_sec)
     sized = signal.robust_range(seen.withColumnRenamed("height", "value"), 0.1, 15.0, keys=("subject",))
-    return sized.join(F.broadcast(rows), ["subject", "channel"]).select("subject", "channel", "row", "start_sec", "end_sec", "center_sec", F.col("value").alias("size"))
+    return sized.join(rows, ["subject", "channel"]).select("subject", "channel", "row", "start_sec", "end_sec", "center_sec", F.col("value").alias("size"))
 
 
 def epoch_map(found: DataFrame, order: list[str]) -> DataFrame:
     """(row, event, label, offset, value): epochs as the rows of a heat map, by the labels' order and then the event."""
     events = segments.ranked_events(found.select("event", "label").distinct(), order, (), "event")
-    return found.join(F.broadcast(events.select("event", F.col("place").alias("row"))), "event").select("row", "event", "label", "offset", "value")
+    return found.join(events.select("event", F.col("place").alias("row")), "event").select("row", "event", "label", "offset", "value")
 
 
 def waveform_grid(sig: DataFrame, columns: int = 3) -> DataFrame:
@@ -59,7 +59,12 @@ def waveform_grid(sig: DataFrame, columns: int = 3) -> DataFrame:
     place = F.dense_rank().over(Window.partitionBy("subject").orderBy("channel")) - 1
     cells = sig.select("subject", "channel").distinct().withColumn("place", place)
     cells = cells.select("subject", "channel", F.floor(F.col("place") / columns).cast("int").alias("row"), (F.col("place") % columns).alias("col"))
-    return signal.robust_range(sig, 0.0, 1.0).join(F.broadcast(cells), ["subject", "channel"])
+    return signal.robust_range(sig, 0.0, 1.0).join(cells, ["subject", "channel"])
+
+
+def rates_in_view(rates: DataFrame, region: Region, low: float = 1.0, high: float = 1.5) -> DataFrame:
+    """(subject, time, freq, drawn): the side tables' heart rates beside a region's other figures; drawn are those between the axis's ends."""
+    return signal.crop(rates, region, closed=True).withColumn("drawn", F.col("freq").between(low, high))
 
 
 def connectivity_plan(sig: DataFrame, annotations: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -114,35 +114,10 @@ def vendor_export(spark: SparkSession, path: str, rate: float, shift: float = 0.
 
 
 def bdf_records(spark: SparkSession, path: str, channels: list[str] | None = None) -> DataFrame:
-    """(channel, t_idx, time, value) of 24-bit BDF files: the header is parsed once a file, samples by Arrow batches."""
-    import numpy as np
-    import pyarrow as pa
-
-    def parse(batches):
-        for batch in batches:
-            for raw in batch.column(0):
-                data = raw.as_py()
-                n, seconds, records = int(data[252:256]), float(data[244:252]), int(data[236:244])
-                cell = lambda at, size: [data[256 + at * n + k * size : 256 + at * n + (k + 1) * size].decode("latin-1").strip() for k in range(n)]  # noqa: E731, B023
-                labels = cell(0, 16)
-                pmin, pmax, dmin, dmax = (np.array(cell(at, 8), float) for at in (104, 112, 120, 128))
-                per = np.array(cell(216, 8), int)
-                body = np.frombuffer(data, np.uint8)[256 * (n + 1) :].reshape(records, int(per.sum()), 3)
-                at = 0
-                for k, name in enumerate(labels):
-                    part = body[:, at : at + per[k]].reshape(-1, 3).astype(np.int32)
-                    at += per[k]
-                    if channels is not None and name not in channels:
-                        continue
-                    value = part[:, 0] | part[:, 1] << 8 | part[:, 2] << 16
-                    value = np.where(value >= 1 << 23, value - (1 << 24), value)
-                    real = (value - dmin[k]) * ((pmax[k] - pmin[k]) / (dmax[k] - dmin[k])) + pmin[k]
-                    t = np.arange(len(real))
-                    for low in range(0, len(real), 65536):
-                        s = slice(low, low + 65536)
-                        yield pa.record_batch([pa.array([name] * len(t[s])), pa.array(t[s].astype(np.int32)), pa.array(t[s] * (seconds / per[k])), pa.array(real[s])], names=["channel", "t_idx", "time", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "channel string, t_idx int, time double, value double")
+    """(channel, t_idx, time, value) of a 24-bit BDF file; see `bdf` for subjects, annotations and crops."""
+    from wavelark.sources import bdf
+
+    return bdf.read_bdf(spark, path, channels).drop("subject")
 
 
 def crop_between_triggers(sig: DataFrame, triggers: DataFrame, first: int, last: int) -> DataFrame:
