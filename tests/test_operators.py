@@ -179,6 +179,22 @@ def test_communities_of_two_cliques(spark):
     assert graph.modularity(edges, found).head().modularity > 0.45
 
 
+def test_communities_by_joins(spark):
+    rng = np.random.default_rng(9)
+    edges = []
+    for g in range(1):
+        of = rng.integers(0, 4, 40)
+        for i in range(40):
+            for j in range(i):
+                if rng.random() < (0.5 if of[i] == of[j] else 0.04):
+                    edges.append((f"g{g}", f"n{i:02d}", f"n{j:02d}", float(rng.uniform(0.2, 1))))
+    one = spark.createDataFrame(edges, "subject string, ch_a string, ch_b string, r double")
+    both = one.union(one.select("subject", F.col("ch_b").alias("ch_a"), F.col("ch_a").alias("ch_b"), "r")).cache()
+    score = lambda parts: {r.subject: r.modularity for r in graph.modularity(both, parts).collect()}
+    small, large = score(graph.communities(both)), score(graph.communities(both, whole=20).cache())
+    assert all(large[g] > 0.97 * small[g] and large[g] > 0.3 for g in small)
+
+
 def test_colour_and_units(spark):
     import hashlib
 
