@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavelark.operators import ordering
+
 
 def louvain(weights: np.ndarray) -> np.ndarray:
     """A community number for each node: local moves in node order until none gains, then the same on the merged graph."""
@@ -64,15 +64,6 @@ def communities(edges: DataFrame, within: tuple[str, ...] = ("subject",), whole:
     return edges.groupBy(*within).applyInPandas(run, f"{schema}, channel string, community long")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df from files in spark.checkpoint.dir, so that a loop's plan doesn't grow and lost executors cost no earlier round. A local session
-    without that setting gets a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None and context.master.startswith("local"):
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="wavelark-"))
-    return df.checkpoint()
-
-
 def _finished(links: DataFrame, loops: DataFrame, on: list[str]) -> DataFrame:
     """(on, u, c) of graphs (on, u, v, w) that have become small, with loops (on, u, loop): Louvain in numpy, a graph a task."""
     kinds = dict(links.dtypes)
@@ -107,7 +98,7 @@ def _moved(links: DataFrame, labels: DataFrame, weight: DataFrame, on: list[str]
         moves = labels.join(best, [*on, "u"], "left")
         wants = F.coalesce(F.col("most") > F.col("stay") + 1e-12, F.lit(False))
         now = F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(2)) == 0
-        labels = _cut(moves.select(*on, "u", F.when(wants & now, F.col("to")).otherwise(F.col("c")).alias("c"), "k", wants.alias("wants")))
+        labels = ordering.settled(moves.select(*on, "u", F.when(wants & now, F.col("to")).otherwise(F.col("c")).alias("c"), "k", wants.alias("wants")))
         if not labels.where("wants").limit(1).count():
             break
     return labels
@@ -121,35 +112,35 @@ def communities_by_joins(edges: DataFrame, within: tuple[str, ...] = ("subject",
     on = list(within)
     both = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
     once = edges.where("ch_a <> ch_b and r > 0").groupBy(*on, F.least("ch_a", "ch_b").alias("a"), F.greatest("ch_a", "ch_b").alias("b")).agg(F.max("r").alias("w"))
-    given = links = _cut(once.select(*on, both.alias("p"), "w").select(*on, "p.u", "p.v", "w"))
+    given = links = ordering.settled(once.select(*on, both.alias("p"), "w").select(*on, "p.u", "p.v", "w"))
     every = edges.select(*on, F.col("ch_a").alias("u")).union(edges.select(*on, "ch_b")).distinct()
     member = every.select(*on, F.col("u").alias("channel"), F.col("u").alias("c"))
     loops = every.select(*on, "u", F.lit(0.0).alias("loop"))
     weight = links.groupBy(*on).agg(F.sum("w").alias("m2"))  # a row a graph; contraction keeps it
     for _ in range(levels):
         degree = links.groupBy(*on, "u").agg(F.sum("w").alias("k"))
-        labels = _cut(loops.join(degree, [*on, "u"], "left").select(*on, "u", F.col("u").alias("c"), (F.coalesce("k", F.lit(0.0)) + F.col("loop")).alias("k"), F.lit(False).alias("wants")))
+        labels = ordering.settled(loops.join(degree, [*on, "u"], "left").select(*on, "u", F.col("u").alias("c"), (F.coalesce("k", F.lit(0.0)) + F.col("loop")).alias("k"), F.lit(False).alias("wants")))
         labels = _moved(links, labels, weight, on, rounds)
         merged = labels.select(*on, F.col("u").alias("_u"), F.col("c").alias("_c"))
-        member = _cut(member.join(merged, [*(member[c] == merged[c] for c in on), member["c"] == merged["_u"]]).select(*(member[c] for c in on), "channel", F.col("_c").alias("c")))
+        member = ordering.settled(member.join(merged, [*(member[c] == merged[c] for c in on), member["c"] == merged["_u"]]).select(*(member[c] for c in on), "channel", F.col("_c").alias("c")))
         sizes = labels.agg(F.count("*").alias("n"), F.count_distinct(*on, "c").alias("m")).head()
         if sizes.n == sizes.m:
             break
         to = lambda side: labels.select(*on, F.col("u").alias(side), F.col("c").alias(f"c{side}"))  # noqa: E731, B023
         joined = links.join(to("u"), [*on, "u"]).join(to("v"), [*on, "v"]).groupBy(*on, F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w"))
         kept = loops.join(to("u"), [*on, "u"]).groupBy(*on, F.col("cu").alias("u")).agg(F.sum("loop").alias("loop"))
-        joined = _cut(joined)
+        joined = ordering.settled(joined)
         inner = joined.where("u = v").select(*on, "u", F.col("w").alias("more"))
-        loops = _cut(kept.join(inner, [*on, "u"], "left").select(*on, "u", (F.col("loop") + F.coalesce("more", F.lit(0.0))).alias("loop")))
+        loops = ordering.settled(kept.join(inner, [*on, "u"], "left").select(*on, "u", (F.col("loop") + F.coalesce("more", F.lit(0.0))).alias("loop")))
         links = joined.where("u <> v")
         if loops.groupBy(*on).count().agg(F.max("count")).head()[0] <= whole:
-            merged = _cut(_finished(links, loops, on)).select(*on, F.col("u").alias("_u"), F.col("c").alias("_c"))
+            merged = ordering.settled(_finished(links, loops, on)).select(*on, F.col("u").alias("_u"), F.col("c").alias("_c"))
             member = member.join(merged, [*(member[c] == merged[c] for c in on), member["c"] == merged["_u"]]).select(*(member[c] for c in on), "channel", F.col("_c").alias("c"))
             break
     # Single nodes may still gain by a move between the communities found.
     degree = given.groupBy(*on, "u").agg(F.sum("w").alias("k"))
     last = member.select(*on, F.col("channel").alias("u"), "c").join(degree, [*on, "u"], "left").select(*on, "u", "c", F.coalesce("k", F.lit(0.0)).alias("k"), F.lit(False).alias("wants"))
-    member = _moved(given, _cut(last), weight, on, rounds).select(*on, F.col("u").alias("channel"), "c")
+    member = _moved(given, ordering.settled(last), weight, on, rounds).select(*on, F.col("u").alias("channel"), "c")
     number = member.select(*on, "c").distinct().withColumn("community", F.dense_rank().over(Window.partitionBy(*on).orderBy("c")).cast("long") - 1)
     return member.join(number, [*on, "c"]).select(*on, "channel", "community")
 

@@ -14,6 +14,7 @@ def depths(intervals: DataFrame, keys: tuple[str, ...] = (), start: str = "start
     of a key. Intervals whose end is before their start, or that have a null end, are none."""
     ends = F.explode(F.array(F.struct(F.col(start).cast("double").alias("t"), F.lit(1).alias("o")), F.struct(F.col(end).cast("double").alias("t"), F.lit(0).alias("o"))))
     points = intervals.where(F.col(start) <= F.col(end)).select(*keys, ends.alias("p")).groupBy(*keys, F.col("p.t").alias("t")).agg(F.sum("p.o").alias("opens"), F.sum(1 - F.col("p.o")).alias("closes"))
+    points = ordering.settled(points)
     dealt = ordering.with_bucket(points, "t", ordering.cut_points(points, "t"))
     swept = ordering.running(dealt, keys, "_bucket", ["t"], {"_o": F.col("opens"), "_c": F.col("closes")})
     # Closed intervals: what closes at t is still open there, what opens at t is open there already.
@@ -42,6 +43,7 @@ def inside(rows: DataFrame, intervals: DataFrame, keys: tuple[str, ...] = (), ti
     it is and whatever it overlaps."""
     ends = F.explode(F.array(F.struct(F.col(start).cast("double").alias("t"), F.lit(1).alias("o"), F.lit(0).alias("kind")), F.struct(F.col(end).cast("double").alias("t"), F.lit(-1).alias("o"), F.lit(2).alias("kind"))))
     points = intervals.where(F.col(start) <= F.col(end)).select(*keys, ends.alias("p")).select(*keys, "p.*").groupBy(*keys, "t", "kind").agg(F.sum("o").alias("o"))
+    points = ordering.settled(points)
     cuts = ordering.cut_points(points, "t")
     samples = rows.select(*keys, F.struct(*rows.columns).alias("_row"), F.col(time).cast("double").alias("t"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("o"))
     marks = points.select(*keys, F.lit(None).cast(samples.schema["_row"].dataType).alias("_row"), "t", "kind", "o")

@@ -4,6 +4,7 @@ bucket to bucket, ranks of ties, and exact quantiles."""
 from __future__ import annotations
 
 import math
+import tempfile
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,15 @@ GROUP = 4_000_000
 REST = 50_000
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df from files in spark.checkpoint.dir: what several later steps or rounds read is worked out once, and lost executors cost none of
+    it. A local session without that setting gets a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None and context.master.startswith("local"):
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="wavelark-"))
+    return df.checkpoint()
+
+
 def cut_points(df: DataFrame, column: str, buckets: int = BUCKETS) -> list[float]:
     """At most buckets - 1 ascending values that cut a numeric column into about equal parts: one aggregate, one row to the driver."""
     shares = F.array(*(F.lit(k / buckets) for k in range(1, buckets)))
@@ -53,7 +63,7 @@ def running(df: DataFrame, keys: tuple[str, ...], bucket: str, order: list[Colum
 def tied_ranks(df: DataFrame, value: str, keys: tuple[str, ...], counts: dict[str, Column]) -> DataFrame:
     """(keys, value, n, rank, counts) of each distinct value: its rows, their mean rank from 1 within the keys, and sums of expressions
     over them. Equal values are added up before they are ordered, so that a value of many rows is one row; nulls take no part."""
-    each = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), *(F.sum(c).alias(k) for k, c in counts.items()))
+    each = settled(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), *(F.sum(c).alias(k) for k, c in counts.items())))
     dealt = with_bucket(each, value, cut_points(df, value))
     upto = running(dealt, keys, "_bucket", [value], {"_upto": F.col("n")})
     return upto.withColumn("rank", F.col("_upto") - (F.col("n") - 1) / 2).drop("_bucket", "_upto")

@@ -40,6 +40,7 @@ def benjamini_hochberg(df: DataFrame, p: str = "p_value", within: tuple[str, ...
     """df with p_value_corrected and significant: step-up false discovery rates, at most 1. Equal values of p share the rate of the last of
     them, so only distinct values are ordered, in buckets cut at their quantiles; no task sees all rows. A null p takes no part and has
     null rates. `tie` is not needed any more: the order among equal values changes no rate."""
+    df = ordering.settled(df)
     each = df.where(F.col(p).isNotNull()).groupBy(*within, p).agg(F.count("*").alias("_n"))
     dealt = ordering.with_bucket(each, p, ordering.cut_points(each, p), "_b")
     upto = ordering.running(dealt, within, "_b", [p], {"_rank": F.col("_n")})
