@@ -139,6 +139,7 @@ def moments(series_: DataFrame, width: float, coarse: int = 4096) -> DataFrame:
     """(bucket, n, total, samples) of a series (time, value): its samples in buckets of `width` seconds, without gaps between the first and
     the last bucket, with the count and sum of all samples before the bucket. Sums are carried over stretches of `coarse` buckets."""
     held = series_.select((F.floor(F.col("time") / width)).alias("bucket"), "time", "value").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("time", "value"))).alias("samples"))
+    held = ordering.settled(held)
     ends = held.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))  # one row
     every = ends.where("lo is not null").select(F.explode(F.sequence(F.floor(F.col("lo") / coarse), F.floor(F.col("hi") / coarse))).alias("_c"), "lo", "hi").repartition("_c")
     every = every.select(F.explode(F.sequence(F.greatest("lo", F.col("_c") * coarse), F.least("hi", (F.col("_c") + 1) * coarse - 1))).alias("bucket"))
@@ -162,10 +163,10 @@ def onset_null(series_: DataFrame, n_events: int, pre: float, post: float, sampl
 def null_differences(series_: DataFrame, draws: DataFrame, n_events: int, pre: float, post: float, samples: int) -> DataFrame:
     """(perm, diff) of onsets (perm, event, onset). Each onset asks for the count and sum of all samples before three points of time; each
     point is looked up by equality in a table of carried sums and within one short bucket, so no draw meets an epoch's samples."""
-    width = (pre + post) / max(1, samples) * 32
+    width = (pre + post) / max(1, samples) * 8
     points = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col("onset") + d).alias("x")) for k, d in enumerate((-pre, 0.0, post)))))
     asked = draws.select("perm", "event", points.alias("p")).select("perm", "event", "p.*").withColumn("bucket", F.floor(F.col("x") / width))
-    table = moments(series_, width)
+    table = ordering.settled(moments(series_, width))
     ends = table.agg(F.min("bucket").alias("_lo"), F.max("bucket").alias("_hi"))  # one row: points beyond the record ask its ends
     asked = asked.join(F.broadcast(ends)).withColumn("bucket", F.least(F.greatest("bucket", "_lo"), "_hi")).drop("_lo", "_hi")
     before = F.filter("samples", lambda s: s["time"] < F.col("x"))
