@@ -110,6 +110,22 @@ def test_extra_columns_and_ids(documents):
     suffix_dedup.repeated_passages(clash).count()
 
 
+def test_windows_reach_as_far_as_they_go():
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(1500))
+    batch = pa.record_batch([pa.array([1]), pa.array([text])], names=["id", "text"])
+    rows = pa.Table.from_batches(compact_windows._windows(46)(iter([batch]))).to_pandas()
+    h, first, _, _ = next(([*tokens.words(data, offsets)] for _, _, data, offsets in tokens.slices(batch.column(1))))
+    s, _ = tokens.shingles(h, first, compact_windows.SHINGLE)
+    for kind, own in rows.groupby(rows.key & compact_windows._KIND):
+        value = tokens.mix(s + np.uint64((kind + 1) * 0xA0761D6478BD642F & (1 << 64) - 1)) & np.uint64(~compact_windows._KIND & (1 << 64) - 1)
+        for r in own.itertuples():
+            lower = np.flatnonzero(value < value[r.c])
+            assert (r.a, r.b) == (r.c - max(lower[lower < r.c], default=-1) - 1, min(lower[lower > r.c], default=len(value)) - r.c - 1)
+    assert rows.a.max() > 127 and rows.b.max() > 127
+
+
 def test_compact_windows_go_on_behind_an_edit(spark):
     rng = np.random.default_rng(8)
     word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]

@@ -1,10 +1,12 @@
 """Balanced label propagation: shards of equal row counts that keep linked documents together.
 
 Law `rows`: the shards' row counts differ by at most one. Documents are linked if their texts are equal. The
-linked documents start in shards by rank, evenly; in each round a group's members ask for the shard that holds
+linked documents start in shards evenly, in an order that keeps a group's members next to each other, so that at most one group
+is cut at each border of two shards; in each round a group's members ask for the shard that holds
 most of them, and quotas decide how many may go. Rounds with room quotas let documents into shards that have
-room; rounds with exchange quotas let equal numbers change places between two shards. Documents without links
-fill the shards up to their exact counts in the end.
+room; rounds with exchange quotas let equal numbers change places between two shards. Rounds go on until neither kind moves
+anything: each move adds to the sum over groups and shards of the squared number of members, so they come to an end.
+Documents without links fill the shards up to their exact counts in the end.
 
 All steps are joins and aggregates on DataFrame functions. Quotas are cut on a histogram of the wishes whose
 size is fixed (shards x levels x buckets), so no step ranks a whole shard in one task.
@@ -38,6 +40,20 @@ def _ranked(scratch: Scratch, rows: DataFrame, by: list[str], name: str, total:
     return rows.withColumn("within", within).join(small(offsets), [*by, "bucket"]).withColumn("rank", (F.col("within") + F.col("offset")).cast("long")).drop("within", "offset", "bucket")
 
 
+def _grouped(scratch: Scratch, linked: DataFrame, total: int) -> DataFrame:
+    """linked (uid, g) with `rank`, gapless from 0, a group's members next to each other. Groups are dealt into pieces by their
+    members' keys, so a hot group is no task's own, and what is summed in order is a bucket's pieces."""
+    n = max(256, -(-total // BUCKET_ROWS))
+    rows = linked.withColumns({"bucket": F.pmod(F.xxhash64("g"), F.lit(n)).cast("int"), "piece": _bucket(n)})
+    upto = Window.partitionBy("bucket").orderBy("g", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    cells = scratch.table(rows.groupBy("bucket", "g", "piece").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))), "group_cells")
+    buckets = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = scratch.table(cells.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", F.coalesce(F.sum("n").over(buckets), F.lit(0)).alias("offset")), "group_offsets")
+    start = cells.join(small(offsets), "bucket").select("g", "piece", (F.col("before") + F.col("offset")).alias("start"))
+    within = F.row_number().over(Window.partitionBy("g", "piece").orderBy("uid")) - 1
+    return rows.withColumn("within", within).join(start, ["g", "piece"]).select("uid", "g", (F.col("within") + F.col("start")).cast("long").alias("rank"))
+
+
 def _granted(scratch: Scratch, wishes: DataFrame, quota: DataFrame, on: str, total: int) -> DataFrame:
     """The wishes (uid, g, c, from, to) that fit the quota (on, q) of a shard: larger groups first, then by bucket. Of the
     cell of the histogram that crosses the quota, so many rows as there is room for."""
@@ -51,7 +67,7 @@ def _granted(scratch: Scratch, wishes: DataFrame, quota: DataFrame, on: str, tot
     return cells.where("room >= n").select("uid", "to").union(part.select("uid", "to"))
 
 
-def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = 8) -> DataFrame:
+def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, group) of every row; group is null without links."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
@@ -68,10 +84,15 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = ["key", "crc", "size"]
     groups = base.where("key is not null").groupBy(same).agg(F.count("*").alias("c")).where("c > 1").select(*same, F.xxhash64(*same).alias("g"))
     linked = scratch.table(base.join(scratch.small(groups, "groups"), same).select("uid", "g"), "linked")
-    state = scratch.table(_ranked(scratch, linked, [], "offsets", total).select("uid", "g", F.pmod("rank", F.lit(shards)).cast("int").alias("shard")), "state0")
-
-    idle = 0
-    for step in range(1, rounds + 1):
+    # The first shards get one more where it doesn't come out even, as in target, so none starts above its target.
+    least, more = divmod(linked.count(), shards)
+    start = F.expr(f"cast(if(rank < {more * (least + 1)}L, rank div {least + 1}L, {more}L + (rank - {more * (least + 1)}L) div {max(1, least)}L) as int)")
+    state = scratch.table(_grouped(scratch, linked, total).select("uid", "g", start.alias("shard")), "state0")
+    scratch.drop("linked", "group_cells", "group_offsets")
+
+    idle, step, held = 0, 0, "state0"
+    while idle < 2:
+        step += 1
         counts = state.groupBy("g", "shard").agg(F.count("*").alias("c"))
         load = {r.shard: r.n for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row a shard
         room = {j: target[j] - load.get(j, 0) for j in range(shards)}
@@ -96,11 +117,9 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         idle = 0 if moved else idle + 1
         if moved:
             state = scratch.table(state.join(moves, "uid", "left").select("uid", "g", F.coalesce("to", "shard").alias("shard")), f"state{step}")
-            scratch.drop(f"state{step - 1}")
-        else:
-            if idle == 2:
-                break
-            state = scratch.table(state, f"state{step}")
+            scratch.drop(held)
+            held = f"state{step}"
+        scratch.drop(f"moves{step}")
 
     load = {r.shard: r.n for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     ends, end = [], 0
