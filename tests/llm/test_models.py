@@ -221,6 +221,18 @@ def test_neighbours_without_broadcasts(spark, monkeypatch):
     assert sum(len(set(near[q]) & set(got[got.query_id == q].vec_id)) for q in range(0, 250, 50)) >= 45
 
 
+def test_a_search_broadcasts_no_table_of_vertices(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(400, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    scratch = Scratch(spark, "test")
+    vectors, _ = neighbours.vertices(scratch, table)
+    graph, sent, broadcast = neighbours.build_graph(scratch, vectors), [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    beam = neighbours.search(scratch, graph, vectors, vectors.where("v % 100 = 0").select(F.col("v").alias("q")), 32).toPandas()
+    near = np.argsort(((x[:, None] - x[None]) ** 2).sum(-1), 1)[:, :11]
+    assert all(len(set(near[q]) & set(beam[beam.q == q].w)) >= 10 for q in range(0, 400, 100)) and max(sent) <= 4 * 32, sent
+
+
 def test_neighbours_of_odd_rows(spark):
     rows = [(i, [float(i), 1.0, 2.0]) for i in range(8)] + [(20, [1.0, 2.0]), (21, []), (3, [3.0, 1.0, 2.0]), (5, [500.0, 1.0, 2.0]), (7, None), (8, [-0.0, 1.0, 2.0])]
     got = neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("q", F.lit("x")), F.col("id") == 0, k=20).toPandas()

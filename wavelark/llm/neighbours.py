@@ -32,8 +32,9 @@ DEGREE, GROUPS, SETTLED, ROUNDS = 24, 4, 0.01, 40
 BLOCK, TOLD = 48, 6
 #: Vertices that a search keeps.
 EF = 256
-#: Vectors are broadcast up to so many bytes, and otherwise written in buckets by vertex, so that joins don't shuffle them again.
-BROADCAST_BYTES, BUCKET_BYTES = 32 << 20, 64 << 20
+#: Descent broadcasts vectors up to so many bytes; a search broadcasts queries and opened ids up to SIDE_BYTES, and larger vectors than
+#: BUCKET_BYTES are written in buckets by vertex for it, so that its joins don't shuffle them again.
+BROADCAST_BYTES, SIDE_BYTES, BUCKET_BYTES = 32 << 20, 8_000_000, 64 << 20
 _EDGES = "v long, w long, d float, fresh boolean"
 
 
@@ -165,38 +166,54 @@ def build_graph(scratch: Scratch, vectors: DataFrame, rounds: int = ROUNDS, degr
 
 
 def _advance(ef: int):
-    """A search's next state from what its opened vertices lead to. State: (of, near, w, d, opened, seen)."""
+    """A search's next state from the unseen vertices that its opened ones lead to, with their distances. State: (of, w, d, opened, seen)."""
 
     def run(key, found, state):
         row = state.slice(0, 1).to_pydict()
         w, d, seen = np.array(row["w"][0], np.int64), np.array(row["d"][0], np.float32), np.array(row["seen"][0], np.int64)
-        fresh = np.flatnonzero(~np.isin(found["w"].to_numpy(), seen)) if found.num_rows else np.zeros(0, np.int64)
         opened = np.ones(len(w), bool)
-        if len(fresh):
-            x = _matrix(found["near"])[fresh] - np.frombuffer(row["near"][0], np.float32)
-            more = found["w"].to_numpy()[fresh]
-            w, d, opened, seen = np.concatenate([w, more]), np.concatenate([d, (x * x).sum(1)]), np.concatenate([opened, np.zeros(len(more), bool)]), np.concatenate([seen, more])
+        if found.num_rows:
+            more = found["w"].to_numpy()
+            w, d, opened, seen = np.concatenate([w, more]), np.concatenate([d, found["d"].to_numpy()]), np.concatenate([opened, np.zeros(len(more), bool)]), np.concatenate([seen, more])
             order = np.lexsort((w, d))[:ef]
             w, d, opened = w[order], d[order], opened[order]
-        return pa.table({"q": state["of"].slice(0, 1), "near": state["near"].slice(0, 1), "w": pa.array([w.tolist()], pa.list_(pa.int64())), "d": pa.array([d.tolist()], pa.list_(pa.float32())), "opened": pa.array([opened.tolist()], pa.list_(pa.bool_())), "seen": pa.array([seen.tolist()], pa.list_(pa.int64()))})
+        return pa.table({"q": state["of"].slice(0, 1), "w": pa.array([w.tolist()], pa.list_(pa.int64())), "d": pa.array([d.tolist()], pa.list_(pa.float32())), "opened": pa.array([opened.tolist()], pa.list_(pa.bool_())), "seen": pa.array([seen.tolist()], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _measure(kind, root: bool):
+    """(q, w, d) of (q, w, the vector of w, the vector of q)."""
+
+    def run(batches):
+        for batch in batches:
+            x = _matrix(batch.column(2), kind) - _matrix(batch.column(3), kind)
+            d = (x * x).sum(1)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.sqrt(d) if root else d)], names=["q", "w", "d"])
+        tokens.give_back()
 
     return run
 
 
 def search(scratch: Scratch, graph: DataFrame, vectors: DataFrame, starts: DataFrame, ef: int = EF) -> DataFrame:
-    """(q, w): the ef vertices nearest to each vertex q of starts (q) that greedy search finds, itself included."""
+    """(q, w): the ef vertices nearest to each vertex q of starts (q) that greedy search finds, itself included. Only the queries'
+    vectors and the opened ids are broadcast, if they are few; the vertices' vectors and lists stay with the executors, and no vector
+    is shuffled to its query: distances are."""
+    few = min(BROADCAST_BYTES, SIDE_BYTES)
     near = vectors.select(F.col("v").alias("w"), "near")
-    near = F.broadcast(near) if size_of(near) <= BROADCAST_BYTES else scratch.bucketed(near, "near", "w", BUCKET_BYTES)
+    if size_of(near) > BUCKET_BYTES:
+        near = scratch.bucketed(near, "near", "w", BUCKET_BYTES)
     next_ = scratch.table(graph.select(F.col("v").alias("at"), F.col("all.w").alias("next")), "next")
-    kept = small(next_, BROADCAST_BYTES)
-    empty = "q long, near binary, w array<long>, d array<float>, opened array<boolean>, seen array<long>"
-    begin = starts.join(near.select(F.col("w").alias("q"), "near"), "q")
-    state = begin.select("q", "near", F.array("q").alias("w"), F.array(F.lit(0.0).cast("float")).alias("d"), F.array(F.lit(False)).alias("opened"), F.array("q").alias("seen"))
+    asked = small(scratch.table(starts.join(vectors.select(F.col("v").alias("q"), F.col("near").alias("own")), "q"), "sought"), few)
+    empty = "q long, w array<long>, d array<float>, opened array<boolean>, seen array<long>"
+    state = starts.select("q", F.array("q").alias("w"), F.array(F.lit(0.0).cast("float")).alias("d"), F.array(F.lit(False)).alias("opened"), F.array("q").alias("seen"))
     state, step = scratch.table(state, "state0"), 0
-    while state.where(F.exists("opened", lambda x: ~x)).limit(1).count():
+    while n := state.agg(F.sum(F.size(F.filter("opened", lambda x: ~x)))).head()[0]:
         step += 1
         opening = state.select("q", F.explode(F.filter("w", lambda x, i: ~F.get("opened", i))).alias("at"))
-        found = opening.join(kept, "at").select("q", F.explode("next").alias("w")).repartition("q").distinct().join(near, "w").select("q", "w", "near")
+        led = next_.join(F.broadcast(opening) if 16 * n <= few else opening, "at").select("q", F.explode("next").alias("w"))
+        unseen = led.groupBy("q").agg(F.collect_set("w").alias("w")).join(state.select("q", "seen"), "q").select("q", F.explode(F.array_except("w", "seen")).alias("w"))
+        found = unseen.join(near, "w").join(asked, "q").select("q", "w", "near", "own").mapInArrow(_measure(np.float32, False), "q long, w long, d float")
         state = scratch.table(found.groupBy("q").cogroup(state.withColumnRenamed("q", "of").groupBy("of")).applyInArrow(_advance(ef), empty), f"state{step}")
         scratch.drop(f"state{step - 1}")
     return state.select("q", F.explode("w").alias("w"))
@@ -213,14 +230,10 @@ def nearest_neighbours(rows: DataFrame, queries: Column, k: int = 10, id_col: st
     graph = build_graph(scratch, vectors, rounds)
     beam = search(scratch, graph, vectors, asked.select("q").distinct(), max(ef, k + 1))
 
-    def measure(batches):
-        for batch in batches:
-            x, y = _matrix(batch.column(2), np.float64), _matrix(batch.column(3), np.float64)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.sqrt(((x - y) ** 2).sum(1)))], names=["q", "w", "d"])
-
-    exact = small(vectors.select(F.col("v").alias("w"), "exact"), BROADCAST_BYTES)
-    pairs = beam.join(exact, "w").join(asked.select("q").distinct().join(vectors.select(F.col("v").alias("q"), F.col("exact").alias("own")), "q"), "q")
-    measured = scratch.table(pairs.select("q", "w", "exact", "own").mapInArrow(measure, "q long, w long, d double"), "measured")
+    exact = vectors.select(F.col("v").alias("w"), "exact")
+    own = small(scratch.table(asked.select("q").distinct().join(vectors.select(F.col("v").alias("q"), F.col("exact").alias("own")), "q"), "own"), min(BROADCAST_BYTES, SIDE_BYTES))
+    pairs = beam.join(exact, "w").join(own, "q").select("q", "w", "exact", "own")
+    measured = scratch.table(pairs.mapInArrow(_measure(np.float64, True), "q long, w long, d double"), "measured")
     scratch.only("member", "asked", "measured")
     # Of each vertex's rows the k + 1 smallest ids are enough for any query, its own row included.
     some = member.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("v").alias("w"), F.col("id").alias("vec_id"))
