@@ -88,6 +88,28 @@ def test_secrets_that_no_pattern_matches(spark):
     assert len(hit) >= 0.9 * len(planted) and len(wrong) <= 30, (len(hit), len(wrong))
 
 
+@pytest.mark.parametrize("views", [2_000, 10**9])
+def test_secrets_are_learned_from_all_findings(spark, monkeypatch, views):
+    monkeypatch.setattr(secrets, "TASK_VIEWS", views)  # several tasks whose weights are averaged, and one
+    rng = random.Random(12)
+    key = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(n))
+    word = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+    texts = [" ".join([word(5), f"token={key(24)}" if i % 2 else word(7), word(16), word(4), word(13), "end"]) for i in range(4000)]
+    net = secrets.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    seen = {True: set(), False: set()}
+    for t in texts:
+        whole, _, codes = secrets._joined([t])
+        base = secrets.base_spans(whole)
+        for label, spans in ((1, [secrets.PATTERNS[0][1].match(whole, a).span(2) for a, _, _ in base]), (0, secrets.other_candidates(whole, base))):
+            for a, b in spans:
+                seen[zlib.crc32(whole[a:b].encode()) % 4 == 0].add((label, secrets._views(codes, [(a, b)])[0].tobytes()))
+    assert net.learned == (len(seen[False]), len(seen[True])) and sum(net.learned) > 9000
+    planted = [(i, " ".join([word(5), word(7), key(rng.randint(24, 36)), word(4), word(13), "end"])) for i in range(200)]  # where others have words
+    found = {r.doc_id: r.findings for r in secrets.find_secrets(spark.createDataFrame(planted, "doc_id long, text string"), net=net).collect()}
+    spans = [(i, t[f.start : f.end] == t.split()[2]) for i, t in planted for f in found[i]]
+    assert len({i for i, right in spans if right}) >= 180 and sum(not right for _, right in spans) <= 20, spans
+
+
 def test_runs_beside_base_spans():
     text = "x" * 14 + " " + "a" * 13 + "AKIA" + "B" * 20 + "-" * 12 + " 12345678901 -AKIA" + "C" * 16
     taken = secrets.base_spans(text)
