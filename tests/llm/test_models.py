@@ -146,6 +146,13 @@ def test_quality_on_held_out_rows(spark):
         quality.score_quality(docs.withColumn("score", F.lit(1)), model)
 
 
+def test_quality_learns_from_all_labels(spark):
+    docs = spark.createDataFrame([(i, "some words " * (i % 17 + 1) + "!" * (i % 5)) for i in range(500)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
+    once, often = (quality.fit(docs, x) for x in (labels, labels.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(600))))))  # 300,000 rows
+    assert np.allclose(once.beta, often.beta, rtol=1e-6, atol=1e-6) and np.allclose(once.y, often.y)
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.arange(5.0), np.array([0.1, 0.5, 0.3, 0.9, 0.8]), np.ones(5))
     assert np.allclose(y[::2], [0.1, 0.4, 0.85]) and (np.diff(y) >= 0).all() and len(x) == 6

@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from . import tokens
 from .store import Scratch, limit_batches
 
-#: Labelled rows used for the fit at most (the texts' hashes choose them), random features, and ridge.
-FIT_ROWS, FEATURES, RIDGE = 200_000, 256, 1e-2
+#: Random features, and ridge.
+FEATURES, RIDGE = 256, 1e-2
 _BINS = 4096
 
 _CLASSES = {
@@ -112,13 +112,11 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([a for a, _ in at]), np.array([m for _, m in at])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS, features: int = FEATURES, ridge: float = RIDGE) -> Model:
-    """The model of the labelled rows in docs. Of every four, three solve the ridge and one calibrates."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", features: int = FEATURES, ridge: float = RIDGE) -> Model:
+    """The model of all labelled rows in docs. Of every four, three solve the ridge and one calibrates."""
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(label_col).alias("y"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    share = min(1.0, fit_rows / max(1, labels.count()))
-    wanted = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1))
     scratch = Scratch(spark, "quality")
 
     def measure(batches):
@@ -126,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in _columns(batch.column(1))], pa.binary())], names=["id", "y", "stats"])
         tokens.give_back()
 
-    # There are about fit_rows labels at most, so that only labelled texts are measured.
-    held = texts.join(scratch.small(wanted, "labels"), "id").select("id", "text", "y")
+    # Only labelled texts are measured.
+    held = texts.join(scratch.small(known, "labels"), "id").select("id", "text", "y")
     rows = scratch.table(held.mapInArrow(measure, f"id {dict(texts.dtypes)['id']}, y double, stats binary").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(4))), "rows")
 
     def moments(batches):
