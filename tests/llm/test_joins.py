@@ -201,6 +201,20 @@ def test_near_passages_of_families(spark, families, copies):
     assert len(want) >= 10 and len(found) >= 0.9 * len(want), (len(found), len(want))
 
 
+def test_near_passages_stay_when_another_document_leads(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    texts = {}
+    for _ in range(60):  # the second resembles the first and the third; the first and the third have no passage in common
+        base = word(60)
+        for edit in (15, None, 45):
+            p = [w if k != edit else word(1)[0] for k, w in enumerate(base)]
+            texts[len(texts)] = " ".join([*word(30), *p, *word(30)])
+    found = lambda some: {r.doc_id for r in compact_windows.near_passages(spark.createDataFrame([(i, t) for i, t in texts.items() if i in some], "doc_id long, text string")).collect()}
+    whole, third = found(set(texts)), {i for i in found({i for i in texts if i % 3}) if i % 3 == 2}
+    assert len(third) >= 30 and third <= whole, (len(third), len(third - whole))
+
+
 def test_suffix_dedup_within_a_document(spark):
     rng = np.random.default_rng(3)
     word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
