@@ -215,6 +215,35 @@ def test_near_passages_stay_when_another_document_leads(spark):
     assert len(third) >= 30 and third <= whole, (len(third), len(third - whole))
 
 
+def test_a_common_line_makes_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    line, base, texts = word(16), word(60), {}
+    for k in range(80):  # all hold the line, and but for two of them nothing else
+        texts[k] = " ".join([*(base[:30] if k in (40, 70) else word(30)), *line, *(base[30:] if k in (40, 70) else word(60))])
+    sizes, real = [], compact_windows.passages.verified
+
+    def verified(scratch, single, pairs, unit, check):
+        sizes.append(pairs.count())
+        return real(scratch, single, pairs, unit, check)
+
+    monkeypatch.setattr(compact_windows.passages, "verified", verified)
+    got = {r.doc_id for r in compact_windows.near_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {40, 70} and sum(sizes[1:]) <= 10, (got, sizes)  # a pair of any two would be 3,000
+
+
+def test_coverable_places():
+    rng = np.random.default_rng(13)
+    for _ in range(100):
+        value = np.where(np.repeat(rng.random(12) < 0.6, rng.integers(1, 9, 12)), 1.0, -2.0)
+        want = np.zeros(len(value), bool)
+        for a in range(len(value)):
+            for b in range(a + 5, len(value) + 1):
+                if value[a:b].sum() >= 0:
+                    want[a:b] = True
+        assert (compact_windows._coverable(value, 5) == want).all()
+
+
 def test_suffix_dedup_within_a_document(spark):
     rng = np.random.default_rng(3)
     word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
