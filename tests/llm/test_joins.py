@@ -1,9 +1,11 @@
+import time
+
 import numpy as np
 import pytest
 from brute import jaccard_classes, repeated, words
 from pyspark.sql import functions as F
 
-from wavelark.llm import compact_windows, decontaminate, ngram_join, suffix_dedup, tokens
+from wavelark.llm import compact_windows, decontaminate, ngram_join, store, suffix_dedup, tokens
 
 
 @pytest.mark.parametrize(("size", "num", "den", "orders"), [(3, 9, 10, 3), (5, 4, 5, 2), (5, 4, 5, 1)])
@@ -19,6 +21,40 @@ def test_ngram_join_in_small_blocks(documents, corpus, monkeypatch):
     assert got == jaccard_classes(corpus, 3, 9, 10)
 
 
+def test_ngram_join_deals_blocks_in_parts(documents, corpus, monkeypatch):
+    for name, value in (("PAIRED", 2), ("FEW", 400), ("MANY", 700)):
+        monkeypatch.setattr(ngram_join, name, value)
+    dealt, real = [], ngram_join.Scratch.table
+
+    def table(self, df, name):
+        out = real(self, df, name)
+        if name == "dealt":
+            dealt.append(out.agg(F.sum("n")).head()[0])
+        elif name.startswith("block_links"):
+            dealt.append(name)
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "table", table)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(documents, shingle=3, similarity=(9, 10)).collect()}
+    want = jaccard_classes(corpus, 3, 9, 10)
+    assert got == want
+    assert dealt[0] > 2 * sum(n for n, _ in want.values()) and dealt[0] <= (len(dealt) - 1) * sum(n for n, _ in want.values()), dealt
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(f) for f in [f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles())] if f.startswith("shuffle")}
+    before, scratch = files(), store.Scratch(spark, "cleaned")
+    table = scratch.table(spark.range(20_000).groupBy((F.col("id") % 7_000).alias("k")).count(), "counts")
+    for _ in range(100):  # files are removed in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 7_000
+    assert spark.conf.get(store._CLEANUP, None) is None
+    scratch.only()
+
+
 def test_ngram_join_odd_rows(spark, empty):
     assert ngram_join.ngram_jaccard_join(empty).count() == 0
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, None), (5, "")]
