@@ -268,6 +268,35 @@ def test_a_common_line_makes_no_pairs(spark, monkeypatch):
     assert got == {40, 70} and sum(sizes[1:]) <= 10, (got, sizes)  # a pair of any two would be 3,000
 
 
+def test_a_common_line_a_little_shorter_than_a_passage_makes_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    line = word(46)  # 42 shingles; with 4 misses beside them they would outweigh, but no stretch from hit to hit is long enough
+    texts = {k: " ".join([*word(30), *line, *word(60)]) for k in range(80)}
+    sizes, real = [], compact_windows.passages.verified
+
+    def verified(scratch, single, pairs, unit, check):
+        sizes.append(pairs.count())
+        return real(scratch, single, pairs, unit, check)
+
+    monkeypatch.setattr(compact_windows.passages, "verified", verified)
+    assert compact_windows.near_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).count() == 0
+    assert sum(sizes[1:]) == 0, sizes
+
+
+def test_coverable_places_from_hit_to_hit():
+    rng = np.random.default_rng(15)
+    for _ in range(100):
+        hit = np.repeat(rng.random(12) < 0.6, rng.integers(1, 9, 12))
+        value = np.where(hit, 1.0, np.where(rng.random(len(hit)) < 0.3, 0.0, -2.0))
+        want = np.zeros(len(hit), bool)
+        for a in range(len(hit)):
+            for b in range(a + 5, len(hit) + 1):
+                if hit[a] and hit[b - 1] and value[a:b].sum() >= 0:
+                    want[a:b] = True
+        assert (compact_windows._coverable(value, 5, hit) == want).all()
+
+
 def test_coverable_places():
     rng = np.random.default_rng(13)
     for _ in range(100):
